@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import survivors
+from cadastra.llm import leakage, survivors
 from cadastra.session import table
 
 
@@ -23,8 +23,13 @@ def p1_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(best, "survivor_id").join(shown, "account_from", "left").select("group_id", "survivor_id", "account_number", "processed_at", "status")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that take over passages of test items, with the items."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_representative": p1_representative}
+    return {"p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
 
 
 def oracle_sql() -> dict[str, str]:
