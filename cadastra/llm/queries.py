@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import leakage, survivors
+from cadastra.llm import leakage, reading, survivors
 from cadastra.session import table
 
 
@@ -28,8 +28,30 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+#: Kinds of running prose, and the shortest text that is graded.
+PROSE = ("letter", "guide", "memo", "notice", "minutes", "faq")
+LEAST_CHARS = 400
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading band of every English document of running prose."""
+    documents = table(spark, sf_dir, "documents").where(F.col("doc_kind").isin(*PROSE) & (F.col("n_chars") >= LEAST_CHARS))
+    return reading.graded(documents, reading.fit(table(spark, sf_dir, "level_samples"))).select("doc_id", "band")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, mean prediction and its spread in each band, by source."""
+    documents = table(spark, sf_dir, "documents").where(F.col("doc_kind").isin(*PROSE) & (F.col("n_chars") >= LEAST_CHARS))
+    graded = reading.graded(documents, reading.fit(table(spark, sf_dir, "level_samples")))
+    return (
+        graded.join(documents.select("doc_id", "source"), "doc_id")
+        .groupBy("source", "band")
+        .agg(F.count("*").alias("documents"), F.round(F.avg("prediction"), 3).alias("mean_prediction"), F.round(F.stddev_pop("prediction"), 3).alias("spread"))
+    )
+
+
 def queries() -> dict:
-    return {"p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
+    return {"p8_found": p8_found, "p8_profile": p8_profile, "p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
 
 
 def oracle_sql() -> dict[str, str]:
