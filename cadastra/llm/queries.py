@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import leakage, reading, survivors
+from cadastra.llm import leakage, personal, reading, survivors
 from cadastra.session import table
 
 
@@ -28,6 +28,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def _finder(spark: SparkSession, sf_dir: str) -> personal.Finder:
+    documents = table(spark, sf_dir, "documents").select("text")
+    notes = table(spark, sf_dir, "sample_rendition_summary").select(F.col("appraiser_notes").alias("text"))
+    return personal.Finder(*personal.disclosure(documents.unionByName(notes)))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every personal item of the documents and of the appraisers' notes."""
+    finder = _finder(spark, sf_dir)
+    documents = personal.find_items(table(spark, sf_dir, "documents"), "documents", "doc_id", "text", finder)
+    notes = personal.find_items(table(spark, sf_dir, "sample_rendition_summary"), "sample_rendition_summary", "summary_id", "appraiser_notes", finder)
+    return documents.unionByName(notes)
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and notes with typed placeholders in place of their personal items."""
+    finder = _finder(spark, sf_dir)
+    documents = personal.redact(table(spark, sf_dir, "documents"), "doc_id", "text", finder)
+    notes = personal.redact(table(spark, sf_dir, "sample_rendition_summary"), "summary_id", "appraiser_notes", finder)
+    return documents.withColumn("source_table", F.lit("documents")).unionByName(notes.withColumn("source_table", F.lit("sample_rendition_summary")))
+
+
 #: Kinds of running prose, and the shortest text that is graded.
 PROSE = ("letter", "guide", "memo", "notice", "minutes", "faq")
 LEAST_CHARS = 400
@@ -51,7 +73,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_found": p8_found, "p8_profile": p8_profile, "p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p8_found": p8_found, "p8_profile": p8_profile, "p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
 
 
 def oracle_sql() -> dict[str, str]:
