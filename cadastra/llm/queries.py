@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import leakage, personal, reading, survivors
-from cadastra.session import table
+from cadastra.llm import leakage, packing, personal, reading, survivors
+from cadastra.session import checkpointed, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,27 @@ def p1_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(best, "survivor_id").join(shown, "account_from", "left").select("group_id", "survivor_id", "account_number", "processed_at", "status")
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a container of each capacity."""
+    documents = table(spark, sf_dir, "documents")
+    path = spark.conf.get("spark.cadastra.tokenizer", packing.TOKENIZER)
+    return packing.pack(checkpointed(packing.token_counts(documents, path)), table(spark, sf_dir, "container_sizes"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, pieces, tokens and the share of filled space for each capacity."""
+    sizes = table(spark, sf_dir, "container_sizes")
+    pieces = p6_containers(spark, sf_dir)
+    return (
+        pieces.groupBy("size_name", "container_id")
+        .agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+        .groupBy("size_name")
+        .agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
+        .join(F.broadcast(sizes), "size_name")
+        .select("size_name", "capacity_tokens", "containers", "pieces", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("filled"))
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that take over passages of test items, with the items."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -73,7 +94,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p8_found": p8_found, "p8_profile": p8_profile, "p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p6_containers": p6_containers, "p6_fill": p6_fill, "p8_found": p8_found, "p8_profile": p8_profile, "p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
 
 
 def oracle_sql() -> dict[str, str]:
