@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import leakage, packing, personal, reading, survivors
+from cadastra.llm import leakage, owners, packing, personal, reading, survivors
 from cadastra.session import checkpointed, table
 
 
@@ -23,6 +23,18 @@ def p1_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(best, "survivor_id").join(shown, "account_from", "left").select("group_id", "survivor_id", "account_number", "processed_at", "status")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of different owner names that mean the same owner."""
+    tables = [table(spark, sf_dir, name) for name in ("review_queue", "sample_rendition_summary")]
+    return owners.owner_pairs(checkpointed(owners.owner_groups(owners.all_names(tables))))
+
+
+def p5_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every owner name with its group."""
+    tables = [table(spark, sf_dir, name) for name in ("review_queue", "sample_rendition_summary")]
+    return owners.owner_groups(owners.all_names(tables))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in a container of each capacity."""
     documents = table(spark, sf_dir, "documents")
@@ -94,7 +106,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p6_containers": p6_containers, "p6_fill": p6_fill, "p8_found": p8_found, "p8_profile": p8_profile, "p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_owners": p5_owners, "p6_containers": p6_containers, "p6_fill": p6_fill, "p8_found": p8_found, "p8_profile": p8_profile, "p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
 
 
 def oracle_sql() -> dict[str, str]:
