@@ -26,7 +26,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.session import flat_map
+from cadastra.session import checkpointed, flat_map
 
 CLAUSE_WORDS = 8
 #: One edit is allowed for so many letters of a clause.
@@ -215,6 +215,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     for rows in parts:
         part = leaked_clauses(documents, rows)
         found = part if found is None else found.unionByName(part)
+    found = checkpointed(found)  # a few matches, read by two branches: the corpus is matched once
     texts = documents.where(F.length("text") > 0).agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
     spread = found.groupBy("item_id", "clause").agg(F.countDistinct("text_hash").alias("in_texts"))
     common = spread.crossJoin(F.broadcast(texts)).where(F.col("in_texts") > F.greatest(F.lit(COMMON_TEXTS), F.col("texts") * COMMON_SHARE)).select("item_id", "clause")
