@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import leakage, owners, packing, personal, reading, survivors
+from cadastra.llm import leakage, owners, packing, personal, reading, sql, survivors
 from cadastra.session import checkpointed, table
 
 
@@ -110,4 +110,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": sql.P1}
