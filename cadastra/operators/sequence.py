@@ -21,13 +21,13 @@ def headings(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
 
 def sections(df: DataFrame, key: str, text: str, heading: str = r"SCHEDULE\s+([A-F])\b") -> DataFrame:
     """(key, pos, letter, body): the text between one heading and the next; what precedes the first is no section."""
-    parts = F.slice(F.split(F.col(text), rf"(?=\b{heading})"), 1, 100_000)
+    parts = F.split(F.col(text), rf"(?=\b{heading})")
     return (
         df.select(key, F.posexplode(parts).alias("pos", "body"))
         .withColumn("letter", F.regexp_extract("body", rf"^{heading}", 1))
         .where("letter <> ''")
         .withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("pos")).cast("bigint"))
-        .select(key, "pos", "letter", F.trim(F.regexp_replace("body", rf"^{heading}", "")).alias("body"))
+        .select(key, "pos", "letter", F.regexp_replace("body", rf"^{heading}\s*|\s+$", "").alias("body"))
     )
 
 

@@ -26,6 +26,10 @@ def anchored(text: Column, segments: Column) -> Column:
     return F.aggregate(F.coalesce(segments, F.array().cast("ARRAY<STRUCT<startIndex: STRING, endIndex: STRING>>")), F.lit(""), lambda a, s: F.concat(a, F.coalesce(part(s), F.lit(""))))
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _box(xs: Column, ys: Column) -> list[Column]:
     return [F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("top"), F.array_max(ys).alias("y1")]
 
@@ -44,10 +48,10 @@ def document_pages(df: DataFrame, key: str) -> DataFrame:
 
     def word(t: Column) -> Column:
         layout = t["layout"]
-        return F.struct(F.trim(anchored(F.col("whole"), layout["textAnchor"]["textSegments"])).alias("text"), *_box(_corner(layout, F.col("p"), "x", "width"), _corner(layout, F.col("p"), "y", "height")), layout["confidence"].alias("confidence"))
+        return F.struct(_strip(anchored(F.col("whole"), layout["textAnchor"]["textSegments"])).alias("text"), *_box(_corner(layout, F.col("p"), "x", "width"), _corner(layout, F.col("p"), "y", "height")), layout["confidence"].alias("confidence"))
 
     words = F.filter(F.transform("p.tokens", word), lambda w: w["text"] != "")
-    lines = F.array_join(F.filter(F.transform("p.lines", lambda x: F.trim(anchored(F.col("whole"), x["layout"]["textAnchor"]["textSegments"]))), lambda x: x != ""), "\n")
+    lines = F.array_join(F.filter(F.transform("p.lines", lambda x: _strip(anchored(F.col("whole"), x["layout"]["textAnchor"]["textSegments"]))), lambda x: x != ""), "\n")
     text = F.coalesce(F.nullif(lines, F.lit("")), F.nullif(F.array_join(F.transform("words", lambda w: w["text"]), " "), F.lit("")), F.when(F.col("p").isNull(), F.col("whole")), F.lit(""))
     return pages.withColumn("words", words).select(key, F.coalesce("p.pageNumber", F.col("at") + 1, F.lit(1)).alias("page_number"), text.alias("text"), "words")
 
@@ -87,7 +91,7 @@ def marked_pages(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, page_number, text) of a reply with lines ``PAGE n:``; without them it is page 1."""
     parts = F.split(F.col(text), r"(?m)(?=^\s*PAGE \d+:\s*$)")
     rows = df.select(key, F.explode(parts).alias("part")).withColumn("n", F.regexp_extract("part", r"(?m)^\s*PAGE (\d+):\s*$", 1))
-    body = F.trim(F.regexp_replace("part", r"(?m)^\s*PAGE \d+:\s*$", ""))
+    body = _strip(F.regexp_replace("part", r"(?m)^\s*PAGE \d+:\s*$", ""))
     return rows.select(key, F.coalesce(F.nullif("n", F.lit("")).cast("int"), F.lit(1)).alias("page_number"), body.alias("text")).where("text <> ''")
 
 
