@@ -44,7 +44,7 @@ TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|MR|MRS|MS|DR|mr|mrs|ms|dr)\.?"
 CUES = ("Owner:", "Prepared by", "prepared by", "Contact for this file:", "contact:", "Our clerk", "clerk by", "The owner,", "Signed before", "Attn:", "Dear", "Sincerely,", "Regards,", "Thank you,", "Present:", "spoke w/", "bookkeeper", "notary", "per")
 _CUED = re.compile(rf"(?:\b{TITLE}|(?:{'|'.join(re.escape(c) for c in CUES)})(?:\s+{TITLE})?)\s+$")
 _AFTER = re.compile(r"\s*(?:,\s+lives at|disputes\b|took the call|signed the form|says\b|re:|all desks)")
-_PHRASE = re.compile(r"[A-Z][A-Za-z]+[ \n]+(?:[A-Z]\.?[ \n]+)?[A-Z][A-Za-z]+(?:-[A-Za-z]+)?")
+_PHRASE = re.compile(r"(?!(?:Dear|Mr|Mrs|Ms|Dr|Attn|Our|The|To|Present|Owner)\b)[A-Z][A-Za-z]+[ \n]+(?:[A-Z]\.?[ \n]+)?[A-Z][A-Za-z]+(?:-[A-Za-z]+)?")
 _STATE = re.compile(r"([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)?),? (?:TX|Texas|TEXAS) \d{5}(?!\d)")
 
 SUFFIXES = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Loop|Trail|Trl|Parkway|Pkwy|Boulevard|Blvd|Way|Place|Pl|Circle|Cir|Terrace|Ter|Highway|Hwy"
@@ -55,6 +55,7 @@ ADDRESS = re.compile(
     rf"\d{{1,5}} (?:(?:[NSEW]\.?|North|South|East|West|NORTH|SOUTH|EAST|WEST|north|south|east|west) )?(?:[A-Za-z][A-Za-z'0]+ ){{1,3}}?(?:{_ANY_SUFFIX})(?![A-Za-z])(?:\.(?=[\s,]))?"
     rf"(?:,? +{_UNITS})?"
 )
+_STREET = re.compile(rf".*?\b(?:{_ANY_SUFFIX})\b")
 TOWN = re.compile(r",?\s+([A-Za-z][A-Za-z]+(?: [A-Za-z][A-Za-z]+)?)(?:,?\s+(TX|Texas|TEXAS|tx|texas|Tx)\b\.?(?:\s+(\d{5}(?:-\d{4})?)(?!\d))?)?")
 STATE = re.compile(r",?\s+(TX|Texas|TEXAS|tx|texas)\b(?:\s+(\d{5}(?:-\d{4})?)(?!\d))?")
 
@@ -187,8 +188,13 @@ class Finder:
         for m in ADDRESS.finditer(text):
             if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in ",.$/-_"):
                 continue
+            words = re.sub(r"^\d+ ", "", m.group())
+            if any(c.isupper() for c in words) and not all(w[0].isupper() for w in _STREET.match(words).group().split()):
+                continue  # a number before other words
             end = m.end()
             state = STATE.match(text, end)
+            if not state and words == words.lower() and not TOWN.match(text, end):
+                continue
             town = TOWN.match(text, end)
             if state:
                 end = state.end()
