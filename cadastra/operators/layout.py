@@ -90,8 +90,9 @@ def reading_order(words: str) -> object:
 
 def words_of_lines(df: DataFrame, page_id: str, text: str, line_height: float = 12.0, letter: float = 6.0) -> DataFrame:
     """Word boxes laid out from plain text: a line's number gives the height, a word's offset the position."""
-    lines = F.posexplode(F.split(F.col(text), "\n")).alias("line", "body")
-    words = df.select(page_id, lines).select(page_id, "line", "body", F.posexplode(F.regexp_extract_all("body", F.lit(r"(\S+)"), F.lit(1))).alias("n", "word"))
-    start = F.length(F.substring_index("body", F.col("word"), 1))
+    lines = df.select(page_id, F.posexplode(F.split(F.col(text), "\n")).alias("line", "body"))
+    tokens = lines.withColumn("tokens", F.regexp_extract_all("body", F.lit(r"(\s*\S+)"), F.lit(1)))
+    words = tokens.select(page_id, "line", "tokens", F.posexplode("tokens").alias("n", "token")).withColumn("word", F.trim(F.regexp_replace("token", r"^\s+", "")))
+    start = F.length(F.array_join(F.slice("tokens", F.lit(1), F.col("n")), "")) + F.length("token") - F.length("word")
     boxes = F.struct(F.col("word").alias("text"), (start * letter).cast("double").alias("x0"), (F.col("line") * line_height).cast("double").alias("top"))
     return words.groupBy(page_id).agg(F.collect_list(boxes).alias("words"))

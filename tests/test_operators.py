@@ -117,3 +117,9 @@ def test_nearest_in_band_equals_all_pairs(spark):
         if near:
             expected[d, i] = near[0][2]
     assert {(r["k"], r["label_id"]): r["value_id"] for r in got.collect()} == expected
+
+
+def test_words_laid_out_from_text(spark):
+    df = spark.createDataFrame([(1, "2023   81,166\n 2022  2022"), (2, ""), (3, None)], "id INT, t STRING")
+    rows = {r["id"]: sorted((w["top"], w["x0"], w["text"]) for w in r["words"]) for r in layout.words_of_lines(df, "id", "t", 12.0, 1.0).collect()}
+    assert rows == {1: [(0.0, 0.0, "2023"), (0.0, 7.0, "81,166"), (12.0, 1.0, "2022"), (12.0, 7.0, "2022")]}
