@@ -1,13 +1,15 @@
 """Deeply nested semi-structured records as flat tables (problem 3), by Dewey labelling.
 
-Every node of a JSON value gets an ordinal path identifier (its Dewey label) and a schema path. Nodes are
-grouped by schema path into tables, and the parent of a row is found by truncating its label, so a child
-needs no key of its own. The labels of one record depend on that record alone: the operator is one narrow
-map over the rows, with no shuffle, and as wide as the input.
+Every node of a JSON value gets an ordinal path identifier (its Dewey label) and a schema path. The nodes below
+a row are grouped by their schema path from the row on into the columns of its table, and the parent of a row is
+found by truncating its label, so a child needs no key of its own. The labels of one record depend on that record
+alone: the operator is one narrow map over the rows, with no shuffle, and as wide as the input.
 
 Defined results: NULL, empty, unreadable or cut-off JSON gives no rows; null elements give no row and take no
 position; a lone value counts as a list of one; JSON text inside a JSON string is opened; repeated records
-give repeated rows under their own ids; further columns of the input are ignored.
+give repeated rows under their own ids; further columns of the input are ignored. Values come out as they are
+written; members of a row that its table has no column for are in ``rest``. Counts and page numbers beside a list
+of rows, and members of a schedule beside its rows, are no part of the flat tables.
 """
 
 from __future__ import annotations
@@ -15,25 +17,45 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadastra.functions import text as texts
 from cadastra.session import flat_map
 
 #: Members that only wrap a list of rows, with counts or page numbers beside it.
 WRAPPERS = ("items", "flags", "rows", "year_rows", "line_items", "data")
 Label = tuple[int, ...]
+#: Members of the rows that are columns of their tables, by schema path from the row on.
+YEAR_ROW = ("subsection", "year_acquired", "historical_cost", "good_faith_value")
+LINE_ITEM = ("schedule", *YEAR_ROW, "calculated_value", "depreciation_factor", "exact_value", "raw_text", "source_page", "confidence")
+#: Members of the rows that are tables of their own.
+MONEY, FLAGS = ("raw_values", "money_tokens"), ("flags",)
+YEAR_ROW_CHILDREN = {"year_row_money": MONEY}
+LINE_ITEM_CHILDREN = {"line_item_flag": FLAGS, "line_item_money": MONEY}
+AMOUNTS = ("historical_cost", "good_faith_value", "calculated_value", "exact_value")
+#: The field that each flat table comes from.
+FIELD = {"form_flag": "form_flags", "year_row": "schedule_e", "year_row_money": "schedule_e", "line_item": "line_items", "line_item_flag": "line_items", "line_item_money": "line_items"}
 
 
-def parse(text: str | None):
-    """The JSON value of ``text``, or None. Numbers stay text: only shape and order matter here."""
+class Number(float):
+    """A JSON number that keeps the text it was written as."""
+
+    def __new__(cls, text: str):
+        number = super().__new__(cls, text)
+        number.text = text
+        return number
+
+
+def parse(text: str | None, number: type[float] = float):
+    """The JSON value of ``text``, or None. Where only shape and order matter, plain floats do for ``number``."""
     for _ in range(4):
         if not isinstance(text, str):
             return text
         if not text.strip():
             return None
         try:
-            text = json.loads(text, parse_int=float, parse_float=float)
+            text = json.loads(text, parse_int=number, parse_float=number)
         except (ValueError, RecursionError):
             return None
     return None
@@ -74,64 +96,113 @@ def row_labels(value, root: Label, member: str | None = None) -> list[tuple[Labe
     return found
 
 
-def flag_names(value) -> list[str]:
-    """Flat names of the non-null flags: plain members, groups, and lists of named values."""
-    names: list[str] = []
-    stack = [("", value)]
+def written(node) -> str | None:
+    """The text of a node as it is written; of objects and lists their JSON."""
+    return node if isinstance(node, str) else getattr(node, "text", None) or json.dumps(node)
+
+
+def flag_nodes(value) -> list[tuple[Label, str, object]]:
+    """(label, flat name, value) of the non-null flags: plain members, groups, and lists of named values."""
+    found: list[tuple[Label, str, object]] = []
+    stack: list[tuple[Label, str, object]] = [((), "", value)]
     while stack:
-        prefix, node = stack.pop()
+        label, prefix, node = stack.pop()
         if node is None:
             continue
         if isinstance(node, list):
-            stack.extend((prefix, child) for child in reversed(node))
+            stack.extend((label + (i,), prefix, child) for i, child in reversed(list(enumerate(node))))
         elif isinstance(node, dict):
+            at = {k: label + (i,) for i, k in enumerate(node)}
             key = next((k for k in ("flag", "name", "key") if isinstance(node.get(k), str)), None)
             if key and "value" in node:
-                stack.append((f"{prefix}_{node[key]}" if prefix else node[key], node["value"]))
+                stack.append((at["value"], f"{prefix}_{node[key]}" if prefix else node[key], node["value"]))
             elif not prefix and isinstance(node.get("flags"), (dict, list)):
-                stack.append(("", node["flags"]))
+                stack.append((at["flags"], "", node["flags"]))
             else:
-                stack.extend((f"{prefix}_{k}" if prefix else k, child) for k, child in reversed(list(node.items())))
+                stack.extend((at[k], f"{prefix}_{k}" if prefix else k, child) for k, child in reversed(list(node.items())))
         elif prefix:
-            names.append(prefix)
-    return names
+            found.append((label, prefix, node))
+    return found
 
 
-def _members(row: object, label: Label, path: tuple[str, ...]) -> list[tuple[Label, object]]:
-    """Labels of the scalar members below ``row`` at ``path``, each an extension of the row's label."""
+def _member(row: object, label: Label, path: tuple[str, ...]) -> tuple[Label, object] | None:
+    """Label and value of the member of ``row`` at ``path``; the label is an extension of the row's."""
     node = row
     for key in path:
         if not isinstance(node, dict) or node.get(key) is None:
-            return []
+            return None
         label, node = label + (list(node).index(key),), node[key]
-    return row_labels(node, label)
+    return label, node
 
 
-def shred(field: str, text: str | None) -> list[tuple[str, int, str]]:
-    """(child table, parent position, item) of every flat row in one field."""
-    value = parse(text)
-    if value is None:
-        return []
-    if field == "form_flags":
-        return [("form_flag", -1, name) for name in flag_names(value)]
+def rows_below(field: str, value) -> tuple[str, list[tuple[Label, object]], dict[str, tuple[str, ...]]]:
+    """The table of a field's rows, the labelled rows, and the paths of their child tables."""
     if field == "schedule_e":
         if isinstance(value, dict):
             rows = [r for i, k in enumerate(value) if k in ("rows", "year_rows", "items") for r in row_labels(value[k], (i,))]
         else:
             rows = row_labels(value, ())
-        table, members = "year_row", (("year_row_money", ("raw_values", "money_tokens")),)
-    else:
-        rows = row_labels(value, ())
-        table, members = "line_item", (("line_item_flag", ("flags",)), ("line_item_money", ("raw_values", "money_tokens")))
-    out = [(table, -1, str(pos)) for pos in range(len(rows))]
+        return "year_row", rows, YEAR_ROW_CHILDREN
+    return "line_item", row_labels(value, ()), LINE_ITEM_CHILDREN
+
+
+def child_rows(rows: list[tuple[Label, object]], path: tuple[str, ...]) -> list[tuple[int, Label, int, Label, object]]:
+    """(parent position, parent label, own position, label, value) of every row of the child table at ``path``."""
     at = {label: pos for pos, (label, _) in enumerate(rows)}
-    for child, path in members:
-        labels = [(m, label) for label, row in rows for m, _ in _members(row, label, path)]
-        own: dict[Label, int] = {}
-        for m, row_label in labels:
-            parent = m[: len(row_label)]  # the parent's label is the child's, cut to the depth of its row
+    out = []
+    own: dict[Label, int] = {}
+    for row_label, row in rows:
+        member = _member(row, row_label, path)
+        for label, node in row_labels(member[1], member[0]) if member else ():
+            parent = label[: len(row_label)]  # the parent's label is the child's, cut to the depth of its row
             own[parent] = own.get(parent, -1) + 1
-            out.append((child, at[parent], str(own[parent])))
+            out.append((at[parent], parent, own[parent], label, node))
+    return out
+
+
+def shred(field: str, text: str | None) -> list[tuple[str, int, str]]:
+    """(child table, parent position, item) of every flat row in one field."""
+    value = parse(text)
+    if value is None:
+        return []
+    if field == "form_flags":
+        return [("form_flag", -1, name) for _, name, _ in flag_nodes(value)]
+    table, rows, children = rows_below(field, value)
+    out = [(table, -1, str(pos)) for pos in range(len(rows))]
+    for child, path in children.items():
+        out += [(child, parent, str(own)) for parent, _, own, _, _ in child_rows(rows, path)]
+    return out
+
+
+def by_path(row: object, label: Label, apart: list[Label]) -> dict[str, list[str]]:
+    """The scalars below ``row`` by schema path from it on, in reading order, without those below the labels ``apart``."""
+    found: dict[str, list[str]] = {}
+    for at, path, node in dewey(row, label):
+        if not isinstance(node, (dict, list)) and not any(at[: len(a)] == a for a in apart):
+            found.setdefault(path or "$", []).append(written(node))
+    return found
+
+
+def dotted(label: Label) -> str:
+    return ".".join(map(str, label))
+
+
+def table_rows(child: str, text: str | None) -> list[tuple]:
+    """The rows of the flat table ``child`` in one field, without the record's id."""
+    value = parse(text, Number)
+    if value is None:
+        return []
+    if child == "form_flag":
+        return [(dotted(label), name, written(node)) for label, name, node in flag_nodes(value)]
+    table, rows, children = rows_below(FIELD[child], value)
+    if child != table:
+        return [(parent, dotted(above), own, dotted(label), written(node)) for parent, above, own, label, node in child_rows(rows, children[child])]
+    out = []
+    for pos, (label, row) in enumerate(rows):
+        apart = [member[0] for path in children.values() if (member := _member(row, label, path))]
+        paths = by_path(row, label, apart)
+        values = [paths.pop(f".{name}", [None])[0] for name in (YEAR_ROW if child == "year_row" else LINE_ITEM)]
+        out.append((pos, dotted(label), *values, json.dumps(paths) if paths else None))
     return out
 
 
@@ -150,21 +221,56 @@ def flatten_records(df: DataFrame, record_id: str, fields: list[str]) -> DataFra
     return flat_map(chosen, run, "child STRING, record_id BIGINT, parent_pos INT, item STRING")
 
 
+def amount(text: Column) -> Column:
+    """The number in a value as it is written: a JSON number, else an amount."""
+    return F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double")).otherwise(texts.money(text))
+
+
+def flat_table(df: DataFrame, record_id: str, child: str) -> DataFrame:
+    """The flat table ``child`` of the field it comes from, with its values and the keys of its parents.
+
+    form_flag: (record_id, dewey, flag, value). year_row, line_item: (record_id, pos, dewey), the members as they are
+    written, ``rest`` (JSON of all other scalars, by schema path), year and amounts as numbers. Their children:
+    (record_id, parent_pos, parent_dewey, pos, dewey, value), with the amount of a money token.
+    """
+    if child == "form_flag":
+        schema = "record_id BIGINT, dewey STRING, flag STRING, value STRING"
+    elif child in ("year_row", "line_item"):
+        members = YEAR_ROW if child == "year_row" else LINE_ITEM
+        schema = f"record_id BIGINT, pos INT, dewey STRING, {', '.join(f'{m} STRING' for m in members)}, rest STRING"
+    else:
+        schema = "record_id BIGINT, parent_pos INT, parent_dewey STRING, pos INT, dewey STRING, value STRING"
+    width = schema.count(",") + 1
+
+    def run(columns: list[list]) -> list[list]:
+        out: list[list] = [[] for _ in range(width)]
+        for row_id, text in zip(*columns, strict=True):
+            for row in table_rows(child, text):
+                for values, x in zip(out, (row_id, *row), strict=True):
+                    values.append(x)
+        return out
+
+    flat = flat_map(df.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(FIELD[child]).cast("string").alias("text")), run, schema)
+    if child in ("year_row", "line_item"):
+        flat = flat.withColumn("year", amount(F.col("year_acquired")).try_cast("int"))
+        return flat.withColumns({f"{m}_amount": amount(F.col(m)) for m in AMOUNTS if m in flat.columns})
+    return flat.withColumn("amount", amount(F.col("value"))) if child.endswith("_money") else flat
+
+
 def dewey_nodes(df: DataFrame, record_id: str, field: str) -> DataFrame:
     """Every non-null node of ``field``: (record_id, dewey, parent_dewey, schema_path, value).
 
     ``dewey`` is the dotted label, ``parent_dewey`` the label cut by one step (NULL at the root), ``value`` the
-    scalar's text (NULL for objects and lists). Grouping by ``schema_path`` gives one flat table per path.
+    scalar's text as it is written (NULL for objects and lists).
     """
 
     def run(columns: list[list]) -> list[list]:
         out: list[list] = [[], [], [], [], []]
         for row_id, text in zip(*columns, strict=True):
-            for label, path, node in dewey(parse(text)):
-                dotted = ".".join(map(str, label))
-                parent = None if not label else ".".join(map(str, label[:-1]))
-                scalar = None if isinstance(node, (dict, list)) else json.dumps(node) if not isinstance(node, str) else node
-                for values, x in zip(out, (row_id, dotted, parent, path or "$", scalar), strict=True):
+            for label, path, node in dewey(parse(text, Number)):
+                parent = dotted(label[:-1]) if label else None
+                scalar = None if isinstance(node, (dict, list)) else written(node)
+                for values, x in zip(out, (row_id, dotted(label), parent, path or "$", scalar), strict=True):
                     values.append(x)
         return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadastra.operators import nested, packed
 from cadastra.session import table
@@ -20,12 +21,38 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.unionByName(values)
 
 
-def p3_schema_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes, records and scalars of every schema path of the line items: the tables they fall into."""
-    from pyspark.sql import functions as F
+def p3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flag of the forms with its value."""
+    return nested.flat_table(table(spark, sf_dir, "rendition_result"), "result_id", "form_flag")
+
+
+def p3_year_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every year row of the schedules with its members."""
+    return nested.flat_table(table(spark, sf_dir, "rendition_result"), "result_id", "year_row")
+
+
+def p3_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item with its members."""
+    return nested.flat_table(table(spark, sf_dir, "valuation_result"), "valuation_id", "line_item")
+
 
-    nodes = nested.dewey_nodes(table(spark, sf_dir, "valuation_result"), "valuation_id", "line_items")
-    return nodes.groupBy("schema_path").agg(F.count("*").alias("nodes"), F.count("value").alias("scalars"), F.count("parent_dewey").alias("linked"))
+def p3_item_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flag of a line item, linked to the item."""
+    return nested.flat_table(table(spark, sf_dir, "valuation_result"), "valuation_id", "line_item_flag")
+
+
+def p3_money_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every money token, linked to its year row (child year_row_money) or line item (line_item_money)."""
+    years = nested.flat_table(table(spark, sf_dir, "rendition_result"), "result_id", "year_row_money")
+    items = nested.flat_table(table(spark, sf_dir, "valuation_result"), "valuation_id", "line_item_money")
+    return years.withColumn("child", F.lit("year_row_money")).unionByName(items.withColumn("child", F.lit("line_item_money")))
+
+
+def p3_schema_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, records and scalars of every schema path of the three fields."""
+    fields = (("rendition_result", "result_id", "form_flags"), ("rendition_result", "result_id", "schedule_e"), ("valuation_result", "valuation_id", "line_items"))
+    nodes = reduce(DataFrame.unionByName, [nested.dewey_nodes(table(spark, sf_dir, name), row_id, field).withColumn("field_name", F.lit(field)) for name, row_id, field in fields])
+    return nodes.groupBy("field_name", "schema_path").agg(F.count("*").alias("nodes"), F.count("value").alias("scalars"), F.count("parent_dewey").alias("linked"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +63,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_schema_paths": p3_schema_paths, "p4_found": p4_found}
+    flat = {"p3_flags": p3_flags, "p3_year_rows": p3_year_rows, "p3_line_items": p3_line_items, "p3_item_flags": p3_item_flags, "p3_money_tokens": p3_money_tokens}
+    return {"p3_found": p3_found, **flat, "p3_schema_paths": p3_schema_paths, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -71,3 +71,35 @@ def test_operator_over_a_table(spark):
     assert nested.flatten_records(df.limit(0), "id", ["line_items"]).count() == 0
     nodes = nested.dewey_nodes(df, "id", "line_items")
     assert nodes.alias("n").join(nodes.alias("p"), "record_id").where("n.parent_dewey = p.dewey").count() > 0
+
+
+def test_flat_tables_have_values_and_parent_keys(spark):
+    flags = json.dumps({"see_attached": "yes", "section_3": {"present": 0, "checked": None}})
+    schedule = '{"present": true, "year_rows": [null, {"year_acquired": "$ 2,015.00", "historical_cost": 1e3, "raw_values": {"money_tokens": ["1,200", null, "7"], "year_tokens": ["2015"]}}]}'
+    items = '[{"page": 1, "items": [{"schedule": "E", "raw_text": "2019 46,796", "historical_cost": "46,796", "flags": ["a", null, "b"], "raw_values": {"money_tokens": "46,796", "region": {"x_index": 2}}}]}, "lone"]'
+    df = spark.createDataFrame([(1, flags, schedule, items), (2, None, "{", "")], "id BIGINT, form_flags STRING, schedule_e STRING, line_items STRING")
+
+    def rows(child, *columns):
+        return sorted(map(tuple, nested.flat_table(df, "id", child).select(*columns).collect()))
+
+    assert rows("form_flag", "record_id", "dewey", "flag", "value") == [(1, "0", "see_attached", "yes"), (1, "1.0", "section_3_present", "0")]
+    assert rows("year_row", "record_id", "pos", "dewey", "year_acquired", "year", "historical_cost", "historical_cost_amount", "rest") == [(1, 0, "1.1", "$ 2,015.00", 2015, "1e3", 1000.0, '{".raw_values.year_tokens[]": ["2015"]}')]
+    assert rows("line_item", "pos", "dewey", "schedule", "raw_text", "historical_cost_amount", "rest") == [(0, "0.1.0", "E", "2019 46,796", 46796.0, '{".raw_values.region.x_index": ["2"]}'), (1, "1", None, None, None, '{"$": ["lone"]}')]
+    link = ("record_id", "parent_pos", "parent_dewey", "pos", "dewey", "value")
+    assert rows("line_item_flag", *link) == [(1, 0, "0.1.0", 0, "0.1.0.3.0", "a"), (1, 0, "0.1.0", 1, "0.1.0.3.2", "b")]
+    assert rows("year_row_money", *link, "amount") == [(1, 0, "1.1", 0, "1.1.2.0.0", "1,200", 1200.0), (1, 0, "1.1", 1, "1.1.2.0.2", "7", 7.0)]
+    assert rows("line_item_money", *link, "amount") == [(1, 0, "0.1.0", 0, "0.1.0.4.0", "46,796", 46796.0)]
+
+
+def test_flat_tables_hold_the_rows_that_are_found():
+    from cadastra.plans import record_queries as q
+
+    values = {"form_flags": ['{"flags": {"a": 1, "b": {"c": null, "d": "x"}}}', '[{"flag": "a", "value": false}]'], "schedule_e": ['{"rows": [[{"year_acquired": 1}], {"items": [{"raw_values": {"money_tokens": ["1", ["2"]]}}]}]}'], "line_items": [json.dumps([ROW, [ROW, None], {"items": [ROW], "count": 1}, 5])]}
+    for field, texts in values.items():
+        for text in texts:
+            flat = []
+            for child in (c for c, f in nested.FIELD.items() if f == field):
+                for row in nested.table_rows(child, text):
+                    flat.append((child, -1, row[1] if child == "form_flag" else str(row[0])) if len(row) != 5 else (child, row[0], str(row[2])))
+            assert sorted(flat) == sorted(nested.shred(field, text)) != []
+    assert {"p3_flags", "p3_year_rows", "p3_line_items", "p3_item_flags", "p3_money_tokens"} <= q.queries().keys()
