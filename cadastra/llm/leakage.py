@@ -4,12 +4,13 @@ Texts are compared as lower-case letters and digits without anything between the
 and split words do not count. A test item is cut into clauses of about ``CLAUSE_WORDS`` words. A clause that a
 document takes over with at most ``k`` edits leaves at least one of ``k + 1`` disjoint pieces untouched, so an
 automaton over all pieces finds every candidate exactly, and Myers' bit-parallel distance verifies the clause in
-the window around the hit. Before any verification an exact bound drops pairs: a clause without a piece
-hit cannot match, so the words of the clauses with hits must reach the wanted share.
+the window around the hit.
 
-Clauses of sentences that several items share are not an item's own, nor are clauses found in many different
-texts; the document counts behind that cover the whole corpus. The corpus is read once by a narrow map; only
-matched clauses are shuffled. The test items are a stated query set: each block of ``BLOCK`` of them is
+Clauses of sentences that several items share are not an item's own, nor are clauses that stand in many different
+texts, in most of them without the rest of their item; an item that leaks widely keeps its clauses, which stand
+beside each other. The counts behind that are of every matched clause of every document, whatever else of the item
+the document holds, and the share of an item is of the clauses left. The corpus is read once by a narrow map;
+only matched clauses are shuffled. The test items are a stated query set: each block of ``BLOCK`` of them is
 broadcast, so memory is bounded whatever their number.
 
 Defined results: NULL and empty texts match nothing; items without own words match nothing; repeated documents
@@ -37,10 +38,11 @@ SHARE = 0.27
 #: Length of the grams that rule out a window before its distance is computed.
 GRAM = 3
 #: Sentences of at least so many items, and clauses in more than this share of the different texts (and in more
-#: than COMMON_TEXTS of them), are common property.
+#: than COMMON_TEXTS of them) that stand beside the rest of their item in less than BESIDE of these, are common property.
 SHARED_ITEMS = 3
 COMMON_SHARE = 0.005
 COMMON_TEXTS = 50
+BESIDE = 0.5
 BLOCK = 5000
 _DROP = bytes(c for c in range(256) if not chr(c).isalnum() or c > 127)
 
@@ -54,20 +56,20 @@ def sentences(text: str) -> list[list[str]]:
     return [ws for s in re.split(r"(?<=[.?!])\s+", text or "") if (ws := [x for w in s.split() if (x := letters(w))])]
 
 
-def clauses(items: Iterable[tuple[int, str]]) -> list[tuple[int, int, str, int]]:
-    """(item_id, number, letters, words) of the clauses of the items' own sentences."""
+def clauses(items: Iterable[tuple[int, str]]) -> list[tuple[int, int, str, int, int]]:
+    """(item_id, number, letters, words, sentence) of the clauses of the items' own sentences."""
     split = {item: sentences(text) for item, text in items}
     shared = Counter(s for own in split.values() for s in {"".join(ws) for ws in own})
     out = []
     for item, own in split.items():
         number = 0
-        for ws in own:
+        for sentence, ws in enumerate(own):
             if shared["".join(ws)] >= SHARED_ITEMS:
                 continue
             parts = max(1, round(len(ws) / CLAUSE_WORDS))
             for p in range(parts):
                 piece = ws[p * len(ws) // parts : (p + 1) * len(ws) // parts]
-                out.append((item, number, "".join(piece), len(piece)))
+                out.append((item, number, "".join(piece), len(piece), sentence))
                 number += 1
     return out
 
@@ -118,17 +120,19 @@ def myers(pattern: str, text: str, k: int) -> int:
 class Matcher:
     """Finds the clauses of a block of items in one text after another."""
 
-    def __init__(self, rows: list[tuple[int, int, str, int]]):
+    def __init__(self, rows: list[tuple[int, int, str, int, int]]):
         import ahocorasick
 
         self.rows = rows
         self.own: Counter = Counter()
+        self.sentences: dict[int, set[int]] = defaultdict(set)
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for n, (item, _, clause, words) in enumerate(rows):
+        for n, (item, _, clause, words, sentence) in enumerate(rows):
             self.own[item] += words
+            self.sentences[item].add(sentence)
             for offset, piece in pieces(clause):
                 at[piece].append((n, offset))
-        self.grams = [grams(clause) for _, _, clause, _ in rows]
+        self.grams = [grams(clause) for _, _, clause, _, _ in rows]
         self.machine = ahocorasick.Automaton()
         for piece, where in at.items():
             self.machine.add_word(piece, (len(piece), tuple(where)))
@@ -147,12 +151,19 @@ class Matcher:
                 continue  # the last window holds this one
             end = start + len(clause) + 3 * k
             window = flat[max(0, start - k) : end]
-            if len(own - grams(window)) <= GRAM * k and myers(clause, window, k) <= k:
-                return True
+            lacks = 0
+            for gram in own:
+                if gram not in window:
+                    lacks += 1
+                    if lacks > GRAM * k:
+                        break
+            else:
+                if myers(clause, window, k) <= k:
+                    return True
         return False
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, clause number, words) of the clauses that ``text`` takes over."""
+    def _hit(self, text: str | None) -> list[int]:
+        """The rows of the clauses that ``text`` takes over, however little of their item that is."""
         flat = letters(text or "")
         if not flat or not len(self.machine):
             return []
@@ -160,49 +171,43 @@ class Matcher:
         for end, (length, where) in self.machine.iter(flat):
             for n, offset in where:
                 hits.setdefault(n, []).append(end + 1 - length - offset)
-        if not hits:
-            return []
-        reach: Counter = Counter()
-        for n in hits:
-            item, _, _, words = self.rows[n]
-            reach[item] += words
-        candidates: dict[int, list[int]] = {}
-        for n in hits:
-            item = self.rows[n][0]
-            if reach[item] >= SHARE * self.own[item]:
-                candidates.setdefault(item, []).append(n)
-        found = []
-        for item, numbers in candidates.items():
-            need, left, taken, kept = SHARE * self.own[item], reach[item], 0, []
-            for n in sorted(numbers, key=lambda n: (len(hits[n]), n)):
-                _, number, clause, words = self.rows[n]
-                left -= words
-                if self._taken(clause, self.grams[n], hits[n], flat):
-                    taken += words
-                    kept.append((item, number, words))
-                elif taken + left < need:
-                    break
-            else:
-                found += kept
-        return found
+        return [n for n in sorted(hits) if self._taken(self.rows[n][2], self.grams[n], hits[n], flat)]
+
+    def matches(self, text: str | None) -> list[tuple[int, int, int]]:
+        """(item_id, clause number, words) of the clauses that ``text`` takes over."""
+        return [(item, number, words) for item, number, _, words, _ in (self.rows[n] for n in self._hit(text))]
+
+    def placed(self, text: str | None) -> list[tuple[int, int, int, bool]]:
+        """The matches, and whether each stands beside the rest of its item.
+
+        It does if ``text`` holds the wanted share of the item, some of it in another sentence. An item of one own
+        sentence has no rest to be without.
+        """
+        taken: Counter = Counter()
+        held: dict[int, set[int]] = defaultdict(set)
+        hit = [self.rows[n] for n in self._hit(text)]
+        for item, _, _, words, sentence in hit:
+            taken[item] += words
+            held[item].add(sentence)
+        return [(item, number, words, len(self.sentences[item]) == 1 or len(held[item]) > 1 and taken[item] >= SHARE * self.own[item]) for item, number, _, words, _ in hit]
 
 
-def leaked_clauses(documents: DataFrame, rows: list[tuple[int, int, str, int]]) -> DataFrame:
-    """(doc_id, text_hash, item_id, clause, words) of every clause that a document takes over."""
+def matched_clauses(documents: DataFrame, rows: list[tuple[int, int, str, int, int]]) -> DataFrame:
+    """(doc_id, text_hash, item_id, clause, words, beside) of every clause that a document takes over."""
     made: list[Matcher] = []  # once a task
 
     def run(columns: list[list]) -> list[list]:
         if not made:
             made.append(Matcher(rows))
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for doc_id, text_hash, text in zip(*columns, strict=True):
-            for match in made[0].matches(text):
+            for match in made[0].placed(text):
                 for values, x in zip(out, (doc_id, text_hash, *match), strict=True):
                     values.append(x)
         return out
 
     chosen = documents.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return flat_map(chosen, run, "doc_id BIGINT, text_hash BIGINT, item_id BIGINT, clause INT, words INT")
+    return flat_map(chosen, run, "doc_id BIGINT, text_hash BIGINT, item_id BIGINT, clause INT, words INT, beside BOOLEAN")
 
 
 def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
@@ -213,13 +218,15 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     parts = [clauses([(r["item_id"], r["item_text"]) for r in items.where(block == b).select("item_id", "item_text").collect()]) for b in range(blocks)]
     found = None
     for rows in parts:
-        part = leaked_clauses(documents, rows)
+        part = matched_clauses(documents, rows)
         found = part if found is None else found.unionByName(part)
-    found = checkpointed(found)  # a few matches, read by two branches: the corpus is matched once
+    found = checkpointed(found)  # read by two branches: the corpus is matched once
     texts = documents.where(F.length("text") > 0).agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
-    spread = found.groupBy("item_id", "clause").agg(F.countDistinct("text_hash").alias("in_texts"))
-    common = spread.crossJoin(F.broadcast(texts)).where(F.col("in_texts") > F.greatest(F.lit(COMMON_TEXTS), F.col("texts") * COMMON_SHARE)).select("item_id", "clause")
-    sizes = spark.createDataFrame([(i, n, w) for rows in parts for i, n, _, w in rows], "item_id BIGINT, clause INT, words INT")
+    standing = found.select("item_id", "clause", "text_hash", "beside").distinct()
+    spread = standing.groupBy("item_id", "clause").agg(F.count("*").alias("in_texts"), F.count_if("beside").alias("beside_rest"))
+    many = F.col("in_texts") > F.greatest(F.lit(COMMON_TEXTS), F.col("texts") * COMMON_SHARE)
+    common = spread.crossJoin(F.broadcast(texts)).where(many & (F.col("beside_rest") < F.col("in_texts") * BESIDE)).select("item_id", "clause")
+    sizes = spark.createDataFrame([(i, n, w) for rows in parts for i, n, _, w, _ in rows], "item_id BIGINT, clause INT, words INT")
     own = sizes.join(common, ["item_id", "clause"], "left_anti").groupBy("item_id").agg(F.sum("words").alias("own_words"))
     taken = found.join(common, ["item_id", "clause"], "left_anti").groupBy("doc_id", "item_id").agg(F.sum("words").alias("words"))
     scored = taken.join(own, "item_id").withColumn("words_share", F.col("words") / F.col("own_words"))

@@ -60,3 +60,20 @@ def test_operator(spark):
     got = leakage.leaks(docs, items).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 1), (5, 2)]
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
+
+
+ALONE = "Whoever signs below states that every figure on this page was read twice and found true."
+HALF = f"{ALONE} Two amber kilns left Vostrel harbour under tarpaulin. Nobody at Quenby Yard had weighed the copper vats. The porter kept nine brass keys in a biscuit tin."
+
+
+def found_in(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = leakage.leaks(docs, spark.createDataFrame(items, "item_id BIGINT, item_text STRING")).collect()
+    return sorted((r["doc_id"], r["item_id"]) for r in got)
+
+
+def test_widely_leaked_item_stays_and_a_sentence_standing_alone_does_not_count(spark):
+    leaking, alone = [f"{n}. {FILLER} {ITEM}" for n in range(60)], [f"{n}. {FILLER} {ALONE}" for n in range(60)]
+    assert found_in(spark, leaking, [(1, ITEM)]) == [(n, 1) for n in range(60)]
+    assert found_in(spark, leaking + alone, [(1, ITEM), (7, HALF)]) == [(n, 1) for n in range(60)]
+    assert found_in(spark, [f"{n}. {ALONE}" for n in range(60)], [(8, ALONE)]) == [(n, 8) for n in range(60)]
