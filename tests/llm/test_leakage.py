@@ -77,3 +77,12 @@ def test_widely_leaked_item_stays_and_a_sentence_standing_alone_does_not_count(s
     assert found_in(spark, leaking, [(1, ITEM)]) == [(n, 1) for n in range(60)]
     assert found_in(spark, leaking + alone, [(1, ITEM), (7, HALF)]) == [(n, 1) for n in range(60)]
     assert found_in(spark, [f"{n}. {ALONE}" for n in range(60)], [(8, ALONE)]) == [(n, 8) for n in range(60)]
+
+
+def test_share_is_of_the_words_left_without_common_clauses(spark):
+    alone = [f"{n}. {FILLER} {ALONE}" for n in range(60)]
+    passage = "Two amber kilns left Vostrel harbour under tarpaulin."
+    words = len(passage.split())
+    left = len(HALF.split()) - len(ALONE.split())
+    assert words < leakage.SHARE * len(HALF.split()) and words >= leakage.SHARE * left
+    assert found_in(spark, [*alone, FILLER + passage], [(7, HALF)]) == [(60, 7)]
