@@ -1,21 +1,24 @@
 """Deeply nested semi-structured records as flat tables (problem 3), by Dewey labelling.
 
-Every node of a JSON value gets an ordinal path identifier (its Dewey label) and a schema path. The nodes below
-a row are grouped by their schema path from the row on into the columns of its table, and the parent of a row is
-found by truncating its label, so a child needs no key of its own. The labels of one record depend on that record
-alone: the operator is one narrow map over the rows, with no shuffle, and as wide as the input.
-
-Defined results: NULL, empty, unreadable or cut-off JSON gives no rows; null elements give no row and take no
-position; a lone value counts as a list of one; JSON text inside a JSON string is opened; repeated records
-give repeated rows under their own ids; further columns of the input are ignored. Values come out as they are
-written; members of a row that its table has no column for are in ``rest``. Counts and page numbers beside a list
-of rows, and members of a schedule beside its rows, are no part of the flat tables.
+Every node of a JSON value gets an ordinal path identifier (its Dewey label) and a schema path. Nodes are grouped by
+schema path: the path alone tells the table that a node belongs to (``Shape.role``), or the column of its row. The
+parent of a row is found by truncating its label to the depth that the path names, so a child needs no key of its
+own, and positions are the order of the labels. The labels of one record depend on that record alone: the operator
+is one narrow map over the rows, with no shuffle, and as wide as the input.
+
+Defined results: NULL, empty, unreadable or cut-off JSON gives no rows; several JSON values after one another in one
+field (one to a line, say) count as a list of them, and give no rows if one of them is unreadable; null elements give
+no row and take no position; a lone value counts as a list of one; JSON text inside a JSON string is opened;
+repeated records give repeated rows under their own ids; further columns of the input are ignored. Values come out
+as they are written; members of a row that its table has no column for are in ``rest``. Counts and page numbers
+beside a list of rows, and members of a schedule beside its rows, are no part of the flat tables.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,21 +26,56 @@ from pyspark.sql import functions as F
 from cadastra.functions import text as texts
 from cadastra.session import flat_map
 
-#: Members that only wrap a list of rows, with counts or page numbers beside it.
-WRAPPERS = ("items", "flags", "rows", "year_rows", "line_items", "data")
 Label = tuple[int, ...]
-#: Members of the rows that are columns of their tables, by schema path from the row on.
+#: The keys on the way to a node, None for an element of a list.
+Path = tuple[str | None, ...]
+#: Members of the rows that are columns of their tables.
 YEAR_ROW = ("subsection", "year_acquired", "historical_cost", "good_faith_value")
 LINE_ITEM = ("schedule", *YEAR_ROW, "calculated_value", "depreciation_factor", "exact_value", "raw_text", "source_page", "confidence")
-#: Members of the rows that are tables of their own.
-MONEY, FLAGS = ("raw_values", "money_tokens"), ("flags",)
-YEAR_ROW_CHILDREN = {"year_row_money": MONEY}
-LINE_ITEM_CHILDREN = {"line_item_flag": FLAGS, "line_item_money": MONEY}
 AMOUNTS = ("historical_cost", "good_faith_value", "calculated_value", "exact_value")
 #: The field that each flat table comes from.
 FIELD = {"form_flag": "form_flags", "year_row": "schedule_e", "year_row_money": "schedule_e", "line_item": "line_items", "line_item_flag": "line_items", "line_item_money": "line_items"}
 
 
+class Shape:
+    """How the schema paths of one field map to its tables.
+
+    Rows stand at paths made of list elements and ``wrappers`` only, members whose objects merely hold a list of rows
+    with counts or page numbers beside it. ``children`` are the paths from a row on to its child tables. ``rooted``:
+    whether a lone object at the root is a row itself.
+    """
+
+    def __init__(self, table: str, columns: tuple[str, ...], children: dict[str, Path], wrappers: frozenset[str], rooted: bool):
+        self.table, self.columns, self.children, self.wrappers, self.rooted = table, columns, children, wrappers, rooted
+        self.role = cache(self._role)
+
+    def _within(self, path: Path, at: int) -> int:
+        while at < len(path) and (path[at] is None or path[at] in self.wrappers):
+            at += 1
+        return at
+
+    def _role(self, path: Path) -> tuple[str | None, int]:
+        """(table or "" for a column of the row, depth of the row) of the nodes at ``path``."""
+        depth = self._within(path, 0)
+        if depth == len(path):
+            return (self.table if depth or self.rooted else None), depth
+        for child, member in self.children.items():
+            if path[depth : depth + len(member)] == member and self._within(path, depth + len(member)) == len(path):
+                return child, depth
+        return "", depth
+
+    def holds_rows(self, node: object) -> bool:
+        """Whether an object only wraps a list of rows."""
+        return isinstance(node, dict) and any(k in node and isinstance(node[k], (list, dict, type(None))) for k in self.wrappers)
+
+
+_HOLDERS = frozenset({"items", "rows", "year_rows", "line_items", "data"})
+SHAPES = {
+    "schedule_e": Shape("year_row", YEAR_ROW, {"year_row_money": ("raw_values", "money_tokens")}, _HOLDERS, False),
+    "line_items": Shape("line_item", LINE_ITEM, {"line_item_flag": ("flags",), "line_item_money": ("raw_values", "money_tokens")}, _HOLDERS, True),
+}
+
+
 class Number(float):
     """A JSON number that keeps the text it was written as."""
 
@@ -47,53 +85,57 @@ class Number(float):
         return number
 
 
+_DECODERS = {kind: json.JSONDecoder(parse_int=kind, parse_float=kind) for kind in (float, Number)}
+
+
 def parse(text: str | None, number: type[float] = float):
-    """The JSON value of ``text``, or None. Where only shape and order matter, plain floats do for ``number``."""
+    """The JSON value of ``text``, a list of them if several stand after one another, or None if any is unreadable.
+
+    Where only shape and order matter, plain floats do for ``number``.
+    """
+    decoder = _DECODERS[number]
     for _ in range(4):
         if not isinstance(text, str):
             return text
-        if not text.strip():
-            return None
-        try:
-            text = json.loads(text, parse_int=number, parse_float=number)
-        except (ValueError, RecursionError):
+        values, at, end = [], 0, len(text)
+        while at < end:
+            if text[at].isspace() or (text[at] in ",\x1e﻿" and at + 1 < end):
+                at += 1
+                continue
+            try:
+                value, at = decoder.raw_decode(text, at)
+            except (ValueError, RecursionError):
+                return None
+            values.append(value)
+        if not values:
             return None
+        text = values[0] if len(values) == 1 else values
     return None
 
 
-def dewey(value, root: Label = ()) -> Iterator[tuple[Label, str, object]]:
-    """(label, schema path, value) of every non-null node below ``value`` in reading order."""
-    stack = [(root, "", value)]
+def dewey(value, root: Label = (), path: Path = ()) -> Iterator[tuple[Label, Path, object]]:
+    """(label, path, value) of every non-null node below ``value`` in reading order."""
+    stack = [(root, path, value)]
     while stack:
-        label, path, node = stack.pop()
+        label, at, node = stack.pop()
         if node is None:
             continue
-        yield label, path, node
+        yield label, at, node
         if isinstance(node, dict):
-            stack.extend((label + (i,), f"{path}.{key}", child) for i, (key, child) in reversed(list(enumerate(node.items()))))
+            stack.extend([(label + (i,), at + (key,), child) for i, (key, child) in enumerate(node.items())][::-1])
         elif isinstance(node, list):
-            stack.extend((label + (i,), f"{path}[]", child) for i, child in reversed(list(enumerate(node))))
+            inside = at + (None,)
+            stack.extend([(label + (i,), inside, child) for i, child in enumerate(node)][::-1])
 
 
-def _is_wrapper(node: dict) -> bool:
-    """Whether an object only holds a list of rows: it has a member for them and none that a row has."""
-    return any(isinstance(node.get(k), (list, dict)) for k in WRAPPERS) and not ({"schedule", "year_acquired", "raw_text", "historical_cost"} & node.keys())
+@cache
+def shown(path: Path) -> str:
+    """A schema path for readers: ``.items[].flags``, ``$`` for none."""
+    return "".join("[]" if key is None else f".{key}" for key in path) or "$"
 
 
-def row_labels(value, root: Label, member: str | None = None) -> list[tuple[Label, object]]:
-    """Labels of the rows held by ``value`` in reading order: lists, lists of lists, wrappers and lone objects."""
-    found, stack = [], [(root, value)]
-    while stack:
-        label, node = stack.pop()
-        if node is None:
-            continue
-        if isinstance(node, list):
-            stack.extend((label + (i,), child) for i, child in reversed(list(enumerate(node))))
-        elif isinstance(node, dict) and _is_wrapper(node):
-            stack.extend((label + (i,), node[key]) for i, key in reversed(list(enumerate(node))) if key in WRAPPERS)
-        else:
-            found.append((label, node))
-    return found
+def dotted(label: Label) -> str:
+    return ".".join(map(str, label))
 
 
 def written(node) -> str | None:
@@ -102,62 +144,58 @@ def written(node) -> str | None:
 
 
 def flag_nodes(value) -> list[tuple[Label, str, object]]:
-    """(label, flat name, value) of the non-null flags: plain members, groups, and lists of named values."""
-    found: list[tuple[Label, str, object]] = []
-    stack: list[tuple[Label, str, object]] = [((), "", value)]
-    while stack:
-        label, prefix, node = stack.pop()
-        if node is None:
+    """(label, flat name, value) of the non-null flags: plain members, groups, and lists of named values.
+
+    A flat name is made of the keys of the schema path; a ``value`` beside a ``flag``, ``name`` or ``key`` goes by that
+    name, which is found under the same parent label. An object at the root that holds ``flags`` only wraps them.
+    """
+    within: str | None = "flags" if isinstance(value, dict) and isinstance(value.get("flags"), (dict, list)) else None
+    named: dict[Label, str] = {}
+    found = []
+    for label, path, node in dewey(value):
+        if within and path and path[0] != within:
             continue
-        if isinstance(node, list):
-            stack.extend((label + (i,), prefix, child) for i, child in reversed(list(enumerate(node))))
-        elif isinstance(node, dict):
-            at = {k: label + (i,) for i, k in enumerate(node)}
+        if isinstance(node, dict):
             key = next((k for k in ("flag", "name", "key") if isinstance(node.get(k), str)), None)
             if key and "value" in node:
-                stack.append((at["value"], f"{prefix}_{node[key]}" if prefix else node[key], node["value"]))
-            elif not prefix and isinstance(node.get("flags"), (dict, list)):
-                stack.append((at["flags"], "", node["flags"]))
-            else:
-                stack.extend((at[k], f"{prefix}_{k}" if prefix else k, child) for k, child in reversed(list(node.items())))
-        elif prefix:
-            found.append((label, prefix, node))
+                named[label] = node[key]
+        elif not isinstance(node, list):
+            parts, skip = [], False
+            for depth, key in enumerate(path):
+                if key is not None and not (within and depth == 0):
+                    name = named.get(label[:depth])
+                    skip |= name is not None and key != "value"
+                    parts.append(key if name is None else name)
+            if parts and not skip:
+                found.append((label, "_".join(parts), node))
     return found
 
 
-def _member(row: object, label: Label, path: tuple[str, ...]) -> tuple[Label, object] | None:
-    """Label and value of the member of ``row`` at ``path``; the label is an extension of the row's."""
-    node = row
-    for key in path:
-        if not isinstance(node, dict) or node.get(key) is None:
-            return None
-        label, node = label + (list(node).index(key),), node[key]
-    return label, node
-
+def grouped(shape: Shape, value, members: bool) -> tuple[list[tuple[Label, object]], dict[str, list[tuple[Label, Label, object]]], dict[Label, dict[str, list[str]]]]:
+    """The nodes of a field grouped by schema path.
 
-def rows_below(field: str, value) -> tuple[str, list[tuple[Label, object]], dict[str, tuple[str, ...]]]:
-    """The table of a field's rows, the labelled rows, and the paths of their child tables."""
-    if field == "schedule_e":
-        if isinstance(value, dict):
-            rows = [r for i, k in enumerate(value) if k in ("rows", "year_rows", "items") for r in row_labels(value[k], (i,))]
-        else:
-            rows = row_labels(value, ())
-        return "year_row", rows, YEAR_ROW_CHILDREN
-    return "line_item", row_labels(value, ()), LINE_ITEM_CHILDREN
-
-
-def child_rows(rows: list[tuple[Label, object]], path: tuple[str, ...]) -> list[tuple[int, Label, int, Label, object]]:
-    """(parent position, parent label, own position, label, value) of every row of the child table at ``path``."""
-    at = {label: pos for pos, (label, _) in enumerate(rows)}
-    out = []
-    own: dict[Label, int] = {}
-    for row_label, row in rows:
-        member = _member(row, row_label, path)
-        for label, node in row_labels(member[1], member[0]) if member else ():
-            parent = label[: len(row_label)]  # the parent's label is the child's, cut to the depth of its row
-            own[parent] = own.get(parent, -1) + 1
-            out.append((at[parent], parent, own[parent], label, node))
-    return out
+    (label, node) of the rows; by child table (parent label, label, node) of its rows; and with ``members`` by row label
+    its scalars as they are written, by schema path from the row on.
+    """
+    rows: list[tuple[Label, object]] = []
+    children: dict[str, list[tuple[Label, Label, object]]] = {child: [] for child in shape.children}
+    scalars: dict[Label, dict[str, list[str]]] = {}
+    at = set()
+    for label, path, node in dewey(value):
+        table, depth = shape.role(path)
+        if table is None or isinstance(node, list) or shape.holds_rows(node):
+            continue
+        if table == shape.table:
+            rows.append((label, node))
+            at.add(label)
+            if members and not isinstance(node, dict):
+                scalars[label] = {"$": [written(node)]}
+        elif (parent := label[:depth]) in at:  # the parent's label is the node's, cut to the depth of its row
+            if table:
+                children[table].append((parent, label, node))
+            elif members and not isinstance(node, dict):
+                scalars.setdefault(parent, {}).setdefault(shown(path[depth:]), []).append(written(node))
+    return rows, children, scalars
 
 
 def shred(field: str, text: str | None) -> list[tuple[str, int, str]]:
@@ -167,24 +205,21 @@ def shred(field: str, text: str | None) -> list[tuple[str, int, str]]:
         return []
     if field == "form_flags":
         return [("form_flag", -1, name) for _, name, _ in flag_nodes(value)]
-    table, rows, children = rows_below(field, value)
-    out = [(table, -1, str(pos)) for pos in range(len(rows))]
-    for child, path in children.items():
-        out += [(child, parent, str(own)) for parent, _, own, _, _ in child_rows(rows, path)]
+    shape = SHAPES[field]
+    rows, children, _ = grouped(shape, value, False)
+    out = [(shape.table, -1, str(pos)) for pos in range(len(rows))]
+    for child, found in children.items():
+        out += [(child, parent, str(own)) for parent, _, own, _, _ in _placed(rows, found)]
     return out
 
 
-def by_path(row: object, label: Label, apart: list[Label]) -> dict[str, list[str]]:
-    """The scalars below ``row`` by schema path from it on, in reading order, without those below the labels ``apart``."""
-    found: dict[str, list[str]] = {}
-    for at, path, node in dewey(row, label):
-        if not isinstance(node, (dict, list)) and not any(at[: len(a)] == a for a in apart):
-            found.setdefault(path or "$", []).append(written(node))
-    return found
-
-
-def dotted(label: Label) -> str:
-    return ".".join(map(str, label))
+def _placed(rows: list[tuple[Label, object]], found: list[tuple[Label, Label, object]]) -> Iterator[tuple[int, Label, int, Label, object]]:
+    """(parent position, parent label, own position, label, node) of child rows."""
+    at = {label: pos for pos, (label, _) in enumerate(rows)}
+    own: dict[Label, int] = {}
+    for parent, label, node in found:
+        own[parent] = own.get(parent, -1) + 1
+        yield at[parent], parent, own[parent], label, node
 
 
 def table_rows(child: str, text: str | None) -> list[tuple]:
@@ -194,14 +229,14 @@ def table_rows(child: str, text: str | None) -> list[tuple]:
         return []
     if child == "form_flag":
         return [(dotted(label), name, written(node)) for label, name, node in flag_nodes(value)]
-    table, rows, children = rows_below(FIELD[child], value)
-    if child != table:
-        return [(parent, dotted(above), own, dotted(label), written(node)) for parent, above, own, label, node in child_rows(rows, children[child])]
+    shape = SHAPES[FIELD[child]]
+    rows, children, scalars = grouped(shape, value, child == shape.table)
+    if child != shape.table:
+        return [(parent, dotted(above), own, dotted(label), written(node)) for parent, above, own, label, node in _placed(rows, children[child])]
     out = []
-    for pos, (label, row) in enumerate(rows):
-        apart = [member[0] for path in children.values() if (member := _member(row, label, path))]
-        paths = by_path(row, label, apart)
-        values = [paths.pop(f".{name}", [None])[0] for name in (YEAR_ROW if child == "year_row" else LINE_ITEM)]
+    for pos, (label, _) in enumerate(rows):
+        paths = scalars.get(label, {})
+        values = [paths.pop(f".{name}", [None])[0] for name in shape.columns]
         out.append((pos, dotted(label), *values, json.dumps(paths) if paths else None))
     return out
 
@@ -270,7 +305,7 @@ def dewey_nodes(df: DataFrame, record_id: str, field: str) -> DataFrame:
             for label, path, node in dewey(parse(text, Number)):
                 parent = dotted(label[:-1]) if label else None
                 scalar = None if isinstance(node, (dict, list)) else written(node)
-                for values, x in zip(out, (row_id, dotted(label), parent, path or "$", scalar), strict=True):
+                for values, x in zip(out, (row_id, dotted(label), parent, shown(path), scalar), strict=True):
                     values.append(x)
         return out
 

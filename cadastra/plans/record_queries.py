@@ -67,5 +67,46 @@ def queries() -> dict:
     return {"p3_found": p3_found, **flat, "p3_schema_paths": p3_schema_paths, "p4_found": p4_found}
 
 
+_NODES = r"""
+WITH fields AS (
+  SELECT 'form_flags' AS field, result_id AS record_id, form_flags AS t FROM rendition_result
+  UNION ALL SELECT 'schedule_e', result_id, schedule_e FROM rendition_result
+  UNION ALL SELECT 'line_items', valuation_id, line_items FROM valuation_result),
+opened AS (SELECT field, record_id, CASE WHEN json_valid(t) AND json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END AS t FROM fields WHERE trim(t) <> ''),
+listed AS (SELECT *, '[' || regexp_replace(t, '\}\s*\n\s*\{', '},{', 'g') || ']' AS l FROM opened),
+whole AS (SELECT field, record_id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) WHEN json_valid(l) THEN CAST(l AS JSON) END AS j FROM listed),
+nodes AS (
+  SELECT field, record_id, n.id, n.parent, n.key, n.type, n.atom, n.fullkey, replace(regexp_replace(substr(n.fullkey, 2), '\[\d+\]', '[]', 'g'), '"', '') AS path
+  FROM whole, json_tree(j) n WHERE n.type <> 'NULL')
+"""
+_PATHS = _NODES + """
+SELECT field AS field_name, CASE WHEN path = '' THEN '$' ELSE path END AS schema_path, count(*) AS nodes, count(*) FILTER (type NOT IN ('OBJECT', 'ARRAY')) AS scalars, count(parent) AS linked
+FROM nodes GROUP BY 1, 2
+"""
+_FOUND = _NODES + r""",
+holders AS (SELECT DISTINCT field, record_id, parent AS id FROM nodes WHERE key IN ('items', 'rows', 'year_rows', 'line_items', 'data') AND type IN ('OBJECT', 'ARRAY')),
+flat_rows AS (
+  SELECT field, record_id, id, fullkey, row_number() OVER (PARTITION BY field, record_id ORDER BY id) - 1 AS pos
+  FROM nodes ANTI JOIN holders USING (field, record_id, id)
+  WHERE type <> 'ARRAY' AND regexp_matches(path, '^(\[\]|\.(items|rows|year_rows|line_items|data))*$') AND (field = 'line_items' OR field = 'schedule_e' AND path <> '')),
+members AS (
+  SELECT field, record_id, id, 'money' AS part, regexp_extract(fullkey, '^(.*)\.raw_values\.money_tokens(\[\d+\])*$', 1) AS above FROM nodes WHERE type <> 'ARRAY' AND regexp_matches(path, '\.raw_values\.money_tokens(\[\])*$')
+  UNION ALL SELECT field, record_id, id, 'flag', regexp_extract(fullkey, '^(.*)\.flags(\[\d+\])*$', 1) FROM nodes WHERE type <> 'ARRAY' AND field = 'line_items' AND regexp_matches(path, '\.flags(\[\])*$')),
+linked AS (
+  SELECT m.field, m.record_id, part, r.pos AS parent_pos, row_number() OVER (PARTITION BY m.field, m.record_id, part, r.pos ORDER BY m.id) - 1 AS pos
+  FROM members m JOIN flat_rows r ON r.field = m.field AND r.record_id = m.record_id AND r.fullkey = m.above),
+wrapped AS (SELECT DISTINCT record_id FROM nodes WHERE field = 'form_flags' AND path = '.flags' AND type IN ('OBJECT', 'ARRAY')),
+flags AS (
+  SELECT n.record_id, CASE WHEN w.record_id IS NULL THEN path ELSE regexp_replace(path, '^\.flags', '') END AS path, s.name
+  FROM (SELECT * FROM nodes WHERE field = 'form_flags' AND type NOT IN ('OBJECT', 'ARRAY')) n
+  LEFT JOIN wrapped w ON w.record_id = n.record_id
+  LEFT JOIN (SELECT record_id, parent, json_extract_string(atom, '$') AS name FROM nodes WHERE field = 'form_flags' AND key IN ('flag', 'name') AND type = 'VARCHAR') s ON s.record_id = n.record_id AND s.parent = n.parent
+  WHERE (w.record_id IS NULL OR starts_with(path, '.flags')) AND (s.name IS NULL OR n.key = 'value'))
+SELECT CASE field WHEN 'schedule_e' THEN 'year_row' ELSE 'line_item' END AS child, record_id, CAST(-1 AS INTEGER) AS parent_pos, CAST(pos AS VARCHAR) AS item FROM flat_rows
+UNION ALL SELECT CASE field WHEN 'schedule_e' THEN 'year_row_' ELSE 'line_item_' END || part, record_id, CAST(parent_pos AS INTEGER), CAST(pos AS VARCHAR) FROM linked
+UNION ALL SELECT 'form_flag', record_id, -1, coalesce(name, replace(replace(ltrim(path, '[].'), '[]', ''), '.', '_')) FROM flags
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": _FOUND, "p3_schema_paths": _PATHS}

@@ -103,3 +103,25 @@ def test_flat_tables_hold_the_rows_that_are_found():
                     flat.append((child, -1, row[1] if child == "form_flag" else str(row[0])) if len(row) != 5 else (child, row[0], str(row[2])))
             assert sorted(flat) == sorted(nested.shred(field, text)) != []
     assert {"p3_flags", "p3_year_rows", "p3_line_items", "p3_item_flags", "p3_money_tokens"} <= q.queries().keys()
+
+
+def test_values_after_one_another_are_a_list():
+    lines = "\n".join(json.dumps({**ROW, "seq": n}) for n in range(3))
+    for text in (lines, lines.replace("\n", "\r\n") + "\n", lines.replace("\n", ""), lines.replace("\n", ",\n")):
+        assert items("line_items", text, "line_item") == [(-1, "0"), (-1, "1"), (-1, "2")]
+        assert items("line_items", text, "line_item_flag") == [(r, i) for r in range(3) for i in "01"]
+    assert items("line_items", lines + "\nnull\n[" + json.dumps(ROW) + "]", "line_item") == [(-1, str(i)) for i in range(4)]
+    for cut in (lines[:-5], lines + "\n{", lines + " x", '{"a": 1} ]'):
+        assert nested.shred("line_items", cut) == []
+
+
+def test_wrapped_rows_and_wrapped_children():
+    text = json.dumps({"count": 2, "items": [{"page": 1, "rows": [ROW, [{"raw_values": {"money_tokens": {"count": 2, "items": ["7", "8"]}}}]]}]})
+    assert items("line_items", text, "line_item") == [(-1, "0"), (-1, "1")]
+    assert items("line_items", text, "line_item_money") == [(0, "0"), (0, "1"), (1, "0"), (1, "1")]
+    assert items("line_items", json.dumps({"count": 0, "items": None}), "line_item") == []
+
+
+def test_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([(1, '{"a": 9007199254740993, "b": 2021, "c": 1.50}')], "id BIGINT, line_items STRING")
+    assert {r["schema_path"]: r["value"] for r in nested.dewey_nodes(df, "id", "line_items").collect()} == {"$": None, ".a": "9007199254740993", ".b": "2021", ".c": "1.50"}

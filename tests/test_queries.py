@@ -8,27 +8,28 @@ from cadastra.plans import record_queries, table_queries
 from tests.oracle import DATA, rows_of, sql_rows
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-SQL = table_queries.oracle_sql()
+QUERIES = {**table_queries.queries(), **record_queries.queries()}
+SQL = {**table_queries.oracle_sql(), **record_queries.oracle_sql()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
-    df = table_queries.queries()[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     names, expected = sql_rows(SQL[name])
     assert sorted(df.columns) == names
     assert rows_of(df) == expected
 
 
-@pytest.mark.parametrize("name", sorted({**table_queries.queries(), **record_queries.queries()}.keys() - SQL.keys()))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_query_without_sql_runs(spark, name):
-    df = {**table_queries.queries(), **record_queries.queries()}[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     assert df.count() >= 0 and df.columns
 
 
 def test_entry_has_the_core_queries(spark):
     import __spark_entry__ as entry
 
-    assert table_queries.queries().keys() <= entry.queries().keys()
+    assert QUERIES.keys() <= entry.queries().keys()
     assert entry.oracle_sql().keys() <= entry.queries().keys()
     assert entry.entry(spark).count() > 0
 
