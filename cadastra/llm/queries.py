@@ -15,12 +15,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per rendition queued at least twice, account_number, processed_at and status from its best rows."""
-    queue = table(spark, sf_dir, "review_queue")
-    found = survivors.survivors(queue, table(spark, sf_dir, "status_trust"))
-    best = queue.select(F.col("queue_id").alias("survivor_id"), "processed_at", "status")
-    shown = queue.select(F.col("queue_id").alias("account_from"), "account_number")
-    return found.join(best, "survivor_id").join(shown, "account_from", "left").select("group_id", "survivor_id", "account_number", "processed_at", "status")
+    """One record per rendition queued at least twice: account_number, processed_at and status of its best rows and of the consensus."""
+    return survivors.representatives(table(spark, sf_dir, "review_queue"), table(spark, sf_dir, "status_trust"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

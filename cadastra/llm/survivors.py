@@ -1,16 +1,18 @@
 """Best representative of each duplicate group (problem 1), by token-level consensus.
 
 The values of a group are aligned progressively: each value joins a profile whose columns count weighted
-tokens, the columns vote, and the existing value closest to the voted tokens stands for the group. Profiles of
-parts of a group merge like values do, so a group is never gathered whole: equal values are counted first
-(``groupBy`` with map-side combine), and the distinct values of a group are spread over ``salts`` tasks, each
-making a partial profile, before the partial profiles are merged.
-
-Renditions are found in two steps. A file stem is distinctive if all its rows that show a whole account and a
-year show the same ones; the account and the year of such a stem are the consensus of its rows' values, and its rows
-with damaged or missing values take them over. Other rows carry their own account and year.
-
-Defined results: rows without account, year and distinctive stem stay alone; NULL or unknown statuses have the
+tokens, the columns vote, and the existing value closest to the voted tokens stands for the group. Equal values are
+counted first (``groupBy`` with map-side combine). A group of at most ``MOST`` distinct values is one small task's list;
+of a larger one, partial profiles are made from parts of about ``MOST`` values, and merge like values do, ``MOST`` at a time,
+so a group is never gathered whole.
+
+The rows of one file stem are queued for one rendition if their accounts agree. All their accounts vote, whole,
+damaged or read from the stem, digit by digit after alignment; the stem's account is the voted one if every whole account
+lies within one edit of it. So rows of which none shows the whole account still find the rows of other stems that do.
+Rows with damaged or missing accounts or years take over what their stem has voted; other rows carry their own.
+``representatives`` lets account, time and status of a rendition vote over all of its rows.
+
+Defined results: rows without account, year and voted stem stay alone; NULL or unknown statuses have the
 lowest trust; unreadable times are the oldest; ties go to the smallest queue_id; exact copies under new ids count
 as rows; empty input gives no rows; further columns are ignored.
 """
@@ -25,9 +27,13 @@ from pyspark.sql import functions as F
 
 from cadastra.session import checkpointed, flat_map
 
-#: Distinct values of one group that one task aligns at a time, about.
-SALTS = 16
-GAP = ""
+#: Distinct values, or partial profiles, of one group that one task aligns at a time, about.
+MOST = 64
+#: Merges of partial profiles: a group of MOST ** (MERGES + 1) distinct values still takes lists of about MOST.
+MERGES = 3
+GAP, UNKNOWN = "", "?"
+#: Scores of a column without a partner and of two that differ, which is less bad than two without partners.
+OPEN, MISMATCH = -0.4, -0.7
 Profile = list[dict[str, float]]
 
 
@@ -35,7 +41,10 @@ Profile = list[dict[str, float]]
 
 
 def align(a: Profile, b: Profile) -> Profile:
-    """Needleman-Wunsch alignment of two profiles, merged column by column; unpaired columns count gaps."""
+    """Needleman-Wunsch alignment of two profiles, merged column by column; unpaired columns count gaps.
+
+    A column with an unreadable token pairs with any other about half as well as with its like.
+    """
     if not a or not b:
         return a or b
     wa = sum(a[0].values())
@@ -43,16 +52,25 @@ def align(a: Profile, b: Profile) -> Profile:
     n, m = len(a), len(b)
     if n == m and all(x.keys() == y.keys() for x, y in zip(a, b, strict=True)):  # equal columns pair up as they are
         return [{t: w + y[t] for t, w in x.items()} for x, y in zip(a, b, strict=True)]
-    gap = -0.4
+    gap = OPEN
     score = [[j * gap for j in range(m + 1)]]
     move: list[list[int]] = [[2] * (m + 1)]
     for i in range(1, n + 1):
         row, steps, above = [i * gap], [1], score[-1]
         ca = a[i - 1]
+        lone = next(iter(ca)) if len(ca) == 1 else None
         for j in range(1, m + 1):
             cb = b[j - 1]
-            same = sum(min(w / wa, cb[t] / wb) for t, w in ca.items() if t != GAP and t in cb)
-            best, step = above[j - 1] + 2 * same - 1, 0
+            if lone is not None:
+                same = cb.get(lone, 0.0) / wb if lone != GAP else 0.0
+            else:
+                same = 0.0
+                for t, w in ca.items():
+                    if t in cb and t != GAP:
+                        same += min(w / wa, cb[t] / wb)
+            if same < 0.5 and (UNKNOWN in ca or UNKNOWN in cb):
+                same = 0.5
+            best, step = above[j - 1] + max(2 * same - 1, MISMATCH), 0
             if above[j] + gap > best:
                 best, step = above[j] + gap, 1
             if row[j - 1] + gap > best:
@@ -86,13 +104,21 @@ def profile_of(values: list[tuple[list[str], float]]) -> Profile:
 
 
 def vote(profile: Profile) -> list[str]:
-    """The heaviest token of each column, columns won by the gap left out; ties go to the smaller token."""
-    winners = (min(column, key=lambda t: (-column[t], t)) for column in profile)
+    """The heaviest token of each column, columns won by the gap left out; ties go to the smaller token, then the gap.
+
+    An unreadable token has no vote where a readable one stands.
+    """
+    winners = []
+    for column in profile:
+        readable = [t for t in column if t not in (UNKNOWN, GAP)] or [UNKNOWN]
+        winners.append(min(readable + [GAP] * (GAP in column), key=lambda t: (-column[t], t == GAP, t)))
     return [t for t in winners if t != GAP]
 
 
 def distance(a: list[str], b: list[str]) -> int:
     """Edit distance of two token lists."""
+    if a == b:
+        return 0
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -105,54 +131,99 @@ def words(value: str) -> list[str]:
     return re.findall(r"\w+|[^\w\s]", value.lower())
 
 
-def characters(value: str) -> list[str]:
-    return [c for c in value.upper() if c.isalnum()]
+#: Letters that a digit is misread as (fixed values), and marks of unreadable ones.
+_MISREAD = str.maketrans("OILZSGB*", "0112568?")
+
+
+def account_characters(value: str) -> list[str]:
+    """The digits of an account without its leading letter; misread ones as digits, unreadable ones as ``?``."""
+    shown = [c for c in value.upper() if c.isalnum() or c in "*?"]
+    if len(shown) > 8 and shown[0].isalpha() or len(shown) < 8 and shown and shown[0] in "PRB":
+        shown = shown[1:]
+    return list("".join(shown).translate(_MISREAD))
 
 
-def consensus(df: DataFrame, group: str, value: str, tokens: Callable[[str], list[str]], weight: Column | None = None, salts: int = SALTS) -> DataFrame:
-    """(group, value): of each group's values, the existing one closest to the consensus of their tokens.
+def consensus(df: DataFrame, group: str, value: str, tokens: Callable[[str], list[str]], weight: Column | None = None, firm: Column | None = None, most_firm: int | None = None, most: int = MOST) -> DataFrame:
+    """(group, value, voted, apart): of each group's values, the existing one closest to the consensus of their tokens.
 
-    NULL and blank values have no vote; a group with no other value is left out. Ties go to the value of more
-    weight, then to the smaller one.
+    ``voted`` are the voted tokens run together (NULL where all values of the group are one), ``apart`` is the largest
+    distance of a ``firm`` value from them. NULL and blank values have no vote; a group with no other value is left out,
+    and so is one with more than ``most_firm`` different firm values, which the caller knows too many to agree. Ties go
+    to the value of more weight, then to the smaller one.
     """
     present = df.where(F.col(group).isNotNull() & (F.trim(value) != "")).select(
-        F.col(group).alias("g"), F.col(value).alias("v"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w")
-    )
-    counted = present.groupBy("g", "v").agg(F.sum("w").alias("w"))
-    lists = counted.groupBy("g", F.pmod(F.xxhash64("v"), F.lit(salts)).alias("s")).agg(
-        F.array_sort(F.collect_list(F.struct("w", "v"))).alias("values"), F.count("*").alias("k")
+        F.col(group).alias("g"), F.col(value).alias("v"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w"), (F.lit(False) if firm is None else firm).alias("f")
     )
+    counted = present.groupBy("g", "v").agg(F.sum("w").alias("w"), F.max("f").alias("f"))
+    stats = counted.groupBy("g").agg(F.count("*").alias("n"), F.count_if("f").alias("firm"))
+    apart_at_once = F.lit(False) if most_firm is None else F.col("firm") > most_firm
+    large = stats.where((F.col("n") > most) | apart_at_once).select("g", "n", apart_at_once.alias("lost"))
+    lists = counted.join(large, "g", "left_anti").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("w", "v", "f"))).alias("values"))
+    alone = lists.where(F.size("values") == 1).select("g", F.col("values")[0]["v"].alias("v"), F.lit(None).cast("string").alias("voted"), F.lit(0).alias("apart"))
+
+    def measured(values: list[dict], best: list[str]) -> tuple[str, int]:
+        far, closest = 0, None
+        for x in values:
+            d = distance(tokens(x["v"]), best)
+            far = max(far, d) if x["f"] else far
+            closest = min(closest, (d, -x["w"], x["v"])) if closest else (d, -x["w"], x["v"])
+        return closest[2], far
+
+    def choose(columns: list[list]) -> list[list]:
+        out: list[list] = [columns[0], [], [], []]
+        for values in columns[1]:
+            best = vote(profile_of([(tokens(x["v"]), x["w"]) for x in values]))
+            closest, far = measured(values, best)
+            for c, x in zip(out[1:], (closest, "".join(best), far), strict=True):
+                c.append(x)
+        return out
+
+    small = flat_map(lists.where(F.size("values") > 1), choose, "g STRING, v STRING, voted STRING, apart INT")
+    chosen = alone.unionByName(small).unionByName(_of_large(counted.join(large.where(~F.col("lost")).drop("lost"), "g"), tokens, measured, most))
+    return chosen.select(F.col("g").alias(group), F.col("v").alias(value), "voted", "apart")
+
+
+def _of_large(counted: DataFrame, tokens: Callable[[str], list[str]], measured: Callable, most: int) -> DataFrame:
+    """The consensus of groups with more than ``most`` distinct values, from partial profiles; ``counted`` has their number ``n``."""
     column = "ARRAY<STRUCT<t: ARRAY<STRING>, w: ARRAY<DOUBLE>>>"
 
     def pack(profile: Profile) -> list[dict]:
         return [{"t": list(c), "w": list(c.values())} for c in profile]
 
-    def unpack(stored: list[dict]) -> Profile:
-        return [dict(zip(c["t"], c["w"], strict=True)) for c in stored]
-
     def partial(columns: list[list]) -> list[list]:
-        return [columns[0], [pack(profile_of([(tokens(v["v"]), v["w"]) for v in values])) for values in columns[1]]]
+        return [columns[0], columns[1], columns[2], [pack(profile_of([(tokens(v["v"]), v["w"]) for v in values])) for values in columns[3]]]
 
     def merge(columns: list[list]) -> list[list]:
-        winners = []
-        for parts in columns[1]:
-            profiles = sorted((unpack(p["p"]) for p in parts), key=lambda p: (-sum(p[0].values()) if p else 0, str(p)))
-            merged: Profile = []
-            for p in profiles:
-                merged = align(merged, p)
-            winners.append(vote(merged))
-        return [columns[0], winners]
-
-    partials = flat_map(lists.select("g", "values"), partial, f"g STRING, p {column}")
-    merged = flat_map(partials.groupBy("g").agg(F.collect_list(F.struct("p")).alias("parts")), merge, "g STRING, best ARRAY<STRING>")
+        merged = []
+        for parts in columns[3]:
+            profiles = [[dict(zip(c["t"], c["w"], strict=True)) for c in p["p"]] for p in parts]
+            whole: Profile = []
+            for p in sorted(profiles, key=lambda p: (-sum(p[0].values()) if p else 0, str(p))):
+                whole = align(whole, p)
+            merged.append(pack(whole))
+        return [columns[0], columns[1], columns[2], merged]
+
+    state = f"g STRING, s BIGINT, k BIGINT, p {column}"
+    fewer = lambda n: F.ceil(F.col(n) / most)
+    lists = counted.groupBy("g", F.pmod(F.xxhash64("v"), fewer("n")).alias("s"), fewer("n").alias("k")).agg(F.array_sort(F.collect_list(F.struct("w", "v"))).alias("values"))
+    parts = flat_map(lists, partial, state)
+    for level in range(MERGES):
+        k = fewer("k") if level < MERGES - 1 else F.lit(1).cast("bigint")
+        parts = flat_map(parts.groupBy("g", F.pmod("s", k).alias("s2"), k.alias("k2")).agg(F.collect_list(F.struct("p")).alias("parts")), merge, state)
+
+    def ballot(columns: list[list]) -> list[list]:
+        return [columns[0], [vote([dict(zip(c["t"], c["w"], strict=True)) for c in p]) for p in columns[1]]]
+
+    best = flat_map(parts.select("g", "p"), ballot, "g STRING, best ARRAY<STRING>")
 
     def nearest(columns: list[list]) -> list[list]:
-        g, v, w, best = columns
-        return [g, v, [float(distance(tokens(x), b)) for x, b in zip(v, best, strict=True)], w]
+        g, v, w, f, best = columns
+        far = [distance(tokens(x), b) for x, b in zip(v, best, strict=True)]
+        return [g, v, w, f, far, ["".join(b) for b in best]]
 
-    measured = flat_map(counted.join(merged, "g").select("g", "v", "w", "best"), nearest, "g STRING, v STRING, d DOUBLE, w DOUBLE")
-    chosen = measured.groupBy("g").agg(F.min(F.struct("d", (-F.col("w")).alias("nw"), "v")).alias("m"))
-    return chosen.select(F.col("g").alias(group), F.col("m.v").alias(value))
+    apart = flat_map(counted.join(best, "g").select("g", "v", "w", "f", "best"), nearest, "g STRING, v STRING, w DOUBLE, f BOOLEAN, d INT, voted STRING")
+    closest = apart.groupBy("g").agg(F.min(F.struct("d", (-F.col("w")).alias("nw"), "v")).alias("m"), F.first("voted").alias("voted"), F.coalesce(F.max(F.when(F.col("f"), F.col("d"))), F.lit(0)).alias("apart"))
+    return closest.select("g", F.col("m.v").alias("v"), "voted", "apart")
 
 
 # --- the fields of the queue -----------------------------------------------------------------------------------
@@ -181,11 +252,13 @@ def file_stem(name: Column) -> Column:
 def read_time(text: Column) -> Column:
     """The instant written in one of the usual forms (naive times are UTC), else NULL."""
     t = F.trim(text)
+    third, fifth = F.substring(t, 3, 1), F.substring(t, 5, 1)
+    iso = (fifth == "-") & t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$")
     return (
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"), F.expr("try_cast(regexp_replace(trim(processed_at), '([+-][0-9]{2})([0-9]{2})$', '$1:$2') AS TIMESTAMP)"))
-        .when(t.rlike(r"^\d{8}T\d{6}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd'T'HHmmss")))
-        .when(t.rlike(r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2} [AaPp][Mm]$"), F.try_to_timestamp(F.upper(t), F.lit("MM/dd/yyyy hh:mm:ss a")))
-        .when(t.rlike(r"^[A-Z][a-z]{2} \d{2}, \d{4} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(t, F.lit("MMM dd, yyyy HH:mm:ss")))
+        F.when(iso, F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+        .when((F.length(t) == 15) & t.rlike(r"^\d{8}T\d{6}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd'T'HHmmss")))
+        .when((third == "/") & t.rlike(r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2} [AaPp][Mm]$"), F.try_to_timestamp(F.upper(t), F.lit("MM/dd/yyyy hh:mm:ss a")))
+        .when((F.substring(t, 7, 1) == ",") & t.rlike(r"^[A-Z][a-z]{2} \d{2}, \d{4} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(t, F.lit("MMM dd, yyyy HH:mm:ss")))
     )
 
 
@@ -194,55 +267,57 @@ def status_key(status: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(status), r"[^a-z0-9]+", " "))
 
 
+#: Eight digits within one edit of one voted account: 8 * 9 + 1 by a changed digit, 80 in a voted one of seven.
+MOST_WHOLE = 80
+
+
 def renditions(queue: DataFrame, trust: DataFrame) -> DataFrame:
     """Every row of the queue with its ``rendition`` and the parsed fields the choice needs.
 
     ``trust`` is the fixed table of statuses (one row per status), so it is broadcast.
     """
-    named = F.col("file_name")
-    rows = queue.select(
+    rows = queue.select("queue_id", "account_number", "tax_year", file_stem(F.col("file_name")).alias("stem"), read_time(F.col("processed_at")).alias("at"), status_key(F.col("status")).alias("status_key"))
+    digits = account_digits(F.col("account_number"))
+    rows = rows.select(
         "queue_id",
-        account_digits(F.col("account_number")).alias("digits"),
-        F.coalesce(year_of(F.col("tax_year")), F.regexp_extract(file_stem(named), r"(?:^|_)(20\d\d)(?:_|$)", 1).try_cast("int")).alias("year"),
-        file_stem(named).alias("stem"),
-        read_time(F.col("processed_at")).alias("at"),
-        F.upper(F.regexp_replace(F.col("account_number"), r"(?i)acct|[^a-z0-9*?]", "")).alias("shown"),
-        status_key(F.col("status")).alias("status_key"),
+        digits.alias("digits"),
+        F.coalesce(year_of(F.col("tax_year")), F.regexp_extract("stem", r"(?:^|_)(20\d\d)(?:_|$)", 1).try_cast("int")).alias("year"),
+        "stem",
+        "at",
+        F.when(digits.isNull() & F.col("account_number").rlike(r"\d"), F.regexp_replace("account_number", r"(?i)acct|[^A-Za-z0-9*?]", "")).alias("shown"),
+        "status_key",
     )
     ranks = trust.groupBy(status_key(F.col("status")).alias("status_key")).agg(F.max("trust").alias("trust"))
     rows = checkpointed(rows.join(F.broadcast(ranks), "status_key", "left").drop("status_key"))  # parsed once, read by four branches
 
-    whole = F.when(F.col("digits").isNotNull() & F.col("year").isNotNull(), F.struct("digits", "year"))
-    stems = (
-        rows.where(F.col("stem").isNotNull())
-        .groupBy("stem")
-        .agg(F.min(whole).alias("low"), F.max(whole).alias("high"), F.max(F.col("digits").isNull() | F.col("year").isNull()).alias("open"))
-        .where(F.col("open") & (F.col("low").isNull() | (F.col("low") == F.col("high"))) & (F.col("low").isNotNull() | F.col("stem").rlike(r"\d")))
-        .select("stem")
-    )
-    # the rows of distinctive stems with something to fill in: their accounts and years vote
-    voters = checkpointed(rows.join(stems, "stem", "left_semi").select("stem", "digits", "shown", "year"))
-    weight = F.when(F.col("digits").isNotNull(), 8.0).when(F.length("shown") >= 8, 2.0).otherwise(0.25)
-    ballots = voters.select(F.concat(F.lit("account|"), "stem").alias("ballot"), F.coalesce("digits", "shown").alias("value"), weight.alias("weight")).unionByName(
-        voters.select(F.concat(F.lit("year|"), "stem").alias("ballot"), F.col("year").cast("string").alias("value"), F.lit(1.0).alias("weight"))
-    )
-    voted = consensus(ballots, "ballot", "value", characters, F.col("weight"))
-    of = lambda kind: F.max(F.when(F.startswith("ballot", F.lit(kind)), F.col("value")))
-    filled = voted.groupBy(F.regexp_replace("ballot", r"^(?:account|year)\|", "").alias("stem")).agg(of("account|").alias("account_c"), of("year|").cast("int").alias("year_c"))
+    # the stems with something to fill in: all accounts and years of their rows vote, and the account that the stem itself shows
     lacking = F.col("digits").isNull() | F.col("year").isNull()
+    open_stems = rows.where(F.col("stem").isNotNull() & lacking).select("stem").distinct()
+    voters = rows.join(open_stems, "stem", "left_semi")
+    own = F.nullif(F.regexp_extract("stem", r"(?<![0-9])(\d{8})(?![0-9])", 1), F.lit(""))
+    ballot = lambda kind, value, weight, firm: F.struct(F.concat(F.lit(f"{kind}|"), "stem").alias("ballot"), value.alias("value"), weight.alias("weight"), firm.alias("firm"))
+    ballots = F.array(
+        ballot("account", F.coalesce("digits", "shown"), F.when(F.col("digits").isNotNull(), 8.0).when(F.length("shown") >= 8, 1.0).otherwise(0.25), F.col("digits").isNotNull()),
+        ballot("account", own, F.lit(0.5), F.lit(False)),
+        ballot("year", F.col("year").cast("string"), F.lit(1.0), F.lit(True)),
+    )
+    voted = consensus(voters.select(F.explode(ballots).alias("b")).select("b.*").where("value IS NOT NULL"), "ballot", "value", account_characters, F.col("weight"), F.col("firm"), MOST_WHOLE)
+    agreed = voted.where(F.when(F.startswith("ballot", F.lit("year")), F.col("apart") == 0).otherwise(F.col("apart") <= 1))
+    of = lambda kind, value: F.max(F.when(F.startswith("ballot", F.lit(kind)), value))
+    account = F.coalesce("voted", account_digits(F.col("value")), "value")
+    filled = agreed.groupBy(F.substring_index("ballot", "|", -1).alias("stem")).agg(of("account|", account).alias("account_c"), of("year|", F.col("value")).cast("int").alias("year_c"))
     closed = rows.where(~lacking).withColumn("rendition", F.concat_ws("|", "digits", "year"))
     rest = rows.where(lacking).join(filled, "stem", "left")
-    agrees = F.col("account_c").isNull() | F.col("digits").isNull() | (F.col("digits") == F.col("account_c"))
-    the_account = F.coalesce("digits", F.when(agrees, F.col("account_c")))
+    whole = F.when(F.col("account_c").rlike(r"^\d{8}$"), F.col("account_c"))
+    agrees = F.col("digits").isNull() | whole.isNull() | (F.col("digits") == whole)
+    the_account = F.coalesce("digits", F.when(agrees, whole))
     the_year = F.coalesce("year", F.when(agrees, F.col("year_c")), F.when(F.col("digits").isNotNull(), F.year("at")))
-    own = F.when(F.col("account_c").isNotNull(), F.concat(F.lit("stem|"), F.col("stem"))).otherwise(F.concat(F.lit("row|"), F.col("queue_id").cast("string")))
-    rest = rest.withColumn("rendition", F.coalesce(F.concat(the_account, F.lit("|"), the_year.cast("string")), own)).select(closed.columns)
+    alone = F.when(F.col("account_c").isNotNull(), F.concat_ws("|", F.lit("stem"), "stem", "year_c")).otherwise(F.concat(F.lit("row|"), F.col("queue_id").cast("string")))
+    rest = rest.withColumn("rendition", F.coalesce(F.concat(the_account, F.lit("|"), the_year.cast("string")), alone)).select(closed.columns)
     return closed.unionByName(rest)
 
 
-def survivors(queue: DataFrame, trust: DataFrame) -> DataFrame:
-    """(group_id, survivor_id, account_from) of each rendition with at least two rows in the queue."""
-    rows = renditions(queue, trust)
+def _best_rows(rows: DataFrame) -> DataFrame:
     oldest = F.coalesce(F.unix_micros("at"), F.lit(-(2**62)))
     first = (-F.col("queue_id")).alias("first")
     shows = F.col("digits").isNotNull() & (F.substring_index("rendition", "|", 1) == F.col("digits"))
@@ -255,5 +330,39 @@ def survivors(queue: DataFrame, trust: DataFrame) -> DataFrame:
             F.max(F.when(shows, F.struct(oldest.alias("at"), first))).alias("shown"),
         )
         .where("n >= 2")
-        .select("group_id", (-F.col("best.first")).alias("survivor_id"), (-F.col("shown.first")).alias("account_from"))
+        .select("rendition", "group_id", (-F.col("best.first")).alias("survivor_id"), (-F.col("shown.first")).alias("account_from"))
     )
+
+
+def survivors(queue: DataFrame, trust: DataFrame) -> DataFrame:
+    """(group_id, survivor_id, account_from) of each rendition with at least two rows in the queue."""
+    return _best_rows(renditions(queue, trust)).drop("rendition")
+
+
+def field_tokens(value: str) -> list[str]:
+    """Words, single digits and marks: so a status is compared by words, an account or a time by digits."""
+    return re.findall(r"[^\W\d]+|\d|[^\w\s]", value.lower())
+
+
+FIELDS = ("account_number", "processed_at", "status")
+
+
+def representatives(queue: DataFrame, trust: DataFrame) -> DataFrame:
+    """One record of each rendition with at least two rows: the fields of its best rows and those closest to the consensus.
+
+    account_number, processed_at and status come from the rows ``survivors`` names. ``account_number_closest`` and so on are
+    the values of the group that lie closest to what all its rows vote, token by token; they show where the best row
+    stands apart from the others. NULL where no row has a value.
+    """
+    rows = renditions(queue, trust).select("queue_id", "rendition", "digits", "at", "trust")
+    rows = checkpointed(rows.join(queue.select("queue_id", *FIELDS), "queue_id"))
+    found = _best_rows(rows)
+    members = rows.join(found.select("rendition"), "rendition", "left_semi")
+    ballots = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{f}|"), "rendition").alias("ballot"), F.col(f).alias("value")) for f in FIELDS])).alias("b")
+    voted = consensus(members.select(ballots).select("b.*"), "ballot", "value", field_tokens)
+    of = lambda f: F.max(F.when(F.startswith("ballot", F.lit(f"{f}|")), F.col("value"))).alias(f"{f}_closest")
+    closest = voted.groupBy(F.regexp_replace("ballot", r"^[a-z_]+\|", "").alias("rendition")).agg(*[of(f) for f in FIELDS])
+    best = rows.select(F.col("queue_id").alias("survivor_id"), "processed_at", "status")
+    shown = rows.select(F.col("queue_id").alias("account_from"), "account_number")
+    whole = found.join(best, "survivor_id").join(shown, "account_from", "left").join(closest, "rendition", "left")
+    return whole.select("group_id", "survivor_id", *FIELDS, *[f"{f}_closest" for f in FIELDS])

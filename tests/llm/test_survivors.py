@@ -75,3 +75,48 @@ def test_query_equals_sql(spark):
     df = queries.p1_found(spark, DATA)
     assert sorted(df.columns) == names and rows_of(df) == expected
     assert queries.p1_representative(spark, DATA).where(F.col("group_id").isNull()).count() == 0
+
+
+def voted(spark, rows):
+    df = spark.createDataFrame(rows, "g STRING, v STRING, w DOUBLE")
+    return {r["g"]: (r["v"], r["voted"]) for r in survivors.consensus(df, "g", "v", survivors.account_characters, F.col("w")).collect()}
+
+
+def test_alignment_rebuilds_an_account_that_no_row_shows(spark, monkeypatch):
+    """Three damaged rows of one stem find the whole account of another stem; without the alignment they don't."""
+    rows = [
+        (1, None, "scan_ab12.pdf", "2021", "P0123**67", "Ready", "x"),
+        (2, None, "scan_ab12.pdf", "2021", "P01?34567", "Ready", "x"),
+        (3, None, "scan_ab12.pdf", "2021", "P012345", "Ready", "x"),
+        (4, None, "other_name_77.pdf", "2021", "P01234567", "Ready", "x"),
+    ]
+    assert found(spark, rows) == [(1, 1, 4)]
+    assert voted(spark, [("g", r[4], 1.0) for r in rows[:3]])["g"][1] == "01234567"
+    heaviest = lambda values: [{t: 1.0} for t in max(values, key=lambda v: v[1])[0]]  # noqa: E731 - the ablation: no alignment, the heaviest value stands
+    assert "".join(survivors.vote(heaviest([(survivors.account_characters(r[4]), 1.0) for r in rows[:3]]))) != "01234567"
+
+
+def test_contested_stems_have_no_account(spark):
+    f = "scan_0042.pdf"
+    rows = [(1, None, f, "2021", "P01234567", "Ready", "x"), (2, None, f, "2021", "P76543210", "Ready", "x"), (3, None, f, "2021", None, "Locked", "x"), (4, None, f, "2021", "P0123", "Locked", "x")]
+    assert found(spark, rows) == []
+    assert found(spark, [*rows[:1], *rows[2:]]) == [(1, 3, 1)]
+    many = [(i, None, f, "2021", f"P{i:08d}", "Ready", "x") for i in range(10, 300)] + rows
+    assert found(spark, many) == []  # too many whole accounts to lie around one
+
+
+def test_a_group_of_many_values_votes_in_parts(spark):
+    random.seed(4)
+    word = [f"t{i}" for i in range(12)]
+    copies = {" ".join(w for i, w in enumerate(word) if i not in gone) for gone in (set(random.sample(range(12), 2)) for _ in range(400))}
+    df = spark.createDataFrame([("g", v) for v in copies] + [("h", "t1 t2"), ("h", "t1 t2"), ("h", "t1")], "g STRING, v STRING")
+    all_at_once = {r["g"]: r["voted"] for r in survivors.consensus(df, "g", "v", survivors.words, most=10_000).collect()}
+    in_parts = {r["g"]: (r["v"] in copies, r["voted"]) for r in survivors.consensus(df, "g", "v", survivors.words, most=4).collect()}
+    assert in_parts["g"] == (True, "".join(word)) and all_at_once["g"] == "".join(word) and set(in_parts) == {"g", "h"}
+
+
+def test_representatives_have_the_voted_values(spark):
+    f = "rendition_P01234567_2021.pdf"
+    rows = [(1, "2021-01-02T00:00:00", f, "2021", "P01234567", "Ready", "x"), (2, "2021-01-02T00:00:00", f, "2021", "P01234567", "Ready", "x"), (3, "2021-01-05T00:00:00", f, "2021", "P0123", "Locked", "x"), (4, None, f, "2021", None, None, "x"), (9, None, None, None, None, None, "x")]
+    out = survivors.representatives(spark.createDataFrame(rows, QUEUE), spark.createDataFrame(TRUST, "status STRING, trust INT")).collect()
+    assert [tuple(r) for r in out] == [(1, 3, "P01234567", "2021-01-05T00:00:00", "Locked", "P01234567", "2021-01-02T00:00:00", "Ready")]
