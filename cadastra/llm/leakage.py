@@ -6,12 +6,14 @@ document takes over with at most ``k`` edits leaves at least one of ``k + 1`` di
 automaton over all pieces finds every candidate exactly, and Myers' bit-parallel distance verifies the clause in
 the window around the hit.
 
-Clauses of sentences that several items share are not an item's own, nor are clauses that stand in many different
-texts, in most of them without the rest of their item; an item that leaks widely keeps its clauses, which stand
-beside each other. The counts behind that are of every matched clause of every document, whatever else of the item
-the document holds, and the share of an item is of the clauses left. The corpus is read once by a narrow map;
-only matched clauses are shuffled. The test items are a stated query set: each block of ``BLOCK`` of them is
-broadcast, so memory is bounded whatever their number.
+Clauses of sentences that several items share are not an item's own, nor are clauses that stand in more than
+``COMMON_TEXTS`` different texts, in most of them without the rest of their item; an item that leaks widely keeps its clauses,
+which stand beside each other, and ``common_clauses`` reports those that are taken out. The counts behind that are of every
+matched clause of every document, whatever else of the item the document holds, and the share of an item is of the
+clauses left. No threshold depends on the size of the corpus: further documents that hold no clause change nothing.
+The corpus is read once by a narrow map; only matched clauses are shuffled. The test items are a stated query set: each
+block of ``BLOCK`` of them is broadcast while the corpus is matched against it, one block after another, so the memory of
+driver and tasks is bounded whatever their number.
 
 Defined results: NULL and empty texts match nothing; items without own words match nothing; repeated documents
 each come out under their own id; a document may leak several items; further columns are ignored.
@@ -22,8 +24,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from functools import reduce
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +40,14 @@ LETTERS_AN_EDIT = 14
 SHARE = 0.27
 #: Length of the grams that rule out a window before its distance is computed.
 GRAM = 3
-#: Sentences of at least so many items, and clauses in more than this share of the different texts (and in more
-#: than COMMON_TEXTS of them) that stand beside the rest of their item in less than BESIDE of these, are common property.
+#: Sentences of at least so many items, and clauses in more than COMMON_TEXTS different texts that stand beside the rest
+#: of their item in less than BESIDE of these, are common property.
 SHARED_ITEMS = 3
-COMMON_SHARE = 0.005
 COMMON_TEXTS = 50
 BESIDE = 0.5
 BLOCK = 5000
+#: Clauses of one sentence have numbers from its number times this on.
+PARTS = 10_000
 _DROP = bytes(c for c in range(256) if not chr(c).isalnum() or c > 127)
 
 
@@ -56,22 +60,29 @@ def sentences(text: str) -> list[list[str]]:
     return [ws for s in re.split(r"(?<=[.?!])\s+", text or "") if (ws := [x for w in s.split() if (x := letters(w))])]
 
 
-def clauses(items: Iterable[tuple[int, str]]) -> list[tuple[int, int, str, int, int]]:
-    """(item_id, number, letters, words, sentence) of the clauses of the items' own sentences."""
-    split = {item: sentences(text) for item, text in items}
-    shared = Counter(s for own in split.values() for s in {"".join(ws) for ws in own})
-    out = []
-    for item, own in split.items():
-        number = 0
-        for sentence, ws in enumerate(own):
-            if shared["".join(ws)] >= SHARED_ITEMS:
-                continue
-            parts = max(1, round(len(ws) / CLAUSE_WORDS))
-            for p in range(parts):
-                piece = ws[p * len(ws) // parts : (p + 1) * len(ws) // parts]
-                out.append((item, number, "".join(piece), len(piece), sentence))
-                number += 1
-    return out
+def cut(words: list[str]) -> list[tuple[str, int]]:
+    """(letters, number of words) of the clauses of one sentence."""
+    parts = max(1, round(len(words) / CLAUSE_WORDS))
+    pieces = [words[p * len(words) // parts : (p + 1) * len(words) // parts] for p in range(parts)]
+    return [("".join(piece), len(piece)) for piece in pieces]
+
+
+def clauses(items: DataFrame) -> DataFrame:
+    """(item_id, clause, letters, words, sentence) of the clauses of the items' own sentences."""
+
+    def run(columns: list[list]) -> list[list]:
+        found = [(item, number, "".join(words), words) for item, text in zip(*columns, strict=True) for number, words in enumerate(sentences(text))]
+        return [list(c) for c in zip(*found, strict=True)] if found else [[], [], [], []]
+
+    split = flat_map(items.where("item_id IS NOT NULL").select("item_id", "item_text"), run, "item_id BIGINT, sentence INT, whole STRING, said ARRAY<STRING>")
+    shared = split.groupBy("whole").agg(F.count_distinct("item_id").alias("items")).where(F.col("items") >= SHARED_ITEMS)
+    own = split.join(shared, "whole", "left_anti")
+
+    def parts(columns: list[list]) -> list[list]:
+        found = [(item, sentence * PARTS + n, letters, words, sentence) for item, sentence, said in zip(*columns, strict=True) for n, (letters, words) in enumerate(cut(said))]
+        return [list(c) for c in zip(*found, strict=True)] if found else [[], [], [], [], []]
+
+    return flat_map(own.select("item_id", "sentence", "said"), parts, "item_id BIGINT, clause INT, letters STRING, words INT, sentence INT")
 
 
 def budget(clause: str) -> int:
@@ -192,13 +203,13 @@ class Matcher:
         return [(item, number, words, len(self.sentences[item]) == 1 or len(held[item]) > 1 and taken[item] >= SHARE * self.own[item]) for item, number, _, words, _ in hit]
 
 
-def matched_clauses(documents: DataFrame, rows: list[tuple[int, int, str, int, int]]) -> DataFrame:
-    """(doc_id, text_hash, item_id, clause, words, beside) of every clause that a document takes over."""
+def matched_clauses(documents: DataFrame, block: Broadcast) -> DataFrame:
+    """(doc_id, text_hash, item_id, clause, words, beside) of every clause of a broadcast block that a document takes over."""
     made: list[Matcher] = []  # once a task
 
     def run(columns: list[list]) -> list[list]:
         if not made:
-            made.append(Matcher(rows))
+            made.append(Matcher(block.value))
         out: list[list] = [[], [], [], [], [], []]
         for doc_id, text_hash, text in zip(*columns, strict=True):
             for match in made[0].placed(text):
@@ -210,24 +221,38 @@ def matched_clauses(documents: DataFrame, rows: list[tuple[int, int, str, int, i
     return flat_map(chosen, run, "doc_id BIGINT, text_hash BIGINT, item_id BIGINT, clause INT, words INT, beside BOOLEAN")
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, words_share) of each document that takes over enough of an item's own words."""
-    spark = documents.sparkSession
-    blocks = max(1, math.ceil(items.count() / BLOCK))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    parts = [clauses([(r["item_id"], r["item_text"]) for r in items.where(block == b).select("item_id", "item_text").collect()]) for b in range(blocks)]
-    found = None
-    for rows in parts:
-        part = matched_clauses(documents, rows)
-        found = part if found is None else found.unionByName(part)
-    found = checkpointed(found)  # read by two branches: the corpus is matched once
-    texts = documents.where(F.length("text") > 0).agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+def all_matches(documents: DataFrame, items: DataFrame, block_items: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(clauses of the items, matched clauses of the documents), both written: the corpus is matched here, once for each block of items."""
+    context = documents.sparkSession.sparkContext
+    cut_items = checkpointed(clauses(items))
+    blocks = max(1, math.ceil(cut_items.select("item_id").distinct().count() / block_items))
+    found = []
+    for b in range(blocks):
+        rows = cut_items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "clause").collect()
+        block = context.broadcast([tuple(r) for r in rows])
+        found.append(checkpointed(matched_clauses(documents, block)))
+        block.unpersist()
+    return cut_items, reduce(DataFrame.unionByName, found)
+
+
+def common_of(found: DataFrame) -> DataFrame:
+    """(item_id, clause, in_texts, beside_rest) of the matched clauses that are common property."""
     standing = found.select("item_id", "clause", "text_hash", "beside").distinct()
     spread = standing.groupBy("item_id", "clause").agg(F.count("*").alias("in_texts"), F.count_if("beside").alias("beside_rest"))
-    many = F.col("in_texts") > F.greatest(F.lit(COMMON_TEXTS), F.col("texts") * COMMON_SHARE)
-    common = spread.crossJoin(F.broadcast(texts)).where(many & (F.col("beside_rest") < F.col("in_texts") * BESIDE)).select("item_id", "clause")
-    sizes = spark.createDataFrame([(i, n, w) for rows in parts for i, n, _, w, _ in rows], "item_id BIGINT, clause INT, words INT")
-    own = sizes.join(common, ["item_id", "clause"], "left_anti").groupBy("item_id").agg(F.sum("words").alias("own_words"))
+    return spread.where((F.col("in_texts") > COMMON_TEXTS) & (F.col("beside_rest") < F.col("in_texts") * BESIDE))
+
+
+def common_clauses(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, clause, letters, in_texts, beside_rest): what ``leaks`` takes out of the items, with the reason."""
+    cut_items, found = all_matches(documents, items)
+    return common_of(found).join(cut_items.select("item_id", "clause", "letters"), ["item_id", "clause"]).select("item_id", "clause", "letters", "in_texts", "beside_rest")
+
+
+def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, block_items: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, words_share) of each document that takes over enough of an item's own words."""
+    cut_items, found = all_matches(documents, items, block_items)
+    common = common_of(found).select("item_id", "clause")
+    own = cut_items.join(common, ["item_id", "clause"], "left_anti").groupBy("item_id").agg(F.sum("words").alias("own_words"))
     taken = found.join(common, ["item_id", "clause"], "left_anti").groupBy("doc_id", "item_id").agg(F.sum("words").alias("words"))
     scored = taken.join(own, "item_id").withColumn("words_share", F.col("words") / F.col("own_words"))
     return scored.where(F.col("words_share") >= share).select("doc_id", "item_id", "words_share")

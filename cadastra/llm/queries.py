@@ -57,6 +57,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clauses that are taken out of the test items as common property, with the texts they stand in."""
+    return leakage.common_clauses(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def _finder(spark: SparkSession, sf_dir: str) -> personal.Finder:
     documents = table(spark, sf_dir, "documents").select("text")
     notes = table(spark, sf_dir, "sample_rendition_summary").select(F.col("appraiser_notes").alias("text"))
@@ -102,7 +107,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_owners": p5_owners, "p6_containers": p6_containers, "p6_fill": p6_fill, "p8_found": p8_found, "p8_profile": p8_profile, "p7_found": p7_found, "p1_found": p1_found, "p1_representative": p1_representative}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_owners": p5_owners, "p6_containers": p6_containers, "p6_fill": p6_fill, "p8_found": p8_found, "p8_profile": p8_profile, "p7_found": p7_found, "p7_common": p7_common, "p1_found": p1_found, "p1_representative": p1_representative}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,8 +30,9 @@ def test_distance_equals_brute_force():
 
 
 @pytest.fixture(scope="module")
-def matcher():
-    return leakage.Matcher(leakage.clauses(ITEMS))
+def matcher(spark):
+    rows = leakage.clauses(spark.createDataFrame(ITEMS, "item_id BIGINT, item_text STRING")).orderBy("item_id", "clause").collect()
+    return leakage.Matcher([tuple(r) for r in rows])
 
 
 def leaked(matcher, text):
@@ -86,3 +87,16 @@ def test_share_is_of_the_words_left_without_common_clauses(spark):
     left = len(HALF.split()) - len(ALONE.split())
     assert words < leakage.SHARE * len(HALF.split()) and words >= leakage.SHARE * left
     assert found_in(spark, [*alone, FILLER + passage], [(7, HALF)]) == [(60, 7)]
+
+
+def test_unrelated_documents_and_blocks_of_items_change_nothing(spark):
+    texts = [f"{n}. {FILLER} {ALONE}" for n in range(60)] + [FILLER + ITEM, FILLER + HALF, FILLER + ITEMS[1][1]]
+    items = [*ITEMS[:4], (7, HALF)]
+    before = found_in(spark, texts, items)
+    assert before == [(60, 1), (61, 7), (62, 2)]
+    assert found_in(spark, texts + [f"{FILLER} {n}" for n in range(3000)], items) == before
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    frame = spark.createDataFrame(items, "item_id BIGINT, item_text STRING")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, frame, block_items=2).collect()) == before
+    taken_out = leakage.common_clauses(docs, frame).collect()
+    assert {r["item_id"] for r in taken_out} == {7} and all(r["letters"] in leakage.letters(ALONE) and r["in_texts"] == 61 for r in taken_out)
