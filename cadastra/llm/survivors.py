@@ -154,12 +154,11 @@ def consensus(df: DataFrame, group: str, value: str, tokens: Callable[[str], lis
     present = df.where(F.col(group).isNotNull() & (F.trim(value) != "")).select(
         F.col(group).alias("g"), F.col(value).alias("v"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w"), (F.lit(False) if firm is None else firm).alias("f")
     )
-    counted = present.groupBy("g", "v").agg(F.sum("w").alias("w"), F.max("f").alias("f"))
-    stats = counted.groupBy("g").agg(F.count("*").alias("n"), F.count_if("f").alias("firm"))
-    apart_at_once = F.lit(False) if most_firm is None else F.col("firm") > most_firm
-    large = stats.where((F.col("n") > most) | apart_at_once).select("g", "n", apart_at_once.alias("lost"))
-    lists = counted.join(large, "g", "left_anti").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("w", "v", "f"))).alias("values"))
-    alone = lists.where(F.size("values") == 1).select("g", F.col("values")[0]["v"].alias("v"), F.lit(None).cast("string").alias("voted"), F.lit(0).alias("apart"))
+    counted = checkpointed(present.groupBy("g", "v").agg(F.sum("w").alias("w"), F.max("f").alias("f")))  # read by three branches
+    stats = counted.groupBy("g").agg(F.count("*").alias("n"), F.count_if("f").alias("firm"), F.min("v").alias("v"))
+    alone = stats.where("n = 1").select("g", "v", F.lit(None).cast("string").alias("voted"), F.lit(0).alias("apart"))
+    several = stats.where("n > 1") if most_firm is None else stats.where((F.col("n") > 1) & (F.col("firm") <= most_firm))
+    lists = counted.join(several.where(F.col("n") <= most).select("g"), "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("w", "v", "f"))).alias("values"))
 
     def measured(values: list[dict], best: list[str]) -> tuple[str, int]:
         far, closest = 0, None
@@ -178,12 +177,12 @@ def consensus(df: DataFrame, group: str, value: str, tokens: Callable[[str], lis
                 c.append(x)
         return out
 
-    small = flat_map(lists.where(F.size("values") > 1), choose, "g STRING, v STRING, voted STRING, apart INT")
-    chosen = alone.unionByName(small).unionByName(_of_large(counted.join(large.where(~F.col("lost")).drop("lost"), "g"), tokens, measured, most))
+    small = flat_map(lists, choose, "g STRING, v STRING, voted STRING, apart INT")
+    chosen = alone.unionByName(small).unionByName(_of_large(counted.join(several.where(F.col("n") > most).select("g", "n"), "g"), tokens, most))
     return chosen.select(F.col("g").alias(group), F.col("v").alias(value), "voted", "apart")
 
 
-def _of_large(counted: DataFrame, tokens: Callable[[str], list[str]], measured: Callable, most: int) -> DataFrame:
+def _of_large(counted: DataFrame, tokens: Callable[[str], list[str]], most: int) -> DataFrame:
     """The consensus of groups with more than ``most`` distinct values, from partial profiles; ``counted`` has their number ``n``."""
     column = "ARRAY<STRUCT<t: ARRAY<STRING>, w: ARRAY<DOUBLE>>>"
 
