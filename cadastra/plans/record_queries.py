@@ -58,7 +58,7 @@ def p3_schema_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of the packed fields with its position."""
     frames = [(table(spark, sf_dir, name), name, row_id, fields) for name, row_id, fields in PACKED]
-    entries = packed.learn_dictionary(reduce(DataFrame.unionByName, [packed.stacked(df, fields) for df, _, _, fields in frames]))
+    entries = packed.held(packed.learn_dictionary(reduce(DataFrame.unionByName, [packed.stacked(df, fields) for df, _, _, fields in frames])))
     return reduce(DataFrame.unionByName, [packed.split_fields(df, name, row_id, fields, entries) for df, name, row_id, fields in frames])
 
 

@@ -59,8 +59,29 @@ def test_dictionary_and_operator(spark):
     rows = [(i, v, "x") for i, v in enumerate([A, A, json.dumps([B, C]), json.dumps([B, C]), f"{A}|{C}", None, "", f"{B}; {A}"])]
     df = spark.createDataFrame(rows, "id BIGINT, issues STRING, pos STRING")
     entries = packed.learn_dictionary(packed.stacked(df, ["issues"]))
-    assert set(entries) == {packed.NUMBER.sub("0", v) for v in (A, B, C)}
-    out = packed.split_fields(df, "t", "id", ["issues"], entries).collect()
+    assert {r["value"] for r in entries.collect()} == {packed.NUMBER.sub("0", v) for v in (A, B, C)}
+    out = packed.split_fields(df, "t", "id", ["issues"], packed.held(entries)).collect()
     assert sorted((r["row_id"], r["pos"], r["item"]) for r in out if r["row_id"] in (4, 7)) == [(4, 1, A), (4, 2, C), (7, 1, B), (7, 2, A)]
-    assert packed.learn_dictionary(packed.stacked(df.limit(0), ["issues"])) == []
-    assert packed.split_fields(df.limit(0), "t", "id", ["issues"], []).count() == 0
+    nothing = packed.learn_dictionary(packed.stacked(df.limit(0), ["issues"]))
+    assert nothing.count() == 0 and packed.split_fields(df.limit(0), "t", "id", ["issues"], packed.held(nothing)).count() == 0
+
+
+def test_unrelated_rows_make_no_value_unknown_and_long_values_are_learnt(spark):
+    long = "See the note; " + "x" * 900
+    fields = [(json.dumps([long, A]),)] * 2 + [(f"{long}|{A}",)]
+    other = [(f"something else number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}",) for i in range(3000)]
+    for rows in (fields, fields + other):
+        df = spark.createDataFrame(rows, "issues STRING").selectExpr("monotonically_increasing_id() AS id", "issues")
+        known = packed.held(packed.learn_dictionary(packed.stacked(df, ["issues"])))
+        out = packed.split_fields(df.where(f"issues = '{long}|{A}'"), "t", "id", ["issues"], known).collect()
+        assert [(r["pos"], r["item"]) for r in out] == [(1, long), (2, A)]
+
+
+def test_a_dictionary_too_large_to_broadcast_gives_the_same_rows(spark):
+    glued = [g.join(v) for g in (" | ", ";", ", ", " / ", "\n") for v in ([A, B, C], [C, C], ["new, value", A], ["low_ink_page", "rotated_page"])]
+    texts = [*glued, A, json.dumps([A, C]), f'"{B}";"{C}"', "low_ink_page rotated_page", None, "", f"1. {A}\n2. {C}", f"• {A} • {B}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id BIGINT, issues STRING")
+    entries = spark.createDataFrame([(k,) for k in KNOWN], "value STRING")
+    assert isinstance(packed.held(entries, 10), type(entries))
+    by_join, held = (sorted(map(tuple, packed.split_fields(df, "t", "id", ["issues"], e).collect())) for e in (entries, packed.held(entries)))
+    assert by_join == held != []
