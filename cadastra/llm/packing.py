@@ -1,11 +1,13 @@
 """Filling fixed-capacity containers with items (problem 6), by bounded-space online best-fit.
 
 Texts are counted in tokens of a public tokenizer by a narrow map. The counted items, a few bytes each, are dealt
-to lanes by a hash of their id, about ``LANE_ITEMS`` to a lane, and each lane packs its items as they come in the order of
+to ``lanes`` by a hash of their id, and each lane packs its items as they come in the order of
 their ids: a fixed number of bins is open, a bitset has a bit for every free space that an open bin has, the best
 fit of an item is the lowest bit not below its size, and when a new bin is needed and all are open, the fullest
 closes. A text longer than the capacity alone is cut into full containers and a rest, which is packed like
-other items. Lanes never meet, so packing scales with the number of lanes, and each wastes at most its open bins.
+other items. Lanes never meet, so packing scales with the number of lanes, and each wastes at most its open bins. The
+number of lanes is part of what is asked for: with a stated one, an item's lane never changes. Without one it is the power
+of two that gives lanes of at most ``LANE_ITEMS`` on average.
 
 The order within a lane is fixed, so a lane packed again after a lost executor gives the same containers.
 
@@ -98,13 +100,18 @@ class Bins:
         return number
 
 
-def pack(items: DataFrame, sizes: DataFrame, open_bins: int = OPEN_BINS, lane_items: int = LANE_ITEMS) -> DataFrame:
+def lanes_for(items: int, lane_items: int = LANE_ITEMS) -> int:
+    """The power of two that gives lanes of at most ``lane_items`` items on average."""
+    return 1 << max(0, math.ceil(math.log2(max(1, items) / lane_items)))
+
+
+def pack(items: DataFrame, sizes: DataFrame, open_bins: int = OPEN_BINS, lanes: int | None = None) -> DataFrame:
     """Every piece of every item in a container of each size; ``items`` has doc_id and tokens.
 
     ``sizes`` is the stated list of container sizes, one row each.
     """
     capacities = sorted((r["size_name"], r["capacity_tokens"]) for r in sizes.select("size_name", "capacity_tokens").collect() if (r["capacity_tokens"] or 0) >= 1)
-    lanes = max(1, math.ceil(items.count() / lane_items))
+    lanes = lanes or lanes_for(items.count())
     out = StructType.fromDDL(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,8 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in a container of each capacity."""
     documents = table(spark, sf_dir, "documents")
     path = spark.conf.get("spark.cadastra.tokenizer", packing.TOKENIZER)
-    return packing.pack(checkpointed(packing.token_counts(documents, path)), table(spark, sf_dir, "container_sizes"))
+    lanes = spark.conf.get("spark.cadastra.lanes", None)
+    return packing.pack(checkpointed(packing.token_counts(documents, path)), table(spark, sf_dir, "container_sizes"), lanes=int(lanes) if lanes else None)
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 A document becomes a row of numbers: distributions of word length and syllables, vocabulary (the bands in which
 its words occur in the samples), syntax (sentence length, clause markers, punctuation) and cohesion (connectives,
 repetition). Squared-error trees are boosted on the graded samples; predictions for samples that a model has not
-seen (k-fold) give the cut points that turn a prediction into a band, and the error that is reported.
+seen (k-fold) give the cut points that turn a prediction into a band, and the error that is reported. Nothing of a
+held-out sample reaches the model that grades it: the vocabulary is made inside each fold, from its training samples,
+whose own words are graded by the other training samples; near copies (five-word shingles, similarity 0.8) are in one fold.
 
 The model is fitted on the driver on at most ``MAX_SAMPLES`` graded samples (the only bounded input; all
 documents are scored), and sent to the tasks as a few kilobytes. Scoring is one narrow map over all documents in
@@ -171,30 +173,57 @@ class Trees:
         return out
 
 
+def near_copies(texts: list[str], least: float = 0.8, width: int = 5) -> list[int]:
+    """A number for each text, the same for near copies: texts whose sets of word shingles are as similar as ``least``."""
+    shingles = [{tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))} for ws in map(words_of, texts)]
+    holders: dict[tuple, list[int]] = {}
+    for n, own in enumerate(shingles):
+        for s in own:
+            holders.setdefault(s, []).append(n)
+    group = list(range(len(texts)))
+
+    def root(n: int) -> int:
+        while group[n] != n:
+            group[n] = n = group[group[n]]
+        return n
+
+    for n, own in enumerate(shingles):
+        shared = Counter(m for s in own for m in holders[s] if m < n)
+        for m, k in shared.items():
+            if k >= least * (len(own) + len(shingles[m]) - k):
+                group[root(n)] = root(m)
+    return [root(n) for n in range(len(texts))]
+
+
+def folds_of(groups: list[int], folds: int = FOLDS) -> np.ndarray:
+    """The fold of each sample, whole groups at random in turn."""
+    names = sorted(set(groups))
+    at = {names[g]: k % folds for k, g in enumerate(np.random.default_rng(SEED).permutation(len(names)))}
+    return np.array([at[g] for g in groups])
+
+
 class Grader:
     """Vocabulary, trees and cut points fitted on graded samples."""
 
     def __init__(self, texts: list[str], bands: list[int]):
         y = np.array(bands, dtype=float)
-        order = np.random.default_rng(SEED).permutation(len(texts))
-        fold = np.empty(len(texts), dtype=int)
-        fold[order] = np.arange(len(texts)) % FOLDS
-        # words are graded by the other folds, so that a sample's own band does not show in its features
-        x = np.zeros((len(texts), 0))
-        rows: list[list[float]] = [[]] * len(texts)
+        groups = near_copies(texts)
+        fold = folds_of(groups)
+        self.unseen = np.full(len(y), y.mean())
         for k in range(FOLDS):
-            seen = Vocabulary([t for t, f in zip(texts, fold, strict=True) if f != k], [b for b, f in zip(bands, fold, strict=True) if f != k])
-            for i in np.flatnonzero(fold == k):
+            train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            if not len(train) or not len(test):
+                continue
+            said, graded = [texts[i] for i in train], [bands[i] for i in train]
+            x, usable = self._rows(said, graded, [groups[i] for i in train])
+            if not usable.any():
+                continue
+            trees, seen = Trees(x[usable], y[train][usable]), Vocabulary(said, graded)
+            for i in test:
                 found = features(texts[i], seen)
-                rows[i] = found[0] if found else []
-        width = max(map(len, rows))
-        usable = np.array([len(r) == width for r in rows])
-        x = np.array([r if len(r) == width else [0.0] * width for r in rows])
-        self.unseen = np.zeros(len(y))
-        for k in range(FOLDS):
-            train, test = usable & (fold != k), fold == k
-            if test.any() and train.any():
-                self.unseen[test] = Trees(x[train], y[train]).predict(x[test])
+                if found:
+                    self.unseen[i] = trees.predict(np.array([found[0]]))[0]
+        x, usable = self._rows(texts, bands, groups)
         self.vocabulary = Vocabulary(texts, bands)
         self.trees = Trees(x[usable], y[usable])
         levels = sorted(set(bands))
@@ -204,6 +233,19 @@ class Grader:
         self.accuracy = float((graded == y).mean())
         self.error = float(np.abs(self.unseen - y).mean())
 
+    @staticmethod
+    def _rows(texts: list[str], bands: list[int], groups: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of training samples, the words of each graded by the samples of other folds; and which have any."""
+        fold = folds_of(groups)
+        rows: list[list[float]] = [[]] * len(texts)
+        for k in range(FOLDS):
+            seen = Vocabulary([t for t, f in zip(texts, fold, strict=True) if f != k], [b for b, f in zip(bands, fold, strict=True) if f != k])
+            for i in np.flatnonzero(fold == k):
+                found = features(texts[i], seen)
+                rows[i] = found[0] if found else []
+        width = max(map(len, rows))
+        return np.array([r if len(r) == width else [0.0] * width for r in rows]), np.array([len(r) == width > 0 for r in rows])
+
     @staticmethod
     def _cut(y: np.ndarray, p: np.ndarray, a: int, b: int) -> float:
         """The cut nearest the middle of two neighbouring bands, of those with at most one more unseen sample on the

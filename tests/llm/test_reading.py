@@ -41,3 +41,16 @@ def test_query_and_empty_input(spark, grader):
     assert reading.graded(empty, grader).count() == 0
     assert reading.fit(spark.createDataFrame([], "sample_id BIGINT, sample_text STRING, band INT")) is None
     assert reading.graded(spark.createDataFrame([(1, "text")], "doc_id BIGINT, text STRING"), None).count() == 0
+
+
+def test_near_copies_share_a_fold_and_held_out_words_are_not_known():
+    words = ["w" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:57] + ["x", "y", "z"]), " ".join(words[::-1]), " ".join(words)]
+    groups = reading.near_copies(texts)
+    assert groups[0] == groups[1] == groups[3] != groups[2]
+    fold = reading.folds_of(groups, 2)
+    assert fold[0] == fold[1] == fold[3]
+    random = np.random.default_rng(3)  # bands that have nothing to do with the texts: what is held out must not be guessed
+    noise = [" ".join(random.choice([a + b + c for a in "bcdfg" for b in "aeiou" for c in "klmnprst"], 40)) for _ in range(120)]
+    bands = [int(b) for b in random.integers(1, 6, 120)]
+    assert reading.Grader(noise, bands).error > 0.9
