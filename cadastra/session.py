@@ -20,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a folder of our own is set only where that is
-    unset, as in tests.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only a local session without one gets a folder of its own; on a
+    cluster that is an error, as executors could not read each other's files. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` the engine deletes what is no longer used.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cadastra-checkpoints"))
     return df.checkpoint()
 
