@@ -1,17 +1,21 @@
 """Personal information inside free text (problem 2), by information-theoretic sanitisation.
 
-Pass 1 counts, over the whole corpus, how often a capitalised term leads or ends a two-word phrase, and how often
-that happens where a protected person is named beyond doubt (after a title, a signature or a role). The
-pointwise mutual information between the term and such places is its disclosure: leading terms above the threshold
-are given names, and frequent ending terms below the floor (annexes, schedules, places) name no person. The same
-pass counts the towns that stand before a state and a ZIP code.
+Pass 1 reads every two-word phrase of capitalised words in the corpus, with the words before and after it. How often
+a leading word stands where a protected person is named is its disclosure: words whose pointwise mutual information
+with being named exceeds the threshold are given names, and frequent ending words below the floor
+(annexes, schedules, places) name no person. Where persons are named is learnt as well: titles and a few usual words of
+letters (``SEEDS``) begin it, the contexts beside phrases that given names mostly lead become cues, and the disclosure is
+estimated again with them. The same pass counts the towns that stand before a state and a ZIP code.
 
 Pass 2 finds the items of each text: emails, addresses, identity numbers and phones by their form and the words
-around them, names by the disclosure of their terms. Items never nest. ``redact`` replaces them with typed
-placeholders and keeps the rest.
+around them, names by the disclosure of their terms and by the cues. Items never nest. ``redact`` replaces them with
+typed placeholders (the generalisation of a disclosing term to its kind) and keeps the rest.
 
-Only counts are shuffled, summed in each batch first. Terms need a share of ``MIN_SHARE`` of all phrases, so at most
-1 / MIN_SHARE of them are kept and sent to the tasks, however large the corpus.
+Only phrases and counts are shuffled, summed in each batch first. Supports are absolute, so further texts without
+persons take no name away. Terms and cues are sent to the tasks, at most ``MOST_TERMS`` of each kind, the best supported
+first; a name beyond them is still found by its cue and its form.
+
+Addresses are read with the states of the USA, phones in North American and international form.
 
 Defined results: NULL and empty texts have no items; repeated texts give their items under each id; offsets count
 code points; further columns are ignored.
@@ -19,33 +23,53 @@ code points; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.session import flat_map
+from cadastra.session import checkpointed, flat_map
 
-MIN_SHARE = 1e-5
+#: A leading word reveals a person from this support and disclosure on: the pointwise mutual information (in nats) between the
+#: word and being named, against the prior probability that a phrase of two capitalised words is a person. The first
+#: estimate, by the seeds alone, sees few of the places where persons are named, so less is asked of it.
 MIN_COUNT = 3
-#: A leading term reveals a person when naming one is this much more likely after it than by chance (in nats), and at
-#: least so likely at all; an ending term seen often enough and below the floor reveals none.
-DISCLOSURE_PMI = 0.5
-DISCLOSURE = 0.2
+PRIOR = 0.25
+DISCLOSURE, FIRST_DISCLOSURE = 0.47, -0.51
+#: An ending word seen so often, and named in less than this share, reveals none.
 FLOOR = 0.02
 OFTEN = 12
+#: A context is a cue if so many phrases stand beside it, led by so many different given names, which lead this share of them.
+CUE_COUNT, CUE_NAMES, CUE_SHARE = 8, 3, 0.6
+ROUNDS = 2
+MOST_TERMS = 200_000
 
 KINDS = ("email", "street_address", "id_number", "phone", "person_name")
 
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|MR|MRS|MS|DR|mr|mrs|ms|dr)\.?"
-#: Words that stand right before a person, and right after one.
-CUES = ("Owner:", "Prepared by", "prepared by", "Contact for this file:", "contact:", "Our clerk", "clerk by", "The owner,", "Signed before", "Attn:", "Dear", "Sincerely,", "Regards,", "Thank you,", "Present:", "spoke w/", "bookkeeper", "notary", "per")
-_CUED = re.compile(rf"(?:\b{TITLE}|(?:{'|'.join(re.escape(c) for c in CUES)})(?:\s+{TITLE})?)\s+$")
-_AFTER = re.compile(r"\s*(?:,\s+lives at|disputes\b|took the call|signed the form|says\b|re:|all desks)")
+#: Usual words before a person in letters, from which cues are learnt (fixed values).
+SEEDS = ("Dear", "Attn:", "Sincerely,", "Regards,", "Signed", "Owner:", "Contact:", "contact:", "Prepared by", "prepared by", "spoke with")
+_CUED = re.compile(rf"(?:\b{TITLE}|(?:{'|'.join(re.escape(c) for c in SEEDS)})(?:\s+{TITLE})?)\s+$")
+_TITLE_END = re.compile(rf"(?<![A-Za-z]){TITLE}\s+$")
 _PHRASE = re.compile(r"(?!(?:Dear|Mr|Mrs|Ms|Dr|Attn|Our|The|To|Present|Owner)\b)[A-Z][A-Za-z]+[ \n]+(?:[A-Z]\.?[ \n]+)?[A-Z][A-Za-z]+(?:-[A-Za-z]+)?")
-_STATE = re.compile(r"([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)?),? (?:TX|Texas|TEXAS) \d{5}(?!\d)")
+
+# States of the USA and their postal abbreviations (fixed values).
+STATES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois",
+    "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi", "MO": "Missouri", "MT": "Montana",
+    "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey", "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania",
+    "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia", "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming", "DC": "District of Columbia",
+}
+#: A state as it stands in an address: by its name, or abbreviated before a ZIP code; after a town and a comma also without one.
+_NAMED = "|".join(sorted((f"{n}|{n.upper()}|{n.lower()}" for n in STATES.values()), key=len, reverse=True))
+_ZIPPED = "|".join(f"{a}|{a.lower()}|{a.title()}" for a in STATES)
+_ANY_STATE = rf"(?:(?:{_NAMED}|TX|tx|Tx)\b|(?:{_ZIPPED})(?=\.?,?\s+\d{{5}}(?!\d)))"
+_AFTER_TOWN = rf"(?:,?\s+{_ANY_STATE}|, (?:{'|'.join(a for a in STATES if a not in ("HI", "IN", "ME", "OK", "OR"))})\b)"
+_STATE = re.compile(rf"([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)?),? (?:{_ANY_STATE}) \d{{5}}(?!\d)")
+_ZIP = re.compile(r" \d{5}(?!\d)")
 
 SUFFIXES = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Loop|Trail|Trl|Parkway|Pkwy|Boulevard|Blvd|Way|Place|Pl|Circle|Cir|Terrace|Ter|Highway|Hwy"
 _SUFFIX_WORDS = frozenset(SUFFIXES.lower().split("|"))
@@ -56,11 +80,13 @@ ADDRESS = re.compile(
     rf"(?:,? +{_UNITS})?"
 )
 _STREET = re.compile(rf".*?\b(?:{_ANY_SUFFIX})\b")
-TOWN = re.compile(r",?\s+([A-Za-z][A-Za-z]+(?: [A-Za-z][A-Za-z]+)?)(?:,?\s+(TX|Texas|TEXAS|tx|texas|Tx)\b\.?(?:\s+(\d{5}(?:-\d{4})?)(?!\d))?)?")
-STATE = re.compile(r",?\s+(TX|Texas|TEXAS|tx|texas)\b(?:\s+(\d{5}(?:-\d{4})?)(?!\d))?")
+TOWN = re.compile(rf",?\s+([A-Za-z][A-Za-z]+(?: (?!{_ANY_STATE})[A-Za-z][A-Za-z]+)?)(?:({_AFTER_TOWN})\.?(?:,?\s+(\d{{5}}(?:-\d{{4}})?)(?!\d))?)?")
+STATE = re.compile(rf",?\s+({_ANY_STATE})(?:\s+(\d{{5}}(?:-\d{{4}})?)(?!\d))?")
 
 _LOCAL, _HOST = r"[A-Za-z0-9][A-Za-z0-9._+-]*", r"[A-Za-z0-9-]+"
 EMAIL = re.compile(rf"{_LOCAL} ?@ ?{_HOST}(?:\.{_HOST})+")
+_LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+-")
+ABROAD = re.compile(r"(?<![\w+])\+(?!1\b)[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\d-])")
 OBFUSCATED = re.compile(rf"{_LOCAL}(?: ?[\(\[] ?(?:at|AT) ?[\)\]] ?| (?:at|AT) ){_HOST}(?:(?: ?[\(\[] ?(?:dot|DOT) ?[\)\]] ?| (?:dot|DOT) |\.){_HOST})+")
 _LONG = re.compile(r"\d{4,}")
 _BEFORE = r"(?<![\w$#/.,:-])"
@@ -86,34 +112,58 @@ _FORWARD = re.compile(rf"(?P<given>[A-Z][A-Za-z0-9']+)(?:\s{{1,2}}[A-Z](?:\.|(?=
 _BACK = re.compile(rf"(?P<last>{_NAME}),\s{{1,2}}$")
 _GIVEN_TAIL = re.compile(rf"[A-Z][A-Za-z0-9']+{_INITIALS}(?: [A-Z]\.?(?![A-Za-z]))?{_TAIL}")
 _SHORT = re.compile(rf"(?:[A-Z]\.? (?P<a>{_NAME})|(?P<b>{_NAME}),? [A-Z](?:\.|(?![\w'-]))(?: [A-Z]\.)?)")
-_CUED_ANY = re.compile(r"(?P<a>[A-Za-z][A-Za-z0-9']+)(?:,? (?P<i>[A-Za-z]\.?))?(?P<comma>,)? (?P<b>[A-Za-z][A-Za-z0-9']+(?:-[A-Za-z0-9']+)*)(?: [A-Za-z]\.?(?![\w'-]))?(?=[\n,.;]|\s*$| took | signed | says | disputes | all desks| re:| \(| \+?\d)")
+_CUED_ANY = re.compile(r"(?P<a>[A-Za-z][A-Za-z0-9']+)(?:,? (?P<i>[A-Za-z]\.?))?(?P<comma>,)? (?P<b>[A-Za-z][A-Za-z0-9']+(?:-[A-Za-z0-9']+)*)(?: [A-Za-z]\.?(?![\w'-]))?(?=[\n,.;]|\s*$|\s[a-z(]|\s\+?\d)")
 _LOW_TAIL = re.compile(r"(?<![\w'-])([a-z]+)(?: [a-z]\.?)? ([a-z]+(?:-[a-z]+)?)$")
 _LABEL = re.compile(r"\nO[a-z0-9]{2,5} ?[a-z]{0,2}[:;.] +")
 _CAPITALS = re.compile(r"\b[A-Z]{3,}[,;]? $")
 _TITLED = re.compile(rf"{TITLE}\s+")
 _FIRM = re.compile(r"\b(?:LLC|PLLC|Inc|INC|Corp|CORP|Ltd|LTD|LP|Company|COMPANY|Co|Services|Group|Partners|Associates|Traders|Guild|Depot|Stores|Works|Annex|Building|Hall)\b|&")
 _WORD = re.compile(r"[A-Z][A-Za-z0-9']+")
+_SIX_WORDS = re.compile(r"(?:[^\S\n]*[^\s]+){0,6}[^\S\n]?")
+
+
+def _words_back(text: str, end: int, words: int) -> int:
+    """Where the last ``words`` words before ``end`` begin, with the blanks before ``end``."""
+    at = end
+    while at and text[at - 1].isspace():
+        at -= 1
+    for n in range(words):
+        while n and at and text[at - 1] in " \t":
+            at -= 1
+        while at and not text[at - 1].isspace():
+            at -= 1
+    return at
 
 
 def phrases(text: str) -> tuple[Counter, Counter]:
-    """Counts of (term, leads, named) and of towns in one text."""
+    """Counts of (leading word, ending word, words before, words after, named by a seed) of the phrases of one text, and of towns."""
     terms: Counter = Counter()
     for m in _PHRASE.finditer(text):
         a, b = m.span()
         first, last = text[a:b].split(None, 1)[0], text[a:b].rsplit(None, 1)[-1]
-        named = bool(_CUED.search(text[max(0, a - 34) : a]) or _AFTER.match(text, b))
-        terms[first.lower(), True, named] += 1
-        terms[last.lower(), False, named] += 1
+        before = text[max(0, a - 60) : a]
+        named = bool(_CUED.search(before))
+        titled = _TITLE_END.search(before)
+        left = " ".join((before[: titled.start()] if titled else before).split()[-2:])
+        right = " ".join(text[b : b + 48].split()[:2]).rstrip(".,;:")
+        glued = b < len(text) and not text[b].isspace()
+        terms[first.lower(), last.lower(), left, right if not glued or text[b] == "," else "", named] += 1
     towns: Counter = Counter()
-    if " TX " in text or "exas " in text or "EXAS " in text:
+    if _ZIP.search(text):
         for m in _STATE.finditer(text):
             words = m.group(1).lower().split()
             towns[" ".join(w for w in words if w not in _SUFFIX_WORDS)] += 1
     return terms, towns
 
 
-def disclosure(texts: DataFrame) -> tuple[set[str], set[str], set[str]]:
-    """(given names, words that end no name, towns) of ``texts`` (one column ``text``)."""
+def _contexts(left: str, right: str) -> list[tuple[str, str]]:
+    """The contexts of a phrase: one and two words on each side."""
+    out = [("left", left), ("left", left.rsplit(" ", 1)[-1]), ("right", right), ("right", right.split(" ", 1)[0])]
+    return list(dict.fromkeys((side, words) for side, words in out if len(words) > 1 and any(c.isalpha() for c in words) and (side == "left" or words.rsplit(" ", 1)[-1][:1].islower())))
+
+
+def disclosure(texts: DataFrame) -> Terms:
+    """What the ``texts`` (one column ``text``) reveal about the terms in them."""
 
     def count(columns: list[list]) -> list[list]:
         terms: Counter = Counter()
@@ -122,36 +172,104 @@ def disclosure(texts: DataFrame) -> tuple[set[str], set[str], set[str]]:
             t, w = phrases(text)
             terms.update(t)
             towns.update(w)
-        rows = [(t, "lead" if leads else "end", n * named, n) for (t, leads, named), n in terms.items()]
-        rows += [(t, "town", n, n) for t, n in towns.items() if t]
-        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
-
-    counts = (
-        flat_map(texts.where(F.length("text") > 0).select("text"), count, "term STRING, role STRING, named BIGINT, n BIGINT")
-        .groupBy("role", "term")
-        .agg(F.sum("named").alias("named"), F.sum("n").alias("n"))
-    )
-    totals = counts.groupBy("role").agg(F.sum("named").alias("all_named"), F.sum("n").alias("all_n"))
-    kept = counts.join(F.broadcast(totals), "role").where(F.col("n") >= F.greatest(F.lit(MIN_COUNT), F.col("all_n") * MIN_SHARE))
-    given, ordinary, towns = set(), set(), set()
-    for r in kept.collect():
-        base = max(r["all_named"], 1) / r["all_n"]
-        likely = (r["named"] + base) / (r["n"] + 1)
-        if r["role"] == "town":
-            towns.add(r["term"])
-        elif r["role"] == "lead":
-            if likely >= DISCLOSURE and math.log(likely / base) >= DISCLOSURE_PMI:
-                given.add(r["term"])
-        elif r["n"] >= OFTEN and r["named"] / r["n"] < FLOOR:
-            ordinary.add(r["term"])
-    return given, ordinary, towns
+        rows = [(*t, n) for t, n in terms.items()] + [(t, None, None, None, None, n) for t, n in towns.items() if t]
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 6
+
+    schema = "first STRING, last STRING, left STRING, right STRING, named BOOLEAN, n BIGINT"
+    counted = flat_map(texts.where(F.length("text") > 0).select("text"), count, schema)
+    counted = checkpointed(counted.groupBy("first", "last", "left", "right", "named").agg(F.sum("n").alias("n")))
+    seen = counted.where("last IS NOT NULL")
+    towns = {r["first"] for r in _most(counted.where("last IS NULL").groupBy("first").agg(F.sum("n").alias("n")), "first")}
+    context = texts.sparkSession.sparkContext
+    left: frozenset[str] = frozenset()
+    right: frozenset[str] = frozenset()
+    given = _given(seen, FIRST_DISCLOSURE)
+    for _ in range(ROUNDS):
+        known = context.broadcast(given)
+
+        def beside(columns: list[list], known=known) -> list[list]:
+            rows = [(side, words, f if f in known.value else None, n) for f, a, b, n in zip(*columns, strict=True) for side, words in _contexts(a, b)]
+            return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4
+
+        around = flat_map(seen.select("first", "left", "right", "n"), beside, "side STRING, words STRING, given STRING, n BIGINT")
+        met = around.groupBy("side", "words").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("given").isNotNull(), F.col("n")).otherwise(0)).alias("led"), F.count_distinct("given").alias("names"))
+        cues = _most(met.where((F.col("n") >= CUE_COUNT) & (F.col("names") >= CUE_NAMES) & (F.col("led") >= F.col("n") * CUE_SHARE)), "side", "words")
+        left, right = (frozenset(r["words"] for r in cues if r["side"] == side) for side in ("left", "right"))
+        cued = context.broadcast((left, right))
+
+        def again(columns: list[list], cued=cued) -> list[list]:
+            out: list[list] = [columns[0], columns[1], [], columns[5]]
+            for a, b, named in zip(*columns[2:5], strict=True):
+                out[2].append(named or any(words in cued.value[side == "right"] for side, words in _contexts(a, b)))
+            return out
+
+        placed = flat_map(seen, again, "first STRING, last STRING, named BOOLEAN, n BIGINT")
+        given = _given(placed, DISCLOSURE)
+    ends = placed.groupBy("last").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("named"), F.col("n")).otherwise(0)).alias("named"))
+    ordinary = _most(ends.where((F.col("n") >= OFTEN) & (F.col("named") < F.col("n") * FLOOR)), "last")
+    return Terms(given, frozenset(r["last"] for r in ordinary), frozenset(towns), left, right)
+
+
+def _most(df: DataFrame, *names: str) -> list:
+    """The rows of at least MIN_COUNT, at most MOST_TERMS, the best supported first."""
+    return df.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), *names).limit(MOST_TERMS).collect()
+
+
+def _given(seen: DataFrame, least: float) -> frozenset[str]:
+    """The leading words that reveal a person; few sightings draw a word to the prior."""
+    leads = seen.groupBy("first").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("named"), F.col("n")).otherwise(0)).alias("named"))
+    information = F.log((F.col("named") + PRIOR) / (F.col("n") + 1) / PRIOR)
+    return frozenset(r["first"] for r in _most(leads.where(information >= least), "first"))
+
+
+@dataclass(frozen=True)
+class Terms:
+    """Given names, words that end no name, towns, and the cues before and after persons."""
+
+    given: frozenset[str] = frozenset()
+    ordinary: frozenset[str] = frozenset()
+    towns: frozenset[str] = frozenset()
+    left: frozenset[str] = frozenset()
+    right: frozenset[str] = frozenset()
+
+
+def _fewer(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def one_slip(a: str, b: str) -> bool:
+    """Whether one letter misread, lost or added makes ``a`` into ``b``."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return b[i + 1 :] == a[i + 1 :] or b[i:] == a[i + 1 :] or b[i + 1 :] == a[i:]
 
 
 class Finder:
     """Finds the personal items of one text after another."""
 
-    def __init__(self, given: set[str], ordinary: set[str], towns: set[str]):
-        self.given, self.ordinary, self.towns = frozenset(given), frozenset(ordinary), frozenset(towns)
+    def __init__(self, terms: Terms):
+        import ahocorasick
+
+        self.given, self.ordinary, self.towns = terms.given, terms.ordinary, terms.towns
+        self.near: dict[str, list[str]] = {}
+        for name in self.given:
+            if len(name) > 3:
+                for less in _fewer(name):
+                    self.near.setdefault(less, []).append(name)
+        self.cues = ahocorasick.Automaton()
+        for cue in {*SEEDS, *terms.left}:
+            for spelt in {cue, cue.replace(" ", "\n"), cue.replace(" ", "  ")}:
+                for before in (" ", "\n"):
+                    for after in (" ", "\n"):
+                        self.cues.add_word(before + spelt + after, (len(spelt) + 2, "left"))
+        for cue in terms.right:
+            for spelt in {cue, cue.replace(" ", "\n"), cue.replace(" ", "  ")}:
+                for before in (" ", "\n") if cue[0].isalnum() else ("",):
+                    self.cues.add_word(before + spelt, (len(before) + len(spelt), "right"))
+        self.cues.make_automaton()
 
     def items(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) of every item in reading order; items do not overlap."""
@@ -176,8 +294,14 @@ class Finder:
         spans = []
         at = text.find("@")
         while at >= 0:
-            start = max(0, at - 80)
-            spans += [m.span() for m in EMAIL.finditer(text, start, min(len(text), at + 90)) if m.start() < at < m.end()]
+            start = at - (at > 1 and text[at - 1] == " ")
+            while start and text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            while start < at and not text[start].isalnum():
+                start += 1
+            m = EMAIL.match(text, start)
+            if m and m.end() > at:
+                spans.append(m.span())
             at = text.find("@", at + 1)
         if "(at" in text or "[at" in text or " dot " in text or "[dot" in text or "(dot" in text or "(AT" in text or "[AT" in text or " DOT " in text:
             spans += [m.span() for m in OBFUSCATED.finditer(text) if re.search(r"[(\[ ]dot|[(\[]at|DOT|[(\[]AT", m.group())]
@@ -256,6 +380,8 @@ class Finder:
                 more = _EXT.match(text, b)
                 b = more.end() if more else b
             spans.append((kind, start, b))
+        if "+" in text:
+            spans += [("phone", *m.span()) for m in ABROAD.finditer(text) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
         return spans
 
     def _last(self, word: str) -> bool:
@@ -276,40 +402,42 @@ class Finder:
             if m.group().isupper() and _CAPITALS.search(text[max(0, a - 24) : a]):
                 continue  # a word of a text all in capitals
             f = _FORWARD.match(text, a)
-            back = _BACK.search(text[max(0, a - 45) : a])
+            low = _words_back(text, a, 1)
+            back = _BACK.search(text[low:a])
             if f and self._last(f.group("last")) and not ("\n" in f.group() and back) and not _FIRM.match(text, min(len(text), f.end() + 1)):
                 end = f.end()
                 spans.append((a, end))
                 done = end
                 continue
             if back and back.group("last").lower() not in given and self._last(back.group("last")):
-                start = max(0, a - 45) + back.start()
+                start = low + back.start()
                 if start >= done and not (start and text[start - 1].isalnum()):
                     g = _GIVEN_TAIL.match(text, a)
                     spans.append((start, g.end()))
                     done = g.end()
-        for cue in CUES:
-            at = text.find(cue)
-            while at >= 0:
-                start = at + len(cue)
-                if not (at and text[at - 1].isalnum()) and start < len(text) and text[start] in " \n":
-                    self._cued(text, start, spans)
-                at = text.find(cue, start)
+        padded = f" {text} "  # so a place in the text is one further in this
+        ends: list[int] = []
+        for last, (length, side) in self.cues.iter(padded):
+            if side == "left":
+                self._cued(text, last - 1, spans)
+            elif last > length and not padded[last + 1 : last + 2].isalnum():
+                ends.append(last - length)
         at = text.find("\nO")  # an owner's label, misread
         while at >= 0:
             label = _LABEL.match(text, at)
             if label:
                 self._cued(text, label.end() - 1, spans)
             at = text.find("\nO", at + 1)
-        for m in re.finditer(r" (?:disputes|says list|re: |all desks)", text) if "disputes" in text or "says list" in text or "re: " in text or "all desks" in text else ():
-            tail = text[max(0, m.start() - 50) : m.start()]
+        for end in dict.fromkeys(ends):
+            start = _words_back(text, end, 4)
+            tail = text[start:end]
             low = _LOW_TAIL.search(tail)
             if low and low.group(1) in self.given and self._last(low.group(2)):
-                spans.append((m.start() - len(tail) + low.start(), m.start()))
+                spans.append((start + low.start(), end))
                 continue
             for s in _SHORT.finditer(tail):
                 if s.end() == len(tail) and self._last(s.group("a") or s.group("b")):
-                    spans.append((m.start() - len(tail) + s.start(), m.start()))
+                    spans.append((start + s.start(), end))
         return self._merged(spans)
 
     def _cued(self, text: str, start: int, spans: list[tuple[int, int]]) -> None:
@@ -321,7 +449,7 @@ class Finder:
             start = titled.end()
         if any(x <= start < y for x, y in spans):
             return
-        line = text[start : (text.find("\n", start) + 1 or len(text) + 1) - 1][:60]
+        line = _SIX_WORDS.match(text, start).group()
         s = _SHORT.match(line)
         if s and self._last(s.group("a") or s.group("b")) and not _FIRM.search(line[: s.end() + 12]):
             spans.append((start, start + s.end()))
@@ -335,15 +463,7 @@ class Finder:
 
     def _near_given(self, a: str, b: str) -> bool:
         """Whether one of two words is a given name with one letter misread, lost or added."""
-        for word in (a.lower(), b.lower()):
-            for name in self.given:
-                if abs(len(name) - len(word)) <= 1 and len(name) > 3:
-                    i = 0
-                    while i < min(len(name), len(word)) and name[i] == word[i]:
-                        i += 1
-                    if word[i + 1 :] == name[i + 1 :] or word[i:] == name[i + 1 :] or word[i + 1 :] == name[i:]:
-                        return True
-        return False
+        return any(one_slip(word, name) for word in (a.lower(), b.lower()) for less in _fewer(word) for name in self.near.get(less, ()))
 
     @staticmethod
     def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,13 +475,16 @@ class Finder:
         return sorted(kept)
 
 
-def find_items(df: DataFrame, source_table: str, row_id: str, field: str, finder: Finder) -> DataFrame:
-    """(source_table, row_id, kind, start_at, end_at) of every personal item of ``field``."""
+def find_items(df: DataFrame, source_table: str, row_id: str, field: str, terms: Broadcast) -> DataFrame:
+    """(source_table, row_id, kind, start_at, end_at) of every personal item of ``field``, by the broadcast ``terms``."""
+    made: list[Finder] = []  # once a task
 
     def run(columns: list[list]) -> list[list]:
+        if not made:
+            made.append(Finder(terms.value))
         out: list[list] = [[], [], [], [], []]
         for row, text in zip(*columns, strict=True):
-            for item in finder.items(text):
+            for item in made[0].items(text):
                 for values, x in zip(out, (source_table, row, *item), strict=True):
                     values.append(x)
         return out
@@ -370,15 +493,18 @@ def find_items(df: DataFrame, source_table: str, row_id: str, field: str, finder
     return flat_map(chosen, run, "source_table STRING, row_id BIGINT, kind STRING, start_at INT, end_at INT")
 
 
-def redact(df: DataFrame, row_id: str, field: str, finder: Finder) -> DataFrame:
+def redact(df: DataFrame, row_id: str, field: str, terms: Broadcast) -> DataFrame:
     """(row_id, redacted): the text with each item replaced by its typed placeholder, NULL where the text is."""
+    made: list[Finder] = []  # once a task
 
     def run(columns: list[list]) -> list[list]:
+        if not made:
+            made.append(Finder(terms.value))
         out = []
         for text in columns[1]:
             if text:
                 parts, end = [], 0
-                for kind, a, b in finder.items(text):
+                for kind, a, b in made[0].items(text):
                     parts += [text[end:a], f"[{kind.upper()}]"]
                     end = b
                 text = "".join([*parts, text[end:]])

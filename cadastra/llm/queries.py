@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,25 +64,25 @@ def p7_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.common_clauses(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-def _finder(spark: SparkSession, sf_dir: str) -> personal.Finder:
+def _terms(spark: SparkSession, sf_dir: str) -> Broadcast:
     documents = table(spark, sf_dir, "documents").select("text")
     notes = table(spark, sf_dir, "sample_rendition_summary").select(F.col("appraiser_notes").alias("text"))
-    return personal.Finder(*personal.disclosure(documents.unionByName(notes)))
+    return spark.sparkContext.broadcast(personal.disclosure(documents.unionByName(notes)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every personal item of the documents and of the appraisers' notes."""
-    finder = _finder(spark, sf_dir)
-    documents = personal.find_items(table(spark, sf_dir, "documents"), "documents", "doc_id", "text", finder)
-    notes = personal.find_items(table(spark, sf_dir, "sample_rendition_summary"), "sample_rendition_summary", "summary_id", "appraiser_notes", finder)
+    terms = _terms(spark, sf_dir)
+    documents = personal.find_items(table(spark, sf_dir, "documents"), "documents", "doc_id", "text", terms)
+    notes = personal.find_items(table(spark, sf_dir, "sample_rendition_summary"), "sample_rendition_summary", "summary_id", "appraiser_notes", terms)
     return documents.unionByName(notes)
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents and notes with typed placeholders in place of their personal items."""
-    finder = _finder(spark, sf_dir)
-    documents = personal.redact(table(spark, sf_dir, "documents"), "doc_id", "text", finder)
-    notes = personal.redact(table(spark, sf_dir, "sample_rendition_summary"), "summary_id", "appraiser_notes", finder)
+    terms = _terms(spark, sf_dir)
+    documents = personal.redact(table(spark, sf_dir, "documents"), "doc_id", "text", terms)
+    notes = personal.redact(table(spark, sf_dir, "sample_rendition_summary"), "summary_id", "appraiser_notes", terms)
     return documents.withColumn("source_table", F.lit("documents")).unionByName(notes.withColumn("source_table", F.lit("sample_rendition_summary")))
 
 
