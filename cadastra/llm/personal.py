@@ -119,6 +119,7 @@ _CAPITALS = re.compile(r"\b[A-Z]{3,}[,;]? $")
 _TITLED = re.compile(rf"{TITLE}\s+")
 _FIRM = re.compile(r"\b(?:LLC|PLLC|Inc|INC|Corp|CORP|Ltd|LTD|LP|Company|COMPANY|Co|Services|Group|Partners|Associates|Traders|Guild|Depot|Stores|Works|Annex|Building|Hall)\b|&")
 _WORD = re.compile(r"[A-Z][A-Za-z0-9']+")
+_INITIAL_BEFORE = re.compile(r"(?<![A-Za-z])[A-Za-z]\.? $")
 _SIX_WORDS = re.compile(r"(?:[^\S\n]*[^\s]+){0,6}[^\S\n]?")
 
 
@@ -194,7 +195,7 @@ def disclosure(texts: DataFrame) -> Terms:
         around = flat_map(seen.select("first", "left", "right", "n"), beside, "side STRING, words STRING, given STRING, n BIGINT")
         met = around.groupBy("side", "words").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("given").isNotNull(), F.col("n")).otherwise(0)).alias("led"), F.count_distinct("given").alias("names"))
         cues = _most(met.where((F.col("n") >= CUE_COUNT) & (F.col("names") >= CUE_NAMES) & (F.col("led") >= F.col("n") * CUE_SHARE)), "side", "words")
-        left, right = (frozenset(r["words"] for r in cues if r["side"] == side) for side in ("left", "right"))
+        left, right = (_needed({r["words"] for r in cues if r["side"] == side}, side == "left") for side in ("left", "right"))
         cued = context.broadcast((left, right))
 
         def again(columns: list[list], cued=cued) -> list[list]:
@@ -210,6 +211,11 @@ def disclosure(texts: DataFrame) -> Terms:
     return Terms(given, frozenset(r["last"] for r in ordinary), frozenset(towns), left, right)
 
 
+def _needed(cues: set[str], left: bool) -> frozenset[str]:
+    """The cues without those of two words of which the one beside the person is a cue by itself."""
+    return frozenset(c for c in cues if " " not in c or (c.rsplit(" ", 1)[1] if left else c.split(" ", 1)[0]) not in cues)
+
+
 def _most(df: DataFrame, *names: str) -> list:
     """The rows of at least MIN_COUNT, at most MOST_TERMS, the best supported first."""
     return df.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), *names).limit(MOST_TERMS).collect()
@@ -429,6 +435,9 @@ class Finder:
                 self._cued(text, label.end() - 1, spans)
             at = text.find("\nO", at + 1)
         for end in dict.fromkeys(ends):
+            last = _words_back(text, end, 1)
+            if text[last : last + 1].islower() and text[_words_back(text, last, 1) : last].strip().lower() not in self.given and not _INITIAL_BEFORE.search(text, max(0, last - 3), last):
+                continue
             start = _words_back(text, end, 4)
             tail = text[start:end]
             low = _LOW_TAIL.search(tail)
@@ -447,6 +456,10 @@ class Finder:
         titled = _TITLED.match(text, start)
         if titled:
             start = titled.end()
+        if start < len(text) and not text[start].isupper():
+            two = text[start : start + 80].lower().split(None, 2)[:2]
+            if not any(w.strip(",.;:") in self.given for w in two):
+                return  # a name in lower case shows its given name
         if any(x <= start < y for x, y in spans):
             return
         line = _SIX_WORDS.match(text, start).group()
