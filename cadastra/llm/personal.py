@@ -43,7 +43,7 @@ DISCLOSURE, FIRST_DISCLOSURE = 0.47, -0.51
 FLOOR = 0.02
 OFTEN = 12
 #: A context is a cue if so many phrases stand beside it, led by so many different given names, which lead this share of them.
-CUE_COUNT, CUE_NAMES, CUE_SHARE = 8, 3, 0.6
+CUE_COUNT, CUE_NAMES, CUE_SHARE = 8, 8, 0.6
 ROUNDS = 2
 MOST_TERMS = 200_000
 
@@ -53,6 +53,7 @@ TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|MR|MRS|MS|DR|mr|mrs|ms|dr)\.?"
 #: Usual words before a person in letters, from which cues are learnt (fixed values).
 SEEDS = ("Dear", "Attn:", "Sincerely,", "Regards,", "Signed", "Owner:", "Contact:", "contact:", "Prepared by", "prepared by", "spoke with")
 _CUED = re.compile(rf"(?:\b{TITLE}|(?:{'|'.join(re.escape(c) for c in SEEDS)})(?:\s+{TITLE})?)\s+$")
+_LEFT_CUE, _RIGHT_CUE = re.compile(r"(?:[^\W\d]\S* )?[^\W\d][^\W\d]*(?:/|[:,]?)"), re.compile(r"(?:[^\W\d]\S* |, )?[^\W\dA-Z][^\W\d]*:?")
 _TITLE_END = re.compile(rf"(?<![A-Za-z]){TITLE}\s+$")
 _PHRASE = re.compile(r"(?!(?:Dear|Mr|Mrs|Ms|Dr|Attn|Our|The|To|Present|Owner)\b)[A-Z][A-Za-z]+[ \n]+(?:[A-Z]\.?[ \n]+)?[A-Z][A-Za-z]+(?:-[A-Za-z]+)?")
 
@@ -158,9 +159,9 @@ def phrases(text: str) -> tuple[Counter, Counter]:
 
 
 def _contexts(left: str, right: str) -> list[tuple[str, str]]:
-    """The contexts of a phrase: one and two words on each side."""
+    """The contexts of a phrase: one and two words on each side, without numbers, ends of sentences and bare marks."""
     out = [("left", left), ("left", left.rsplit(" ", 1)[-1]), ("right", right), ("right", right.split(" ", 1)[0])]
-    return list(dict.fromkeys((side, words) for side, words in out if len(words) > 1 and any(c.isalpha() for c in words) and (side == "left" or words.rsplit(" ", 1)[-1][:1].islower())))
+    return list(dict.fromkeys((side, words) for side, words in out if len(words) > 1 and (_LEFT_CUE if side == "left" else _RIGHT_CUE).fullmatch(words)))
 
 
 def disclosure(texts: DataFrame) -> Terms:
