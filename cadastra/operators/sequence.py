@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.functions import text as texts
+
 
 def carry_forward(df: DataFrame, key: str, order: list[str], kind: str, fillable: Column, carried: str, name: str) -> DataFrame:
     """``df`` with ``name``: fillable rows after a ``carried`` row take its kind, along whole runs of fillable rows."""
@@ -19,16 +21,27 @@ def headings(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     return df.select(key, found).select(key, (F.col("at") + 1).cast("bigint").alias("pos"), "heading")
 
 
-def sections(df: DataFrame, key: str, text: str, heading: str = r"SCHEDULE\s+([A-F])\b") -> DataFrame:
-    """(key, pos, letter, body): the text between one heading and the next; what precedes the first is no section."""
-    parts = F.split(F.col(text), rf"(?=\b{heading})")
-    return (
-        df.select(key, F.posexplode(parts).alias("pos", "body"))
-        .withColumn("letter", F.regexp_extract("body", rf"^{heading}", 1))
-        .where("letter <> ''")
-        .withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("pos")).cast("bigint"))
-        .select(key, "pos", "letter", F.regexp_replace("body", rf"^{heading}\s*|\s+$", "").alias("body"))
-    )
+HEADING = r"(?i)\bSCHEDULE\s+([A-F])\b"
+
+
+def parts_of(text: Column, heading: str = HEADING, last_only: bool = False) -> Column:
+    """(pos, letter, body) of the sections of a text as an array, positions from 1; ``body`` begins after its heading.
+
+    What precedes the first heading is no section. With ``last_only`` a letter that comes again takes the place of its former
+    section. One expression within the row: the text is split before each heading.
+    """
+    flags, plain = ("(?i)", heading[4:]) if heading.startswith("(?i)") else ("", heading)
+    read = F.transform(F.split(text, rf"{flags}(?={plain})"), lambda part: F.struct(F.upper(F.regexp_extract(part, rf"{flags}^{plain}", 1)).alias("letter"), F.regexp_replace(part, rf"{flags}^{plain}\s*|\s+$", "").alias("body")))
+    found = F.filter(read, lambda p: p["letter"] != "")
+    placed = F.transform(found, lambda p, i: F.struct((i + 1).cast("bigint").alias("pos"), p["letter"].alias("letter"), p["body"].alias("body")))
+    if not last_only:
+        return placed
+    return texts.let(placed, lambda ps: F.filter(ps, lambda p: ~F.exists(F.slice(ps, p["pos"].cast("int") + 1, F.size(ps)), lambda later: later["letter"] == p["letter"])))
+
+
+def sections(df: DataFrame, key: str, text: str, heading: str = HEADING, last_only: bool = False) -> DataFrame:
+    """(key, pos, letter, body): the text between one heading and the next, as ``parts_of`` reads it; a narrow map."""
+    return df.select(key, F.explode(parts_of(F.col(text), heading, last_only)).alias("s")).select(key, "s.*")
 
 
 def gap_segments(df: DataFrame, key: str, order: list[str], at: Column, gap: float, name: str) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.functions import text
-from cadastra.operators import change, keep, layout, match, reconcile, scoring, sequence
+from cadastra.operators import change, keep, labels, layout, match, pages, reconcile, rows, scoring, sequence
 from cadastra.session import table
 
 #: A small table of factors by life and year, and keywords in their order (fixed values).
 FACTORS = [(5, 1996, 0.15), (5, 1997, 0.2), (5, 1998, 0.45), (5, 1999, 0.75), (8, 1995, 0.05), (8, 1996, 0.1), (8, 1997, 0.2), (8, 1999, 0.6), (9, 1997, 0.1), (9, 1998, 0.5), (9, 2000, 0.9)]
 KEYWORDS = [("ring", 5), ("small", 9), ("widget", 8), ("bolt", 6), ("large", 4)]
 ANCHORS = [("upper left", 5.0, 10.0), ("upper middle", 25.0, 10.0), ("upper right", 45.0, 10.0), ("lower left", 5.0, 80.0), ("lower middle", 25.0, 80.0), ("lower right", 45.0, 80.0)]
-WORKSHEET = [0.75, 0.60, 0.45, 0.35, 0.25, 0.20, 0.10, 0.05]
+WORKSHEET = [0.8, 0.65, 0.5, 0.3, 0.1]
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def money_parse(spark, d):
-    """Amounts read back from texts written in several ways."""
+    """Amounts read back from texts written in several ways: signs, brackets, misread zeros, split and stray digits, other separators."""
     items = _t(spark, d, "lineitem").withColumn("shown", F.format_number("l_extendedprice", 2))
-    n = F.col("l_linenumber") % 4
+    n = F.col("l_linenumber") % 7
+    split = F.regexp_replace("shown", r"^1(?=\d{2},)", "1 ")
     written = (
-        F.when(n == 0, F.concat(F.lit("$ "), "shown")).when(n == 1, F.translate("shown", "0", "O")).when(n == 2, F.concat(F.lit("("), "shown", F.lit(")"))).otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
-    )
+        F.when(n == 0, F.concat(F.lit("$ "), "shown")).when(n == 1, F.translate("shown", "0", "O")).when(n == 2, F.concat(F.lit("("), "shown", F.lit(")")))
+        .when((n == 3) & F.col("shown").rlike(r"^\d{2,3},"), F.concat(F.lit("6 "), "shown")).when(n == 4, split).when(n == 5, F.regexp_replace(F.translate("shown", ",", ""), r"\.", ",")).otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    )
     return items.select("l_orderkey", "l_linenumber", "l_partkey", F.round(text.money(written), 2).alias("amount"))
 
 
@@ -41,15 +43,106 @@ def years_in_text(spark, d):
 
 
 def evidence_snippets(spark, d):
-    docs = _t(spark, d, "documents").withColumn("place", F.locate("TOTAL", F.col("text")))
-    return docs.where("place > 0").select("doc_id", F.col("place").cast("bigint").alias("place"), text.snippet(F.col("text"), F.col("place")).alias("snippet"))
+    """Every TOTAL in the documents with its place and the text around it."""
+    docs = _t(spark, d, "documents").select("doc_id", "text", F.explode(text.spans(F.col("text"), "TOTAL")).alias("s"))
+    return docs.select("doc_id", F.col("s.start").cast("bigint").alias("place"), text.evidence(F.col("text"), F.col("s.start"), F.col("s.end")).alias("snippet"))
+
+
+def year_places(spark, d):
+    """Every year in the documents with the place it stands at."""
+    docs = _t(spark, d, "documents").select("doc_id", F.explode(text.year_spans(F.col("text"))).alias("s"))
+    return docs.select("doc_id", F.col("s.start").cast("bigint").alias("place"), F.col("s.value").cast("bigint").alias("year"))
+
+
+def money_places(spark, d):
+    """Every plausible amount in the documents with the place it stands at."""
+    docs = _t(spark, d, "documents").select("doc_id", F.explode(text.money_spans(F.col("text"))).alias("s"))
+    return docs.select("doc_id", F.col("s.start").cast("bigint").alias("place"), F.col("s.raw").alias("raw"), F.col("s.value").alias("amount"))
+
+
+#: Labels of the fields that are looked for beside amounts and years, with their base confidence.
+LABELS = {"cost": (["historical cost", "original cost", "total cost"], 0.7), "value": (["good faith", "market value"], 0.72), "total": (["grand total", "total"], 0.6)}
+YEAR_LABELS = {"acquired": (["year acquired", "acquired"], 0.68), "tax_year": (["tax year", "rendition"], 0.6)}
+
+
+def label_candidates(spark, d):
+    """The best amount or year beside the labels of each field in each document."""
+    return labels.candidates(_t(spark, d, "documents"), ["doc_id"], "text", LABELS, YEAR_LABELS)
 
 
 def candidate_lines(spark, d):
-    docs = _t(spark, d, "documents").where("doc_kind IN ('form_page', 'asset_list')")
+    docs = _t(spark, d, "documents")
     return docs.select("doc_id", F.size(text.candidate_lines(F.coalesce("text", F.lit("")))).cast("bigint").alias("candidate_lines"))
 
 
+def document_metadata(spark, d):
+    """Tax year, owner, account and date from the head of each document."""
+    return pages.metadata(_pages(spark, d), ["doc_id"], "page_number", "text")
+
+
+def _pages(spark, d):
+    """Each document as a page of its own file."""
+    return _t(spark, d, "documents").withColumn("page_number", F.lit(1))
+
+
+def document_quality(spark, d):
+    """How much of a whole declaration each document shows."""
+    q = _t(spark, d, "documents").select("doc_id", pages.quality(F.col("text"), F.lit(1)).alias("q"))
+    return q.select("doc_id", "q.score", "q.usable", F.array_join("q.missing_schedules", ",").alias("missing_schedules"), F.array_join("q.missing_columns", ",").alias("missing_columns"), "q.columns_unreadable")
+
+
+def reading_need(spark, d):
+    """Why documents should be read by recognition."""
+    return pages.needs_reading(_pages(spark, d), ["doc_id"], "page_number", "text").select("doc_id", "characters", "digits", "terms", "reason")
+
+
+def page_flags(spark, d):
+    """What is wrong with the pages of each district."""
+    docs = _t(spark, d, "documents").where("district_id IS NOT NULL").withColumn("error", F.when(F.col("text") == "", F.concat(F.lit("empty "), "doc_kind"))).withColumn("gone", F.col("text").isNull())
+    return pages.flags(docs, ["district_id"], "text", "error", "gone").withColumn("errors", F.array_join("errors", "|"))
+
+
+def provider_summary(spark, d):
+    """Pages and characters that each source gave for each district."""
+    docs = _t(spark, d, "documents").where("district_id IS NOT NULL AND source IS NOT NULL")
+    return pages.by_provider(docs, ["district_id"], "source", "doc_id", "text", "doc_kind")
+
+
+def merged_readings(spark, d):
+    """The longer text of two sources for each district and tax year."""
+    docs = _t(spark, d, "documents").where("district_id IS NOT NULL AND tax_year IS NOT NULL").withColumn("words", F.array().cast(layout.WORDS)).withColumn("error", F.when(F.col("text") == "", "empty"))
+    merged = pages.merge_readings(docs.where("source = 'scan_batch'"), docs.where("source = 'mail_room'"), ["district_id", "tax_year"], ("scan_batch", "mail_room"))
+    return merged.select("district_id", F.col("tax_year").cast("bigint").alias("tax_year"), F.length("text").cast("bigint").alias("characters"), F.md5("text").alias("text_md5"), "preferred", F.array_join("sources", "|").alias("sources"))
+
+
+def section_rows(spark, d):
+    """Line items in the text of the schedules' sections."""
+    found = rows.schedule_rows(_t(spark, d, "documents"), ["doc_id"], "text")
+    return found.drop("money_tokens", "year_tokens")
+
+
+def section_totals(spark, d):
+    """Totals of the documents with a Schedule E, and of attachments."""
+    docs = _t(spark, d, "documents").select("doc_id", rows.section_total(F.col("text")).alias("s"), rows.attachment_summary(F.col("text")).alias("a"))
+    return docs.select("doc_id", F.col("s.present").alias("section"), F.col("s.total").alias("section_total"), F.col("a.present").alias("summary"), F.size("a.amounts").cast("bigint").alias("amounts"), F.col("a.total").alias("summary_total"))
+
+
+def repaired_text(spark, d):
+    """Documents with their usual misreadings mended, in either case."""
+    docs = _t(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.md5(text.mended_lower(F.col("text"))).alias("lower_md5"), F.md5(text.mended_upper(F.col("text"))).alias("upper_md5"))
+
+
+def wrapped_notes(spark, d):
+    """The appraisers' notes in lines of 48 characters."""
+    notes = _t(spark, d, "sample_rendition_summary").where("appraiser_notes IS NOT NULL")
+    return notes.select("summary_id", F.posexplode(text.wrapped(F.col("appraiser_notes"))).alias("line", "body"))
+
+
+def file_stems(spark, d):
+    return _t(spark, d, "review_queue").select("queue_id", text.safe_stem(F.col("file_name")).alias("stem"), text.safe_account(F.col("account_number")).alias("account"))
+
+
 def district_slugs(spark, d):
     return _t(spark, d, "districts").select("id", text.district_slug(F.col("name")).alias("made_slug"), (text.district_slug(F.col("name")) == F.col("slug")).alias("as_stored"))
 
@@ -63,8 +156,11 @@ def status_counts(spark, d):
 
 
 def email_domains(spark, d):
-    mails = _t(spark, d, "districts").select("id", text.email_domain(F.concat(F.lit(" Clerk@"), F.coalesce("domain", F.lit("")), F.lit(" "))).alias("domain_read"))
-    return mails
+    """Email addresses in the documents by their domains, joined to the districts that own them."""
+    mails = _t(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+"), F.lit(0))).alias("mail"))
+    domains = mails.groupBy(text.email_domain(F.col("mail")).alias("domain_read")).agg(F.count("*").alias("mails"))
+    districts = _t(spark, d, "districts").where("domain IS NOT NULL").groupBy(F.lower("domain").alias("domain_read")).agg(F.min("slug").alias("slug"))
+    return domains.join(districts, "domain_read", "full_outer").select("domain_read", F.coalesce("mails", F.lit(0)).alias("mails"), "slug")
 
 
 def queue_latest(spark, d):
@@ -116,7 +212,7 @@ def keyword_class(spark, d):
 
 def priority_match(spark, d):
     """Each order's segment by customer, else by supplier of the same number, else by nation."""
-    customers = _t(spark, d, "customer").where("c_custkey % 3 = 0").select("c_custkey", F.lit(None).cast("bigint").alias("k2"), F.col("c_mktsegment").alias("found"))
+    customers = _t(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", F.lit(None).cast("bigint").alias("k2"), F.col("c_mktsegment").alias("found"))
     suppliers = _t(spark, d, "supplier").select(F.lit(None).cast("bigint").alias("c_custkey"), F.col("s_suppkey").alias("k2"), F.col("s_name").alias("found"))
     orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
     joined = match.by_priority(orders, customers.unionByName(suppliers), [(F.col("o_custkey"), "c_custkey"), (F.col("o_custkey"), "k2")], "found")
@@ -137,8 +233,8 @@ def nearest_region(spark, d):
 
 
 def full_outer_merge(spark, d):
-    left = _t(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("shown"))
-    right = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat("s_name", F.when(F.col("s_suppkey") % 3 == 0, F.lit("-long")).otherwise("")).alias("shown"))
+    left = _t(spark, d, "customer").select((F.col("c_custkey") * 2).alias("k"), F.col("c_name").alias("shown"))
+    right = _t(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("k"), F.concat("s_name", F.when(F.col("s_acctbal") > 0, F.lit(" in credit")).otherwise("")).alias("shown"))
     return match.longer_of(left, right, "k", "shown")
 
 
@@ -151,9 +247,10 @@ def provider_reconcile(spark, d):
 
 
 def provider_priority(spark, d):
-    docs = _t(spark, d, "documents").select("district_id", "source", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.substring("text", 1, 1)).alias("mark")).where("district_id IS NOT NULL")
-    best = reconcile.first_with_text(docs, ["district_id"], "source", {"scan_batch": 0, "mail_room": 1, "district_site": 2}, "mark")
-    return best
+    """Of each district and tax year the text of the best ranked source that has any."""
+    docs = _t(spark, d, "documents").where("district_id IS NOT NULL AND tax_year IS NOT NULL").select("district_id", "tax_year", "source", "text")
+    best = reconcile.first_with_text(docs, ["district_id", "tax_year"], "source", {"scan_batch": 0, "mail_room": 1, "district_site": 2}, "text")
+    return best.select("district_id", F.col("tax_year").cast("bigint").alias("tax_year"), "source", F.md5("text").alias("text_md5"))
 
 
 def union_of_candidates(spark, d):
@@ -180,7 +277,12 @@ def schedule_headings(spark, d):
 
 def schedule_sections(spark, d):
     cut = sequence.sections(_t(spark, d, "documents"), "doc_id", "text")
-    return cut.select("doc_id", "pos", "letter", F.size(F.split("body", "\n")).cast("bigint").alias("lines"))
+    return cut.select("doc_id", "pos", "letter", F.size(F.split("body", "\n")).cast("bigint").alias("lines"), F.md5("body").alias("body_md5"))
+
+
+def last_sections(spark, d):
+    """The last section of each letter."""
+    return sequence.sections(_t(spark, d, "documents"), "doc_id", "text", last_only=True).select("doc_id", "letter", "pos")
 
 
 def gap_segments(spark, d):
@@ -228,12 +330,16 @@ def fill_districts(spark, d):
 
 
 def append_new_customers(spark, d):
-    old = _t(spark, d, "customer").where("c_custkey % 4 <> 1").select("c_custkey", "c_name")
-    return change.append_new(old, _t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
+    """Customers with a balance, and of the suppliers with numbers above theirs those that are new."""
+    old = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("who"))
+    new = _t(spark, d, "supplier").select((F.col("s_suppkey") * 5).alias("k"), F.col("s_name").alias("who"))
+    return change.append_new(old, new, "k")
 
 
 def without_orders(spark, d):
-    return change.delete_where_in(_t(spark, d, "customer").select("c_custkey", "c_name"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without an urgent order."""
+    urgent = _t(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return change.delete_where_in(_t(spark, d, "customer").select("c_custkey", "c_name"), urgent, "c_custkey")
 
 
 def with_orders(spark, d):
@@ -268,7 +374,7 @@ def district_profile(spark, d):
 
 def order_revenue(spark, d):
     """Revenue by nation: filters and columns pushed into the scans, small tables broadcast by their size."""
-    items = _t(spark, d, "lineitem").where("l_shipdate >= TIMESTAMP '1998-01-01'").select("l_orderkey", "l_extendedprice", "l_discount")
+    items = _t(spark, d, "lineitem").where("l_discount > 0.02").select("l_orderkey", "l_extendedprice", "l_discount")
     orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
     customers = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
     nations = _t(spark, d, "nation")
@@ -276,10 +382,29 @@ def order_revenue(spark, d):
     return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
+def _word_pages(spark, d):
+    """Word boxes laid out from the documents' lines."""
+    return layout.words_of_lines(_t(spark, d, "documents"), "doc_id", "text")
+
+
 def year_amount_pairs(spark, d):
-    """Years and amounts that stand side by side on form pages, from laid-out word boxes."""
-    pages = layout.words_of_lines(_t(spark, d, "documents").where("doc_kind = 'form_page'"), "doc_id", "text")
-    return layout.page_pairs(pages, "doc_id", "words")
+    """Years and amounts that stand side by side, from laid-out word boxes."""
+    return layout.page_pairs(_word_pages(spark, d), "doc_id", "words")
+
+
+def subsection_rows(spark, d):
+    """Rows of the subsections by their places on the page."""
+    return layout.page_subsection_rows(_word_pages(spark, d), "doc_id", "words")
+
+
+def subsection_totals(spark, d):
+    """Totals of the subsections by their places on the page."""
+    return layout.page_subsection_totals(_word_pages(spark, d), "doc_id", "words")
+
+
+def subsection_headings(spark, d):
+    """Places of the subsections' headings."""
+    return layout.page_headings(_word_pages(spark, d), "doc_id", "words")
 
 
 def windowed_events(spark, d):
@@ -293,7 +418,8 @@ _NAMES = (
     money_parse, amounts_in_text, years_in_text, evidence_snippets, candidate_lines, district_slugs, tax_years, status_counts, email_domains, queue_latest, newest_event, top_orders, conflict_flag, dedupe_items, schedule_totals,
     floor_factors, keyword_class, priority_match, label_band, nearest_region, full_outer_merge, provider_reconcile, provider_priority, union_of_candidates, flag_union, carry_forward, schedule_headings, schedule_sections, gap_segments,
     worksheet_rows, page_types, page_type_of, text_quality, best_candidate, upsert_customers, fill_districts, append_new_customers, without_orders, with_orders, rule_violations, duplicate_files, tenant_rank, event_properties,
-    district_profile, order_revenue, year_amount_pairs, windowed_events,
+    district_profile, order_revenue, year_amount_pairs, windowed_events, year_places, money_places, label_candidates, document_metadata, document_quality, reading_need, page_flags, provider_summary, merged_readings, section_rows,
+    section_totals, repaired_text, wrapped_notes, file_stems, last_sections, subsection_rows, subsection_totals, subsection_headings,
 )
 
 
@@ -305,12 +431,37 @@ def _scores(terms: dict[str, float]) -> str:
     return " + ".join(f"CASE WHEN contains(t, '{w}') THEN {v} ELSE 0 END" for w, v in terms.items())
 
 
+def _mended_sql(column: str, repairs: dict[str, str]) -> str:
+    for bad, good in repairs.items():
+        column = f"replace({column}, '{bad}', '{good}')"
+    return column
+
+
+_SPACE = r"[\s\x00\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_COLLAPSED = rf"trim(regexp_replace(text, '{_SPACE}+', ' ', 'g'))"
+
+
 def _page_sql() -> str:
     kinds = list(scoring.PAGE_TERMS)
-    columns = ", ".join(f"round({_scores(scoring.PAGE_TERMS[k])}, 4) AS {k}" for k in kinds)
+    pairs = " + ".join(f"CASE WHEN contains(t, '{a}') AND contains(t, '{b}') THEN {w} ELSE 0 END" for (a, b), w in scoring.SCHEDULE_PAIRS.items())
+    table = f"CASE WHEN n > {scoring.LONG} THEN {scoring.LONG_ADDS} ELSE 0 END + CASE WHEN marks / greatest(n, 1) > {scoring.MARKS_SHARE} THEN {scoring.MARKS_ADD} ELSE 0 END + CASE WHEN digits / greatest(n, 1) > {scoring.DIGITS_SHARE} THEN {scoring.DIGITS_ADD} ELSE 0 END + CASE WHEN letters > {scoring.MANY_LETTERS} AND marks > {scoring.MANY_MARKS} THEN {scoring.MANY_ADD} ELSE 0 END"
+    columns = ", ".join(f"round(CAST({_scores(scoring.PAGE_TERMS[k])}{f' + ({pairs}) + ({table})' if k == 'schedule' else ''} AS DOUBLE), 3) AS {k}" for k in kinds)
     best = f"greatest({', '.join(kinds)})"
     pick = " ".join(f"WHEN {k} = {best} THEN '{k}'" for k in kinds)
-    return f"SELECT doc_id, doc_kind, CAST({best} AS DOUBLE) AS score, CASE WHEN {best} < {scoring.LEAST_SCORE} THEN 'unknown' ELSE CASE {pick} END END AS page_type FROM (SELECT doc_id, doc_kind, {columns} FROM (SELECT *, lower(coalesce(text, '')) AS t FROM documents))"
+    count = lambda cls: f"(length(flat) - length(regexp_replace(flat, '{cls}', '', 'g')))"
+    read = f"SELECT doc_id, doc_kind, flat, {_mended_sql('lower(flat)', text.LOWER_REPAIRS)} AS t, length(flat) AS n, {count(chr(92) + 'p{L}')} AS letters, {count(chr(92) + 'p{Nd}')} AS digits, {count('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 's]')} AS marks FROM (SELECT doc_id, doc_kind, coalesce({_COLLAPSED}, '') AS flat FROM documents)"
+    return f"SELECT doc_id, doc_kind, CAST({best} AS DOUBLE) AS score, CASE WHEN {best} < {scoring.LEAST_SCORE} THEN 'unknown' ELSE CASE {pick} END END AS page_type FROM (SELECT doc_id, doc_kind, {columns} FROM ({read}))"
+
+
+def _places_sql(pattern: str, columns: str) -> str:
+    """Every match of a pattern with its place ``found_at`` from 0 and ``hit``: what stands before it, summed."""
+    found = f"SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM documents WHERE text IS NOT NULL"
+    numbered = f"SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({found})"
+    return f"SELECT {columns} FROM (SELECT doc_id, text, m[i] AS hit, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS found_at FROM ({numbered}))"
+
+
+def _first_of_sql(column: str, patterns: tuple[str, ...]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(trim(regexp_replace(regexp_extract({column}, '(?i){p.replace(chr(39), chr(39) * 2)}', 1), '{_SPACE}+', ' ', 'g')), '')" for p in patterns) + ")"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -326,12 +477,22 @@ def oracle_sql() -> dict[str, str]:
         "money_parse": "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 2) AS amount FROM lineitem",
         "amounts_in_text": r"SELECT doc_id, count(*) AS amounts, round(max(CAST(regexp_replace(x, '[$,\s]', '', 'g') AS DOUBLE)), 2) AS largest FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\$\s?\d[\d,]*(?:\.\d\d)?')) AS x FROM documents) GROUP BY 1",
         "years_in_text": r"SELECT CAST(y AS BIGINT) AS year, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:19[5-9]\d|20[0-4]\d)\b')) AS y FROM documents) GROUP BY 1",
-        "evidence_snippets": "SELECT doc_id, CAST(place AS BIGINT) AS place, trim(substr(text, greatest(place - 90, 1), place + 90 - greatest(place - 90, 1))) AS snippet FROM (SELECT doc_id, text, strpos(text, 'TOTAL') AS place FROM documents) WHERE place > 0",
-        "candidate_lines": r"SELECT doc_id, count(*) FILTER (length(x) >= 4 AND NOT regexp_matches(upper(x), '^(SCHEDULE |TOTAL)')) AS candidate_lines FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(coalesce(text, ''), '\r?\n')), '\s+', ' ', 'g')) AS x FROM documents WHERE doc_kind IN ('form_page', 'asset_list')) GROUP BY 1",
+        "evidence_snippets": _places_sql("TOTAL", f"doc_id, found_at AS place, trim(regexp_replace(substr(text, greatest(found_at - 90, 0) + 1, found_at + 95 - greatest(found_at - 90, 0)), '{_SPACE}+', ' ', 'g')) AS snippet"),
+        "year_places": _places_sql(text.YEAR_IN_TEXT, "doc_id, found_at AS place, CAST(hit AS BIGINT) AS year"),
+        "candidate_lines": f"SELECT doc_id, count(*) FILTER (length(x) >= 4 AND NOT regexp_matches(upper(x), '^SCHEDULE |TOTAL|{'|'.join(text.HEAD_WORDS)}')) AS candidate_lines FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')), '{_SPACE}+', ' ', 'g')) AS x FROM documents) GROUP BY 1",
+        "document_metadata": f"SELECT doc_id, {_first_of_sql('t', pages.TAX_YEAR)} AS tax_year, {_first_of_sql('t', pages.OWNER)} AS owner_name, regexp_replace(upper({_first_of_sql('t', pages.ACCOUNT)}), '[^A-Z0-9]', '', 'g') AS account_number, {_first_of_sql('t', pages.SIGNED)} AS signed_date FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+        "document_quality": f"WITH x AS (SELECT doc_id, lower(coalesce({_COLLAPSED}, '')) AS t FROM documents), y AS (SELECT doc_id, t, length(t) AS n, length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) AS letters, list_filter({list(pages.SCHEDULES)}, lambda s: NOT contains(t, 'schedule ' || lower(s))) AS ms, list_filter({list(pages.COLUMNS)}, lambda s: NOT contains(t, s)) AS mc FROM x), z AS (SELECT *, round(CAST(0.35 * least(1.0, n / 700.0) + 0.35 * ((5 - len(ms)) / 5) + 0.2 * ((6 - len(mc)) / 6) + 0.1 * CASE WHEN n > 0 THEN letters / n ELSE 0 END AS DOUBLE), 3) AS score FROM y) SELECT doc_id, score, n > 0 AND score >= 0.55 AND 5 - len(ms) >= 2 AS usable, array_to_string(ms, ',') AS missing_schedules, array_to_string(mc, ',') AS missing_columns, (6 - len(mc)) / 6 < 0.34 AS columns_unreadable FROM z",
+        "page_flags": "SELECT district_id, coalesce(sum(length(text)), 0) < 50 AS low_text, bool_or(text IS NULL) AS unavailable, coalesce(string_agg(DISTINCT CASE WHEN text = '' THEN 'empty ' || doc_kind END, '|' ORDER BY CASE WHEN text = '' THEN 'empty ' || doc_kind END), '') AS errors FROM documents WHERE district_id IS NOT NULL GROUP BY 1",
+        "provider_summary": "SELECT district_id, source, count(*) AS pages, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters, arg_min(doc_kind, doc_id) FILTER (doc_kind IS NOT NULL) AS text_source FROM documents WHERE district_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2 HAVING bool_or(length(trim(text)) > 0)",
+        "merged_readings": "WITH x AS (SELECT * FROM documents WHERE district_id IS NOT NULL AND tax_year IS NOT NULL), l AS (SELECT district_id, tax_year, text FROM x WHERE source = 'scan_batch' AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY district_id, tax_year ORDER BY length(text) DESC, text DESC) = 1), r AS (SELECT district_id, tax_year, text FROM x WHERE source = 'mail_room' AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY district_id, tax_year ORDER BY length(text) DESC, text DESC) = 1), ln AS (SELECT DISTINCT district_id, tax_year FROM x WHERE source = 'scan_batch'), rn AS (SELECT DISTINCT district_id, tax_year FROM x WHERE source = 'mail_room'), b AS (SELECT district_id, tax_year, l.text AS lt, r.text AS rt, length(trim(coalesce(l.text, ''))) AS a, length(trim(coalesce(r.text, ''))) AS b, ln.tax_year IS NOT NULL AS has_l, rn.tax_year IS NOT NULL AS has_r FROM (ln FULL JOIN rn USING (district_id, tax_year)) LEFT JOIN l USING (district_id, tax_year) LEFT JOIN r USING (district_id, tax_year)) SELECT district_id, CAST(tax_year AS BIGINT) AS tax_year, length(t) AS characters, md5(t) AS text_md5, preferred, sources FROM (SELECT district_id, tax_year, CASE WHEN b > a THEN coalesce(nullif(rt, ''), lt, '') ELSE coalesce(nullif(lt, ''), rt, '') END AS t, CASE WHEN b > a THEN 'mail_room' WHEN lt IS NOT NULL OR rt IS NULL THEN 'scan_batch' ELSE 'scan_batch' END AS preferred, concat_ws('|', CASE WHEN a > 0 THEN 'scan_batch' END, CASE WHEN b > 0 THEN 'mail_room' END) AS sources FROM b)",
+        "repaired_text": f"SELECT doc_id, md5({_mended_sql(f'lower({_COLLAPSED})', text.LOWER_REPAIRS)}) AS lower_md5, md5(regexp_replace({_mended_sql('upper(text)', text.UPPER_REPAIRS)}, '[ \\t\\x0b\\x0c\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS upper_md5 FROM documents WHERE text IS NOT NULL",
+        "file_stems": r"SELECT queue_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(coalesce(file_name, ''), '/+$', ''), '([^/]*)$', 1), '(.)\.[^.]*$', '\1'), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'rendition') AS stem, upper(regexp_replace(coalesce(account_number, ''), '[^A-Za-z0-9]', '', 'g')) AS account FROM review_queue",
+        "schedule_sections": r"SELECT doc_id, CAST(i AS BIGINT) AS pos, upper(h[i]) AS letter, CAST(len(string_split(b, chr(10))) AS BIGINT) AS lines, md5(b) AS body_md5 FROM (SELECT doc_id, h, i, regexp_replace(g[i + 1], '^\s*|\s+$', '', 'g') AS b FROM (SELECT doc_id, h, g, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?i)\bSCHEDULE\s+([A-F])\b', 1) AS h, string_split_regex(text, '(?i)\bSCHEDULE\s+[A-F]\b') AS g FROM documents WHERE text IS NOT NULL)))",
+        "last_sections": r"SELECT doc_id, upper(h[i]) AS letter, CAST(max(i) AS BIGINT) AS pos FROM (SELECT doc_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?i)\bSCHEDULE\s+([A-F])\b', 1) AS h FROM documents WHERE text IS NOT NULL)) GROUP BY 1, 2",
         "district_slugs": f"SELECT id, {slug} AS made_slug, {slug} = slug AS as_stored FROM districts",
         "tax_years": r"SELECT CAST(coalesce(nullif(regexp_extract(tax_year, '(20\d\d)', 1), ''), '20' || nullif(regexp_extract(tax_year, '''(\d\d)', 1), '')) AS BIGINT) AS year, count(*) AS rows FROM review_queue GROUP BY 1",
         "status_counts": f"SELECT {key} AS status_key, count(*) AS rows, round(sum(recommended_value), 2) AS value FROM review_queue GROUP BY 1",
-        "email_domains": "SELECT id, lower(domain) AS domain_read FROM districts",
+        "email_domains": r"WITH m AS (SELECT lower(split_part(x, '@', 2)) AS domain_read, count(*) AS mails FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+')) AS x FROM documents) GROUP BY 1), d AS (SELECT lower(domain) AS domain_read, min(slug) AS slug FROM districts WHERE domain IS NOT NULL GROUP BY 1) SELECT domain_read, coalesce(mails, 0) AS mails, slug FROM m FULL JOIN d USING (domain_read)",
         "queue_latest": "SELECT district_id, file_name, queue_id, recommended_value FROM review_queue WHERE file_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY district_id, file_name ORDER BY queue_id DESC) = 1",
         "newest_event": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "top_orders": "SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
@@ -340,12 +501,12 @@ def oracle_sql() -> dict[str, str]:
         "schedule_totals": "SELECT l_suppkey, " + ", ".join(f"round(sum(CASE WHEN l_returnflag || l_linestatus = '{v}' THEN l_quantity ELSE 0 END), 2) AS {v.lower()}" for v in ("AF", "NO", "RF", "NF")) + " FROM lineitem GROUP BY 1",
         "floor_factors": f"WITH f(life, year, factor) AS (VALUES {factors}), o AS (SELECT o_orderkey, CAST([5, 8, 9][CAST(o_orderkey % 3 + 1 AS INT)] AS BIGINT) AS life, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders), m AS (SELECT life, min(year) AS y, arg_min(factor, year) AS old FROM f GROUP BY 1) SELECT o_orderkey, o.life, o.year, CAST(coalesce(f.factor, CASE WHEN o.year < m.y THEN m.old END) AS DOUBLE) AS factor FROM o LEFT JOIN f ON f.life = o.life AND f.year = o.year LEFT JOIN m ON m.life = o.life",
         "keyword_class": f"SELECT p_partkey, CAST(CASE {keywords} END AS BIGINT) AS life FROM part",
-        "priority_match": "SELECT o_orderkey, coalesce(c_mktsegment, s_name) AS found FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON o_custkey = c_custkey LEFT JOIN supplier ON o_custkey = s_suppkey",
+        "priority_match": "SELECT o_orderkey, coalesce(c_mktsegment, s_name) AS found FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey LEFT JOIN supplier ON o_custkey = s_suppkey",
         "label_band": "WITH i AS (SELECT l_orderkey, l_returnflag, l_linenumber || '-' || l_partkey AS id, CAST(l_linenumber * 40 + l_partkey % 40 AS BIGINT) AS place FROM lineitem), l AS (SELECT DISTINCT l_orderkey, id, place FROM i WHERE l_returnflag = 'R'), v AS (SELECT * FROM i WHERE l_returnflag <> 'R') SELECT l.l_orderkey, l.id AS label_id, v.id AS value_id, abs(v.place - l.place) AS gap FROM l JOIN v ON v.l_orderkey = l.l_orderkey AND v.place - l.place BETWEEN -40 AND 120 QUALIFY row_number() OVER (PARTITION BY l.l_orderkey, l.id ORDER BY abs(v.place - l.place), v.place, v.id) = 1",
         "nearest_region": f"WITH a(i, n, ax, ay) AS (VALUES {anchors}) SELECT p_partkey, n AS region, CAST(round(abs(p_partkey % 97 - ay) * 2.5 + abs(p_size - ax), 4) AS DOUBLE) AS cost FROM part, a QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_partkey % 97 - ay) * 2.5 + abs(p_size - ax), i) = 1",
-        "full_outer_merge": "WITH a AS (SELECT c_custkey AS k, c_name AS s FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT s_suppkey AS k, s_name || CASE WHEN s_suppkey % 3 = 0 THEN '-long' ELSE '' END AS s FROM supplier) SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.s IS NOT NULL AND (b.s IS NULL OR length(a.s) >= length(b.s)) THEN a.s ELSE b.s END AS shown, CASE WHEN a.s IS NOT NULL AND (b.s IS NULL OR length(a.s) >= length(b.s)) THEN 'left' ELSE 'right' END AS origin FROM a FULL JOIN b ON a.k = b.k",
+        "full_outer_merge": "WITH a AS (SELECT c_custkey * 2 AS k, c_name AS s FROM customer), b AS (SELECT s_suppkey * 3 AS k, s_name || CASE WHEN s_acctbal > 0 THEN ' in credit' ELSE '' END AS s FROM supplier) SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.s IS NOT NULL AND (b.s IS NULL OR length(a.s) >= length(b.s)) THEN a.s ELSE b.s END AS shown, CASE WHEN a.s IS NOT NULL AND (b.s IS NULL OR length(a.s) >= length(b.s)) THEN 'left' ELSE 'right' END AS origin FROM a FULL JOIN b ON a.k = b.k",
         "provider_reconcile": "WITH r AS (SELECT o_orderkey, unnest([o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 0.5 END, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 7 END]) AS v FROM orders) SELECT o_orderkey, count(v) AS readings, round(max(v) - min(v), 2) AS spread, CASE WHEN count(v) < 2 THEN 'single' WHEN max(v) - min(v) <= 1.0 THEN 'agree' ELSE 'disagree' END AS verdict, CASE WHEN count(v) >= 2 AND max(v) - min(v) <= 1.0 THEN round(avg(v), 2) END AS agreed FROM r GROUP BY 1",
-        "provider_priority": "WITH x AS (SELECT district_id, source, doc_id || ':' || substr(text, 1, 1) AS mark, CASE source WHEN 'scan_batch' THEN 0 WHEN 'mail_room' THEN 1 WHEN 'district_site' THEN 2 ELSE 3 END AS r FROM documents WHERE district_id IS NOT NULL) SELECT district_id, source, mark FROM x WHERE length(trim(mark)) > 0 QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY r, source, mark) = 1",
+        "provider_priority": "SELECT district_id, CAST(tax_year AS BIGINT) AS tax_year, source, md5(text) AS text_md5 FROM (SELECT *, CASE source WHEN 'scan_batch' THEN 0 WHEN 'mail_room' THEN 1 WHEN 'district_site' THEN 2 ELSE 3 END AS r FROM documents WHERE district_id IS NOT NULL AND tax_year IS NOT NULL AND length(trim(text)) > 0) QUALIFY row_number() OVER (PARTITION BY district_id, tax_year ORDER BY r, source, text) = 1",
         "union_of_candidates": "WITH x AS (SELECT CAST(s_nationkey AS BIGINT) AS nation, s_name AS who, 0 AS p FROM supplier UNION ALL SELECT c_nationkey, c_name, 1 FROM customer) SELECT nation, who FROM x QUALIFY row_number() OVER (PARTITION BY nation ORDER BY p, who) = 1",
         "flag_union": "WITH x AS (SELECT l_suppkey, 'deep_discount' AS f FROM lineitem WHERE l_discount > 0.08 UNION SELECT l_suppkey, 'tiny' FROM lineitem WHERE l_quantity < 3 UNION SELECT l_suppkey, 'untaxed' FROM lineitem WHERE l_tax = 0) SELECT l_suppkey, string_agg(f, '|' ORDER BY f) AS flags FROM x GROUP BY 1",
         "carry_forward": "SELECT event_id, CASE WHEN event_type = 'error' AND last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'purchase' THEN 'purchase' ELSE event_type END AS carried FROM events",
@@ -358,14 +519,14 @@ def oracle_sql() -> dict[str, str]:
         "best_candidate": "WITH x AS (SELECT o_custkey, o_orderkey, CAST(round(greatest(0, (o_orderkey % 7) / 10.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.2 ELSE 0 END - CASE WHEN o_orderstatus = 'F' THEN 0.1 ELSE 0 END), 4) AS DOUBLE) AS score FROM orders) SELECT o_custkey, o_orderkey, score FROM x QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) = 1",
         "upsert_customers": "WITH u AS (SELECT s_suppkey * 7 AS k, s_name AS who, s_acctbal AS balance FROM supplier) SELECT * FROM u UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM u)",
         "fill_districts": "SELECT queue_id, district_id AS id, coalesce(q.district_slug, d.slug) AS slug FROM review_queue q LEFT JOIN districts d ON d.id = q.district_id",
-        "append_new_customers": "SELECT c_custkey, c_name FROM customer",
-        "without_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "append_new_customers": "SELECT c_custkey AS k, c_name AS who FROM customer WHERE c_acctbal > 0 UNION ALL SELECT s_suppkey * 5, s_name FROM supplier WHERE s_suppkey * 5 NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+        "without_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000)",
         "with_orders": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
         "rule_violations": "SELECT rule, count(*) AS rows FROM (SELECT 'value_missing' AS rule FROM review_queue WHERE recommended_value IS NULL UNION ALL SELECT 'account_missing' FROM review_queue WHERE coalesce(trim(account_number), '') = '' UNION ALL SELECT 'owner_missing' FROM review_queue WHERE coalesce(trim(owner_name), '') = '') GROUP BY 1",
         "duplicate_files": "SELECT file_name, count(*) AS rows FROM review_queue WHERE file_name IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
         "tenant_rank": "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, c_custkey, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END NULLS LAST, c_custkey) AS r FROM customer) WHERE r <= 5",
         "event_properties": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS largest FROM events GROUP BY 1",
         "district_profile": "SELECT slug, count(*) AS rows, round(sum(recommended_value), 2) AS value FROM review_queue JOIN districts ON id = district_id GROUP BY slug",
-        "order_revenue": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1",
+        "order_revenue": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_discount > 0.02 GROUP BY 1",
         "windowed_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     }

@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 _ANCHOR = "textAnchor: STRUCT<textSegments: ARRAY<STRUCT<startIndex: STRING, endIndex: STRING>>>"
 _POLY = "boundingPoly: STRUCT<vertices: ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>, normalizedVertices: ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"
 _LAYOUT = f"layout: STRUCT<{_ANCHOR}, {_POLY}, confidence: DOUBLE>"
-DOCUMENT = f"STRUCT<text: STRING, pages: ARRAY<STRUCT<pageNumber: INT, dimension: STRUCT<width: DOUBLE, height: DOUBLE>, lines: ARRAY<STRUCT<{_LAYOUT}>>, tokens: ARRAY<STRUCT<{_LAYOUT}>>>>>"
+_CELLS = f"ARRAY<STRUCT<cells: ARRAY<STRUCT<{_LAYOUT}>>>>"
+_DOCUMENT = (
+    f"text: STRING, pages: ARRAY<STRUCT<pageNumber: INT, dimension: STRUCT<width: DOUBLE, height: DOUBLE>, imageQualityScores: STRUCT<qualityScore: DOUBLE>, lines: ARRAY<STRUCT<{_LAYOUT}>>, "
+    f"tokens: ARRAY<STRUCT<{_LAYOUT}, confidence: DOUBLE>>, tables: ARRAY<STRUCT<{_LAYOUT}, bodyRows: {_CELLS}>>, formFields: ARRAY<STRUCT<fieldName: STRUCT<{_ANCHOR}>, fieldValue: STRUCT<{_ANCHOR}>, valueType: STRING>>>>"
+)
+DOCUMENT = f"STRUCT<document: STRUCT<{_DOCUMENT}>, {_DOCUMENT}>"
 ANALYSIS = "STRUCT<analyzeResult: STRUCT<content: STRING, pages: ARRAY<STRUCT<pageNumber: INT, lines: ARRAY<STRUCT<content: STRING>>, words: ARRAY<STRUCT<content: STRING, polygon: ARRAY<DOUBLE>, confidence: DOUBLE>>>>>>"
 ANNOTATION = (
     "STRUCT<fullTextAnnotation: STRUCT<text: STRING, pages: ARRAY<STRUCT<blocks: ARRAY<STRUCT<paragraphs: ARRAY<STRUCT<words: ARRAY<STRUCT<"
@@ -41,21 +46,65 @@ def _corner(layout: Column, page: Column, axis: str, size: str) -> Column:
     return F.when(F.size(absolute) > 0, absolute).otherwise(relative)
 
 
-def document_pages(df: DataFrame, key: str) -> DataFrame:
-    """Pages with lines and tokens anchored in one text; a text without pages is one page."""
+def _documents(df: DataFrame, key: str) -> DataFrame:
+    """(key, whole, pages) of replies that are a document or wrap one in ``document``."""
     read = df.select(key, F.from_json("payload", DOCUMENT).alias("d"))
-    pages = read.select(key, F.col("d.text").alias("whole"), F.posexplode_outer("d.pages").alias("at", "p"))
+    return read.select(key, F.coalesce("d.document.text", "d.text").alias("whole"), F.coalesce("d.document.pages", "d.pages").alias("pages"))
+
+
+def _text(anchor: Column) -> Column:
+    return anchored(F.col("whole"), anchor["textSegments"])
+
+
+def document_pages(df: DataFrame, key: str) -> DataFrame:
+    """Pages with lines and tokens anchored in one text, a token's own confidence before its layout's; a text without pages is one page."""
+    pages = _documents(df, key).select(key, "whole", F.posexplode_outer("pages").alias("at", "p"))
 
     def word(t: Column) -> Column:
         layout = t["layout"]
-        return F.struct(_strip(anchored(F.col("whole"), layout["textAnchor"]["textSegments"])).alias("text"), *_box(_corner(layout, F.col("p"), "x", "width"), _corner(layout, F.col("p"), "y", "height")), layout["confidence"].alias("confidence"))
+        return F.struct(_strip(_text(layout["textAnchor"])).alias("text"), *_box(_corner(layout, F.col("p"), "x", "width"), _corner(layout, F.col("p"), "y", "height")), F.coalesce(t["confidence"], layout["confidence"]).alias("confidence"))
 
     words = F.filter(F.transform("p.tokens", word), lambda w: w["text"] != "")
-    lines = F.array_join(F.filter(F.transform("p.lines", lambda x: _strip(anchored(F.col("whole"), x["layout"]["textAnchor"]["textSegments"]))), lambda x: x != ""), "\n")
-    text = F.coalesce(F.nullif(lines, F.lit("")), F.nullif(F.array_join(F.transform("words", lambda w: w["text"]), " "), F.lit("")), F.when(F.col("p").isNull(), F.col("whole")), F.lit(""))
+    lines = F.array_join(F.filter(F.transform("p.lines", lambda x: _strip(_text(x["layout"]["textAnchor"]))), lambda x: x != ""), "\n")
+    text = F.coalesce(F.nullif(lines, F.lit("")), F.nullif(F.array_join(F.transform("words", lambda w: w["text"]), " "), F.lit("")), F.when(F.col("p").isNull(), _strip(F.col("whole"))), F.lit(""))
     return pages.withColumn("words", words).select(key, F.coalesce("p.pageNumber", F.col("at") + 1, F.lit(1)).alias("page_number"), text.alias("text"), "words")
 
 
+def document_tables(df: DataFrame, key: str) -> DataFrame:
+    """(key, page_number, table_number, row_number, cells, confidence) of the body rows of every table, numbers from 1."""
+    pages = _documents(df, key).select(key, "whole", F.posexplode("pages").alias("at", "p"))
+    tables = pages.select(key, "whole", F.coalesce("p.pageNumber", F.col("at") + 1).alias("page_number"), F.posexplode("p.tables").alias("t", "table"))
+    rows = tables.select(key, "whole", "page_number", (F.col("t") + 1).alias("table_number"), F.col("table.layout.confidence").alias("confidence"), F.posexplode("table.bodyRows").alias("r", "row"))
+    cells = F.transform("row.cells", lambda c: F.coalesce(_text(c["layout"]["textAnchor"]), F.lit("")))
+    return rows.select(key, "page_number", "table_number", (F.col("r") + 1).alias("row_number"), cells.alias("cells"), "confidence")
+
+
+def document_fields(df: DataFrame, key: str) -> DataFrame:
+    """(key, page_number, field_number, name, value, kind) of every form field, numbers from 1."""
+    pages = _documents(df, key).select(key, "whole", F.posexplode("pages").alias("at", "p"))
+    fields = pages.select(key, "whole", F.coalesce("p.pageNumber", F.col("at") + 1).alias("page_number"), F.posexplode("p.formFields").alias("n", "f"))
+    return fields.select(key, "page_number", (F.col("n") + 1).alias("field_number"), _text(F.col("f.fieldName.textAnchor")).alias("name"), _text(F.col("f.fieldValue.textAnchor")).alias("value"), F.col("f.valueType").alias("kind"))
+
+
+def document_layout(df: DataFrame, key: str) -> DataFrame:
+    """(key, page_number, width, height, quality) of every page."""
+    pages = _documents(df, key).select(key, F.posexplode("pages").alias("at", "p"))
+    return pages.select(key, F.coalesce("p.pageNumber", F.col("at") + 1).alias("page_number"), F.col("p.dimension.width").alias("width"), F.col("p.dimension.height").alias("height"), F.col("p.imageQualityScores.qualityScore").alias("quality"))
+
+
+def document_confidence(df: DataFrame, key: str) -> DataFrame:
+    """(key, confidence): the mean over the quality of the pages and the confidence of their tokens together, 0 without any."""
+
+    def of_page(p: Column) -> Column:
+        own = F.array(p["imageQualityScores"]["qualityScore"])
+        tokens = F.transform(p["tokens"], lambda t: F.coalesce(F.nullif(t["confidence"], F.lit(0.0)), t["layout"]["confidence"]))
+        return F.array_compact(F.concat(own, F.coalesce(tokens, F.array().cast("ARRAY<DOUBLE>"))))
+
+    every = F.flatten(F.transform(F.coalesce("pages", F.slice("pages", 1, 0)), of_page))
+    mean = F.aggregate("every", F.lit(0.0), lambda a, x: a + x) / F.size("every")
+    return _documents(df, key).withColumn("every", every).select(key, F.when(F.size("every") > 0, F.round(mean, 3)).otherwise(0.0).alias("confidence"))
+
+
 def analysis_pages(df: DataFrame, key: str) -> DataFrame:
     """Pages with lines and flat polygons; content without pages is one page, and neither gives none."""
     read = df.select(key, F.from_json("payload", ANALYSIS)["analyzeResult"].alias("r")).where("r.content IS NOT NULL OR size(r.pages) > 0")
@@ -100,3 +149,9 @@ def error_kind(error: Column, terminal: list[str], retryable: list[str]) -> Colu
     low = F.lower(F.coalesce(error, F.lit("")))
     any_of = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
     return F.when(any_of(terminal), "terminal").when(any_of(retryable), "retry").otherwise("other")
+
+
+def error_summary(error: Column, most: int = 240) -> Column:
+    """An error on one line, cut to ``most`` characters with an ellipsis."""
+    line = F.trim(F.regexp_replace(F.coalesce(error, F.lit("")), r"\s+", " "))
+    return F.when(F.length(line) > most, F.concat(F.rtrim(F.substring(line, 1, most - 1)), F.lit("…"))).otherwise(line)

@@ -1,11 +1,14 @@
 """Text recognition as a source: a provider turns files into pages, one Arrow batch at a time.
 
-Calls to vendors and PDF libraries live outside this repository; a provider is any function from (path, content)
-to a list of (page_number, text). Providers named in ``disabled`` are skipped for a whole batch, and an error becomes a row.
+Calls to vendors live outside this repository; a provider is any function from (path, content) to a list of
+(page_number, text). PDF libraries are used where they are installed. Providers named in ``disabled`` are skipped, an error
+becomes a row, errors that may pass are tried again, and after one that cannot pass (a refused key, a closed account) the
+provider is skipped for the rest of the task.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -15,6 +18,9 @@ from cadastra.session import flat_map
 
 Provider = Callable[[str, bytes], list[tuple[int, str]]]
 SCHEMA = "path STRING, provider STRING, page_number INT, text STRING, error STRING"
+# Words in the messages of errors that cannot pass, and of those that may.
+TERMINAL = ("permission", "unauthorized", "forbidden", "billing", "disabled", "invalid key", "api key")
+RETRYABLE = ("timeout", "timed out", "unavailable", "deadline", "rate limit", "too many requests", "connection")
 
 
 def plain_text(path: str, content: bytes) -> list[tuple[int, str]]:
@@ -22,22 +28,55 @@ def plain_text(path: str, content: bytes) -> list[tuple[int, str]]:
     return list(enumerate(content.decode("utf-8", "replace").split("\f"), 1))
 
 
-def read_pages(files: DataFrame, providers: dict[str, Provider], disabled: frozenset[str] = frozenset()) -> DataFrame:
+def pdf_text(path: str, content: bytes) -> list[tuple[int, str]]:
+    """Pages of a PDF by the first of the usual libraries that is installed and reads it; the last error if none does."""
+    error: Exception = ModuleNotFoundError("no PDF library is installed")
+    for read in (_by_pdfplumber, _by_fitz, _by_pypdf):
+        try:
+            return [(n, " ".join((text or "").split())) for n, text in enumerate(read(content), 1)]
+        except Exception as e:  # noqa: BLE001 - the next library may read it
+            error = e if not isinstance(e, ModuleNotFoundError) else error
+    raise error
+
+
+def _by_pdfplumber(content: bytes) -> list[str]:
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        return [page.extract_text() for page in pdf.pages]
+
+
+def _by_fitz(content: bytes) -> list[str]:
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as pdf:
+        return [page.get_text() for page in pdf]
+
+
+def _by_pypdf(content: bytes) -> list[str]:
+    import pypdf
+
+    return [page.extract_text() for page in pypdf.PdfReader(io.BytesIO(content)).pages]
+
+
+def read_pages(files: DataFrame, providers: dict[str, Provider], disabled: frozenset[str] = frozenset(), tries: int = 2) -> DataFrame:
     """Every provider's pages of every file (path, content)."""
+    off: set[str] = set(disabled)  # of one task, once it has begun
+
+    def attempt(name: str, path: str, content: bytes) -> list[tuple]:
+        for n in range(tries):
+            try:
+                return [(path, name, page, text, None) for page, text in providers[name](path, content)]
+            except Exception as e:  # noqa: BLE001 - an error of one file must not end the job
+                message = f"{type(e).__name__}: {e}"
+                if any(w in message.lower() for w in TERMINAL):
+                    off.add(name)
+                if name in off or n + 1 == tries or not any(w in message.lower() for w in RETRYABLE):
+                    return [(path, name, None, None, message)]
+        return []
 
     def run(columns: list[list]) -> list[list]:
-        out: list[list] = [[], [], [], [], []]
-        for path, content in zip(*columns, strict=True):
-            for name, provider in providers.items():
-                if name in disabled:
-                    continue
-                try:
-                    rows = [(path, name, n, text, None) for n, text in provider(path, bytes(content))]
-                except Exception as e:  # noqa: BLE001 - an error of one file must not end the job
-                    rows = [(path, name, None, None, f"{type(e).__name__}: {e}")]
-                for row in rows:
-                    for values, x in zip(out, row, strict=True):
-                        values.append(x)
-        return out
+        rows = [row for path, content in zip(*columns, strict=True) for name in providers if name not in off for row in attempt(name, path, bytes(content))]
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], [], []]
 
     return flat_map(files.select(F.col("path"), F.col("content")), run, SCHEMA)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +47,13 @@ def text_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def overrides(spark: SparkSession, path: str) -> DataFrame:
-    """Overrides from JSON objects, one a file, with missing members NULL and missing notes empty."""
-    return spark.read.schema(OVERRIDE).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path")).fillna({"notes": ""})
+    """Overrides from JSON objects, one a file, with missing members NULL and missing notes empty; one row of these without any file."""
+    try:
+        return spark.read.schema(OVERRIDE).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path")).fillna({"notes": ""})
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([(None,) * 7], f"{OVERRIDE}, file STRING").fillna({"notes": ""})
 
 
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -60,8 +68,23 @@ def keyword_table(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 
 
 def queue_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Queue rows of CSV files, the latest first; files with fewer or other columns are read by their own headers."""
-    return spark.read.option("mergeSchema", True).csv(path, header=True, schema=QUEUE, enforceSchema=True, quote='"', escape='"').orderBy(F.desc_nulls_last("processed_at"))
+    """Queue rows of CSV files, the latest first; each file is read by its own header, columns it lacks are NULL.
+
+    Headers are the first lines of the files; files of one header are read together, so there is one scan for each
+    generation of the header. Columns that no queue has are left out.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value")
+    heads = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    read = []
+    for head in sorted(r["head"] for r in heads.select("head").distinct().collect() if r["head"]):
+        names = [n.strip().strip('"').lower() for n in head.lstrip("\ufeff").split(",")]
+        schema = ", ".join(f"`{n if n and names.index(n) == i else f'_{i}'}` STRING" for i, n in enumerate(names))
+        rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, quote='"', escape='"').withColumn("_file", F.col("_metadata.file_path"))
+        rows = rows.join(heads.where(F.col("head") == head).select(F.col("file").alias("_file")), "_file", "left_semi")
+        wanted = [(c.split()[0], c.split()[1]) for c in QUEUE.split(", ")]
+        read.append(rows.select(*[(F.col(c) if c in names else F.lit(None)).try_cast(kind).alias(c) for c, kind in wanted]))
+    every = reduce(DataFrame.unionByName, read) if read else spark.createDataFrame([], QUEUE)
+    return every.orderBy(F.desc_nulls_last("processed_at"))
 
 
 def final_reviews(spark: SparkSession, path: str) -> DataFrame:

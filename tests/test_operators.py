@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastra.functions import text
-from cadastra.operators import change, keep, layout, match, reconcile, scoring, sequence
+from cadastra.operators import change, keep, match, reconcile, scoring, sequence
 
 
 def values(df, *names):
@@ -13,7 +13,7 @@ def values(df, *names):
 
 @pytest.mark.parametrize(
     ("raw", "amount"),
-    [("$ 1 84,724.43", 184724.43), ("$ 9,000.00", 9000.0), ("34,798.73", 34798.73), ("6 45,442", 45442.0), ("1O,424", 10424.0), ("(5,000)", 5000.0), ("12,5", 12.5), ("1.234.567", 1234567.0), ("", None), ("abc", None), (None, None), ("5d", None)],
+    [("$ 1 84,724.43", 184724.43), ("$ 9,000.00", 9000.0), ("34,798.73", 34798.73), ("6 45,442", 45442.0), ("1O,424", 10424.0), ("(5,000)", 5000.0), ("12,5", 12.5), ("1.234.567", 1234567.0), ("", None), ("abc", None), (None, None), ("5d", None), ("12 345", 12345.0), ("1,234.5.6", None), ("7 12,500.25", 12500.25), ("1 12,500", 112500.0), ("9 450", 9450.0)],
 )
 def test_money(spark, raw, amount):
     df = spark.createDataFrame([(raw,)], "t STRING").select(text.money(F.col("t")).alias("v"))
@@ -74,14 +74,21 @@ def test_carry_forward_matches_a_loop(spark):
                 assert got[d, n] == kind
 
 
+def test_sections_last_of_a_letter(spark):
+    df = spark.createDataFrame([(1, "SCHEDULE B\nfirst\nschedule c x\nSchedule B last"), (2, None)], "id INT, t STRING")
+    assert values(sequence.sections(df, "id", "t", last_only=True), "id", "pos", "letter", "body") == [(1, 2, "C", "x"), (1, 3, "B", "last")]
+
+
 def test_sections_keep_their_order(spark):
     df = spark.createDataFrame([(1, "intro\nSCHEDULE B\n18,250\nSCHEDULE C\n725\nSCHEDULE B\nx"), (2, "none"), (3, None), (4, "")], "id INT, t STRING")
     assert values(sequence.sections(df, "id", "t"), "id", "pos", "letter", "body") == [(1, 1, "B", "18,250"), (1, 2, "C", "725"), (1, 3, "B", "x")]
 
 
 def test_page_types(spark):
-    df = spark.createDataFrame([("Business Personal Property RENDITION",), ("see attached list, original cost",), ("",), (None,), ("notary signature",)], "t STRING")
-    assert [r["page_type"] for r in scoring.classify(df, F.col("t")).collect()] == ["main_form", "attachment", "unknown", "unknown", "signature"]
+    texts = ["Business Personal Property RENDITION", "see attached list, original cost", "", None, "notary signature", "Schidule of machinery and equipment: description, cost", "| 12 | 13 | 14 | 15 | 16 | 17 | 18 | a b c d e f g h i j k l m n o p q r s t u v w x y z | 19 | 20 |"]
+    out = scoring.classify(spark.createDataFrame([(t,) for t in texts], "t STRING"), F.col("t")).collect()
+    assert [r["page_type"] for r in out] == ["main_form", "attachment", "unknown", "unknown", "signature", "schedule", "schedule"]
+    assert out[5]["score"] == 1.08  # schedule, schedul, machinery, equipment, description, description + cost, machinery + equipment
 
 
 def test_changes(spark):
@@ -95,15 +102,6 @@ def test_changes(spark):
     assert change.upsert(base.limit(0), news, "k").count() == 2
 
 
-def test_year_amount_geometry(spark):
-    words = [("2025", 1219, 385), ("46,052", 1117, 387), ("2024", 1219, 434), ("34,814", 1119, 433), ("2023", 1219, 482), ("35,141", 1119, 481), ("2022", 1219, 530), ("10,555", 1121, 531), ("TOTAL", 1206, 1050), ("126,562", 1109, 1052)]
-    page = [(1, [(t, float(x), float(y)) for t, x, y in words]), (2, []), (3, None)]
-    df = spark.createDataFrame(page, f"page_id BIGINT, words {layout.WORDS}")
-    got = sorted(((r["year"], r["amount"]) for r in layout.page_pairs(df, "page_id", "words").collect()), reverse=True)
-    assert got == [(2025, 46052.0), (2024, 34814.0), (2023, 35141.0), (2022, 10555.0)]
-    assert spark.createDataFrame(page, df.schema).select(layout.reading_order("words").alias("t")).first()["t"].startswith("2025 46,052 34,814")
-
-
 def test_nearest_in_band_equals_all_pairs(spark):
     import random
 
@@ -119,7 +117,45 @@ def test_nearest_in_band_equals_all_pairs(spark):
     assert {(r["k"], r["label_id"]): r["value_id"] for r in got.collect()} == expected
 
 
-def test_words_laid_out_from_text(spark):
-    df = spark.createDataFrame([(1, "2023   81,166\n 2022  2022"), (2, ""), (3, None)], "id INT, t STRING")
-    rows = {r["id"]: sorted((w["top"], w["x0"], w["text"]) for w in r["words"]) for r in layout.words_of_lines(df, "id", "t", 12.0, 1.0).collect()}
-    assert rows == {1: [(0.0, 0.0, "2023"), (0.0, 7.0, "81,166"), (12.0, 1.0, "2022"), (12.0, 7.0, "2022")]}
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_spans_equal_a_scan(spark):
+    import re
+
+    body = "Total cost $ 1,234.50 and (2,000) in 2021; 12 345 units, x99y 77 55,123 100200300400 €1,000 — total\n$20,000 or less 99.95"
+    for pattern in (text.MONEY, text.YEAR_IN_TEXT, r"\S+", "total"):
+        got = one(spark, text.spans(F.lit(body), pattern))
+        assert [(r["start"], r["end"], r["value"]) for r in got] == [(m.start(), m.end(), m.group()) for m in re.finditer(pattern, body)]
+    assert one(spark, text.spans(F.lit(None).cast("string"), "x")) == [] == one(spark, text.spans(F.lit(""), "x"))
+    assert [r["value"] for r in one(spark, text.money_spans(F.lit(body)))] == [1234.5, 12345.0, 55123.0, 1000.0, 20000.0]  # 2,000 looks like a year
+
+
+def test_text_repairs_and_small_functions(spark):
+    assert one(spark, text.mended_lower(F.lit("The  Renditlon |\\/ valuo\n"))) == "the rendition l value"
+    assert one(spark, text.mended_upper(F.lit("prop€rty  fumiture\n sectton\t6"))) == "PROPERTY FURNITURE\n SECTION 6"
+    assert one(spark, text.wrapped(F.lit("aa bb  cc\ndddddddd e"), 5)) == ["aa bb", "cc", "dddddddd", "e"]
+    assert one(spark, text.wrapped(F.lit("aa bb cc"), 5, 1)) == ["aa bb"] and one(spark, text.wrapped(F.lit(None).cast("string"))) == []
+    assert one(spark, text.missing(["a", "b", "c"], F.array(F.lit("b")))) == ["a", "c"]
+    assert one(spark, text.block(F.lit("x START y STOP z"), "START", "STOP")) == "START y " and one(spark, text.block(F.lit("x"), "START", "STOP")) == ""
+    assert one(spark, text.block(F.lit("STOP START y"), "START", "STOP")) == "START y"
+    stems = {"a/b c.v2.pdf": "b_c.v2", "..": "rendition", "": "rendition", "~~.pdf": "rendition", "plain": "plain", "/x/y.tar.gz": "y.tar"}
+    assert all(one(spark, text.safe_stem(F.lit(k))) == v for k, v in stems.items())
+    assert one(spark, text.percent(F.lit(0.1234))) == "12.34%" and one(spark, text.shown(F.array(F.lit("a"), F.lit("b")), "array<string>")) == "a | b" and one(spark, text.shown(F.lit(None).cast("string"))) == "-"
+    assert [one(spark, text.number(F.lit(t))) for t in ("$12.345", "1,234,567.5", "7.25", "x")] == [12345.0, 1234567.5, 7.25, None]
+
+
+@pytest.mark.parametrize(("first", "again", "mends"), [("273419", "27,419", True), ("84620", "84,620", True), ("51,300", "91,300", False), ("60,250", "60,250", False), ("7712", "88,121", False), ("none", "1,200", False), (None, None, False)])
+def test_second_reading_of_an_amount(spark, first, again, mends):
+    assert one(spark, text.rereads(F.lit(first).cast("string"), F.lit(again).cast("string"))) is mends
+
+
+def test_money_tokens_leave_out_runs_with_years(spark):
+    tokens = lambda t: [r["value"] for r in one(spark, text.money_tokens(F.lit(t)))]
+    assert tokens("2019 3120 2022") == [] and tokens("8,155; 2019") == [8155.0] and tokens("12 pens") == []
+
+
+def test_carried_and_set_functions_on_empty_tables(spark):
+    empty = spark.createDataFrame([], "id INT, t STRING")
+    assert sequence.sections(empty, "id", "t").count() == 0 and scoring.classify(empty, F.col("t")).count() == 0
