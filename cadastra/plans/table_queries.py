@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.functions import text
-from cadastra.operators import change, keep, labels, layout, match, pages, reconcile, rows, scoring, sequence
+from cadastra.operators import change, documents, keep, labels, layout, match, pages, reconcile, rows, scoring, sequence
 from cadastra.session import table
 
 #: A small table of factors by life and year, and keywords in their order (fixed values).
@@ -75,6 +75,22 @@ def candidate_lines(spark, d):
     return docs.select("doc_id", F.size(text.candidate_lines(F.coalesce("text", F.lit("")))).cast("bigint").alias("candidate_lines"))
 
 
+def document_fields(spark, d):
+    """The best candidate of each field of each document, by the kind of its page."""
+    return documents.resolved(_pages(spark, d), ["doc_id"], "page_number", "text")
+
+
+def context_candidates(spark, d):
+    """Every amount and acquisition year of the documents with the label that the words around it suggest."""
+    return documents.context_candidates(_pages(spark, d), ["doc_id"], "page_number", "text").drop("evidence")
+
+
+def document_items(spark, d):
+    """Line items of the documents, by their lines and by the places of their words."""
+    boxed = _pages(spark, d).select("doc_id", "page_number", "text").join(_word_pages(spark, d), "doc_id", "left")
+    return documents.line_items(boxed, ["doc_id"], "page_number", "doc_id", "text", "words")
+
+
 def document_metadata(spark, d):
     """Tax year, owner, account and date from the head of each document."""
     return pages.metadata(_pages(spark, d), ["doc_id"], "page_number", "text")
@@ -419,7 +435,7 @@ _NAMES = (
     floor_factors, keyword_class, priority_match, label_band, nearest_region, full_outer_merge, provider_reconcile, provider_priority, union_of_candidates, flag_union, carry_forward, schedule_headings, schedule_sections, gap_segments,
     worksheet_rows, page_types, page_type_of, text_quality, best_candidate, upsert_customers, fill_districts, append_new_customers, without_orders, with_orders, rule_violations, duplicate_files, tenant_rank, event_properties,
     district_profile, order_revenue, year_amount_pairs, windowed_events, year_places, money_places, label_candidates, document_metadata, document_quality, reading_need, page_flags, provider_summary, merged_readings, section_rows,
-    section_totals, repaired_text, wrapped_notes, file_stems, last_sections, subsection_rows, subsection_totals, subsection_headings,
+    section_totals, document_fields, context_candidates, document_items, repaired_text, wrapped_notes, file_stems, last_sections, subsection_rows, subsection_totals, subsection_headings,
 )
 
 
