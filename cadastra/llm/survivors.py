@@ -52,6 +52,22 @@ def align(a: Profile, b: Profile) -> Profile:
     n, m = len(a), len(b)
     if n == m and all(x.keys() == y.keys() for x, y in zip(a, b, strict=True)):  # equal columns pair up as they are
         return [{t: w + y[t] for t, w in x.items()} for x, y in zip(a, b, strict=True)]
+    # undisputed equal columns at either end pair up in a best alignment
+    low, high = 0, 0
+    while low < n and low < m and len(a[low]) == 1 and a[low].keys() == b[low].keys():
+        low += 1
+    while high < min(n, m) - low and len(a[-1 - high]) == 1 and a[-1 - high].keys() == b[-1 - high].keys():
+        high += 1
+    if low or high:
+        same = lambda x, y: [{t: w + q[t] for t, w in p.items()} for p, q in zip(x, y, strict=True)]
+        middle = _aligned(a[low : n - high], b[low : m - high], wa, wb)
+        return same(a[:low], b[:low]) + middle + same(a[n - high :], b[m - high :])
+    return _aligned(a, b, wa, wb)
+
+
+def _aligned(a: Profile, b: Profile, wa: float, wb: float) -> Profile:
+    """``align`` of profiles of weights ``wa`` and ``wb``, cell by cell."""
+    n, m = len(a), len(b)
     gap = OPEN
     score = [[j * gap for j in range(m + 1)]]
     move: list[list[int]] = [[2] * (m + 1)]
@@ -115,10 +131,28 @@ def vote(profile: Profile) -> list[str]:
     return [t for t in winners if t != GAP]
 
 
+def voted_tokens(values: list[tuple[list[str], float]]) -> list[str]:
+    """What weighted token lists vote.
+
+    A list that outweighs all others together wins every column however they are aligned, so it stands as it is, unless it
+    has unreadable tokens, which leave the vote to the others.
+    """
+    top, weight = max(values, key=lambda v: v[1])
+    if 2 * weight > sum(w for _, w in values) and UNKNOWN not in top:
+        return top
+    return vote(profile_of(values))
+
+
 def distance(a: list[str], b: list[str]) -> int:
-    """Edit distance of two token lists."""
+    """Edit distance of two token lists; equal ends cost nothing in a best alignment and are left out of it."""
     if a == b:
         return 0
+    low, high, least = 0, 0, min(len(a), len(b))
+    while low < least and a[low] == b[low]:
+        low += 1
+    while high < least - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -171,7 +205,7 @@ def consensus(df: DataFrame, group: str, value: str, tokens: Callable[[str], lis
     def choose(columns: list[list]) -> list[list]:
         out: list[list] = [columns[0], [], [], []]
         for values in columns[1]:
-            best = vote(profile_of([(tokens(x["v"]), x["w"]) for x in values]))
+            best = voted_tokens([(tokens(x["v"]), x["w"]) for x in values])
             closest, far = measured(values, best)
             for c, x in zip(out[1:], (closest, "".join(best), far), strict=True):
                 c.append(x)

@@ -120,3 +120,11 @@ def test_representatives_have_the_voted_values(spark):
     rows = [(1, "2021-01-02T00:00:00", f, "2021", "P01234567", "Ready", "x"), (2, "2021-01-02T00:00:00", f, "2021", "P01234567", "Ready", "x"), (3, "2021-01-05T00:00:00", f, "2021", "P0123", "Locked", "x"), (4, None, f, "2021", None, None, "x"), (9, None, None, None, None, None, "x")]
     out = survivors.representatives(spark.createDataFrame(rows, QUEUE), spark.createDataFrame(TRUST, "status STRING, trust INT")).collect()
     assert [tuple(r) for r in out] == [(1, 3, "P01234567", "2021-01-05T00:00:00", "Locked", "P01234567", "2021-01-02T00:00:00", "Ready")]
+
+
+def test_a_majority_needs_no_alignment():
+    random.seed(7)
+    for _ in range(200):
+        values = [([random.choice("abc") for _ in range(random.randint(1, 7))], float(random.randint(1, 3))) for _ in range(random.randint(1, 4))]
+        values.append(([random.choice("abc") for _ in range(random.randint(1, 7))], sum(w for _, w in values) + 1))
+        assert survivors.voted_tokens(values) == survivors.vote(survivors.profile_of(values)) == values[-1][0]
