@@ -295,3 +295,37 @@ def wrapped(text: Column, width: int = 48, most: int | None = None) -> Column:
 def missing(wanted: list[str], found: Column) -> Column:
     """The members of a stated list that an array lacks, in their order."""
     return F.array_except(F.array(*[F.lit(w) for w in wanted]), found)
+
+
+def by_like(text: Column, cases: list[tuple[str, object]], otherwise: object = None) -> Column:
+    """The value of the first LIKE pattern that a lower-case text matches."""
+    low = F.lower(F.trim(text))
+    return F.coalesce(*[F.when(low.like(pattern), F.lit(value)) for pattern, value in cases], F.lit(otherwise))
+
+
+# Marks of a checked box, and by flag the words that show it: anywhere on the page, or checked within a section's block.
+CHECKED = r"[☑✓✔☒🗹X?]\s*"
+PRESENT_FLAGS = {
+    "see_attached": ("SEE ATTACHED", "SEE ATTAC"), "section_3_present": ("SECTION 3",), "section_5_present": ("SECTION 5",), "section_5_over_20k_detected": ("20,000", "20OOOO", "UNDER$2OOOO"),
+    "section_5_125k_language_detected": ("125,000", "125 OOO OR", "125000 OR LESS"),
+}
+CHECKED_FLAGS = {
+    "section_3_prior_year_checked": ("SECTION 3", "SECTION 4", r"BY CHECKING THIS BOX"), "section_5_under_20k_checked": ("SECTION 5", "SECTION 6", r"UNDER\s*\$?\s*20,000"),
+    "section_5_20k_or_more_checked": ("SECTION 5", "SECTION 6", r"\$?\s*20,000\s+OR\s+MORE"), "section_5_125k_or_less_checked": ("SECTION 5", "SECTION 6", r"\$?\s*125,000\s+OR\s+LESS"),
+    "section_5_more_than_125k_checked": ("SECTION 5", "SECTION 6", r"MORE\s+THAN\s+\$?\s*125,000"),
+}
+SIGNATURE_WORDS, LEAST_SIGNATURE_WORDS = ("SECTION 6", "AUTHORIZED INDIVIDUAL", "SUBSCRIBED AND SWORN", "PRINTED NAME", "DATE", "SIGN"), 2
+
+
+def form_flags(page: Column) -> Column:
+    """What the first page of a form shows, one BOOLEAN member a flag: words that stand on it, and boxes that are checked."""
+
+    def read(t: Column) -> Column:
+        holds = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w))
+        flat = F.regexp_replace(t, r"\s+", " ")
+        flags = [holds(words).alias(name) for name, words in PRESENT_FLAGS.items()]
+        flags += [block(flat, start, stop).rlike(CHECKED + pattern).alias(name) for name, (start, stop, pattern) in CHECKED_FLAGS.items()]
+        clues = sum((F.when(F.contains(t, F.lit(w)), 1).otherwise(0) for w in SIGNATURE_WORDS), F.lit(0))
+        return F.struct(*flags, (clues >= LEAST_SIGNATURE_WORDS).alias("signature_block_detected"))
+
+    return let(mended_upper(page), read)

@@ -56,3 +56,31 @@ def longer_of(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFra
     la, lb = F.length(F.trim(F.coalesce("_a", F.lit("")))), F.length(F.trim(F.coalesce("_b", F.lit(""))))
     first = F.col("_a").isNotNull() & (F.col("_b").isNull() | (la >= lb))
     return a.join(b, key, "full_outer").select(key, F.when(first, F.col("_a")).otherwise(F.col("_b")).alias(text), F.when(first, "left").otherwise("right").alias("origin"))
+
+
+def mapped(df: DataFrame, column: str, table: dict[str, object], name: str, otherwise: str | None = None, flag: str | None = None) -> DataFrame:
+    """``df`` with the value of its ``column`` in a stated table; unknown keys take that of ``otherwise`` and raise ``flag``."""
+    found = F.coalesce(*[F.when(F.col(column) == k, F.lit(v)) for k, v in table.items()])
+    out = df.withColumn(name, F.coalesce(found, F.lit(table[otherwise])) if otherwise is not None else found)
+    return out.withColumn(flag, found.isNull()) if flag else out
+
+
+def allowed(items: DataFrame, candidates: DataFrame, key: str, value: str, candidate: str) -> DataFrame:
+    """``items`` with ``value`` kept only where it equals one of its key's candidates, as text or as a number; else NULL and ``rejected``."""
+    both = candidates.select(F.col(key).alias("_key"), F.explode(F.array(F.trim(F.col(candidate).cast("string")), F.col(candidate).try_cast("double").cast("string"))).alias("_value")).where("_value IS NOT NULL").distinct()
+    forms = F.explode(F.array(F.trim(F.col(value).cast("string")), F.col(value).try_cast("double").cast("string"))).alias("_value")
+    fits = items.select(F.col(key).alias("_key"), F.col(value).alias("_shown"), forms).join(both, ["_key", "_value"]).select("_key", "_shown").distinct().withColumn("_fits", F.lit(True))
+    joined = items.join(fits, (F.col(key) == F.col("_key")) & (F.col(value) == F.col("_shown")), "left")
+    return joined.withColumn("rejected", F.col(value).isNotNull() & F.col("_fits").isNull()).withColumn(value, F.when(F.col("_fits"), F.col(value))).drop("_key", "_shown", "_fits")
+
+
+def resolve_members(people: DataFrame, members: DataFrame, member_id: str, person_id: str, email: str) -> DataFrame:
+    """``people`` (person_id, email) with the ``member_id`` of their member: by their own id, else by their email without case; and whether
+    the member's missing id is to be filled in (``backfill``)."""
+    lower = F.lower(F.trim(F.col(email)))
+    by_id = members.where(F.col(person_id).isNotNull()).groupBy(F.col(person_id).alias("_p")).agg(F.min(member_id).alias("_by_id"))
+    by_email = members.where(F.col(email).isNotNull()).groupBy(lower.alias("_e")).agg(F.min_by(F.struct(F.col(member_id).alias("m"), F.col(person_id).alias("p")), member_id).alias("_by_email"))
+    joined = people.join(by_id, F.col(person_id) == F.col("_p"), "left").join(by_email, lower == F.col("_e"), "left")
+    found = F.coalesce("_by_id", "_by_email.m")
+    fill = F.col("_by_id").isNull() & F.col("_by_email.m").isNotNull() & F.col("_by_email.p").isNull()
+    return joined.withColumn(member_id, found).withColumn("backfill", fill).drop("_p", "_e", "_by_id", "_by_email")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,9 @@ def flag_union(df: DataFrame, keys: list[str], flags: str) -> DataFrame:
     """The sorted distinct flags of each key, from arrays of flags."""
     exploded = df.select(*keys, F.explode(flags).alias("_flag"))
     return exploded.groupBy(*keys).agg(F.array_sort(F.collect_set("_flag")).alias(flags))
+
+
+def union_all(frames: list[DataFrame], source: str | None = None) -> DataFrame:
+    """All rows of several frames by the names of their columns, those a frame lacks as NULL; ``source`` counts the frames from 0."""
+    numbered = [f.withColumn(source, F.lit(i)) for i, f in enumerate(frames)] if source else frames
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)

@@ -121,3 +121,11 @@ def attachment_summary(text: Column) -> Column:
         return F.struct(present.alias("present"), amounts.alias("amounts"), F.coalesce(F.array_max(labelled), F.when(present, F.array_max(every))).alias("total"))
 
     return texts.let(texts.mended_upper(text), read)
+
+
+def schedule_values(pages: DataFrame, key: list[str], page: str, text: str) -> DataFrame:
+    """(key, letter, pages, amounts, largest) of the schedules of a document: the pages they stand on, and the amounts with a dollar
+    sign in their sections, each once, largest first."""
+    sections = pages.select(*key, page, F.explode(parts_of(F.col(text), last_only=True)).alias("s"))
+    seen = sections.select(*key, page, F.col("s.letter").alias("letter"), F.explode_outer(texts.reported_amounts(F.col("s.body"))).alias("v"))
+    return seen.groupBy(*key, "letter").agg(F.array_sort(F.collect_set(page)).alias("pages"), F.sort_array(F.collect_set("v"), asc=False).alias("amounts"), F.max("v").alias("largest"))

@@ -6,13 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.functions import text as texts
+from cadastra.session import checkpointed
 
 
-def carry_forward(df: DataFrame, key: str, order: list[str], kind: str, fillable: Column, carried: str, name: str) -> DataFrame:
-    """``df`` with ``name``: fillable rows after a ``carried`` row take its kind, along whole runs of fillable rows."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(~fillable, F.col(kind)), ignorenulls=True).over(before)
-    return df.withColumn(name, F.when(fillable & (last == carried), F.lit(carried)).otherwise(F.col(kind)))
+#: Rows of one key from which its order is cut into parts that are worked on apart.
+HOT = 2_000_000
+
+
+def _parts(df: DataFrame, key: str, order: list[str], hot: int) -> DataFrame | None:
+    """``df`` with ``_part``, ranges of (key, order) in their order, if any key has more than ``hot`` rows; else None.
+
+    The ranges are written, so that every branch that reads them sees the same ones.
+    """
+    if df.groupBy(key).count().where(F.col("count") > hot).isEmpty():
+        return None
+    return checkpointed(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def _before(summary: DataFrame, key: str, carried: dict[str, Column]) -> DataFrame:
+    """For each part but a key's first, what its key's earlier parts carry into it; one row for each part that a key goes on in."""
+    w = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return summary.select(key, "_part", *[F.last(c, ignorenulls=True).over(w).alias(name) for name, c in carried.items()]).where(" OR ".join(f"{n} IS NOT NULL" for n in carried))
+
+
+def carry_forward(df: DataFrame, key: str, order: list[str], kind: str, fillable: Column, carried: str, name: str, hot: int = HOT) -> DataFrame:
+    """``df`` with ``name``: fillable rows after a ``carried`` row take its kind, along whole runs of fillable rows.
+
+    A key of more than ``hot`` rows is worked on in parts, and what stands at their ends is carried from one to the next.
+    """
+    stands = F.when(~fillable, F.col(kind))
+    parts = _parts(df, key, order, hot)
+    if parts is None:
+        last = F.last(stands, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn(name, F.when(fillable & (last == carried), F.lit(carried)).otherwise(F.col(kind)))
+    ends = parts.where(stands.isNotNull()).groupBy(key, "_part").agg(F.max_by(stands, F.struct(*order)).alias("_end"))
+    every = parts.select(key, "_part").distinct().join(ends, [key, "_part"], "left")
+    within = F.last(stands, ignorenulls=True).over(Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    last = F.coalesce("_within", "_before")
+    joined = parts.withColumn("_within", within).join(_before(every, key, {"_before": F.col("_end")}), [key, "_part"], "left")
+    return joined.withColumn(name, F.when(fillable & (last == carried), F.lit(carried)).otherwise(F.col(kind))).drop("_within", "_before", "_part")
 
 
 def headings(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
@@ -44,11 +76,26 @@ def sections(df: DataFrame, key: str, text: str, heading: str = HEADING, last_on
     return df.select(key, F.explode(parts_of(F.col(text), heading, last_only)).alias("s")).select(key, "s.*")
 
 
-def gap_segments(df: DataFrame, key: str, order: list[str], at: Column, gap: float, name: str) -> DataFrame:
-    """``df`` with the number of its segment, a new one after every gap larger than ``gap``; numbers from 1."""
-    w = Window.partitionBy(key).orderBy(*order)
-    starts = F.when(at - F.lag(at).over(w) <= gap, 0).otherwise(1)
-    return df.withColumn("_start", starts).withColumn(name, F.sum("_start").over(w).cast("bigint")).drop("_start")
+def gap_segments(df: DataFrame, key: str, order: list[str], at: Column, gap: float, name: str, hot: int = HOT) -> DataFrame:
+    """``df`` with the number of its segment, a new one after every gap larger than ``gap``; numbers from 1.
+
+    A key of more than ``hot`` rows is worked on in parts; the last place of each and the number of its segments are carried on.
+    """
+    df = df.withColumn("_at", at)
+    parts = _parts(df, key, order, hot)
+    if parts is None:
+        w = Window.partitionBy(key).orderBy(*order)
+        starts = F.when(F.col("_at") - F.lag("_at").over(w) <= gap, 0).otherwise(1)
+        return df.withColumn("_start", starts).withColumn(name, F.sum("_start").over(w).cast("bigint")).drop("_start", "_at")
+    ends = parts.groupBy(key, "_part").agg(F.max_by("_at", F.struct(*order)).alias("_end"))
+    here = parts.join(_before(ends, key, {"_last": F.col("_end")}), [key, "_part"], "left")
+    w = Window.partitionBy(key, "_part").orderBy(*order)
+    starts = F.when(F.col("_at") - F.coalesce(F.lag("_at").over(w), F.col("_last")) <= gap, 0).otherwise(1)
+    here = here.withColumn("_start", starts).withColumn("_own", F.sum("_start").over(w))
+    counts = here.groupBy(key, "_part").agg(F.sum("_start").alias("_n"))
+    sofar = counts.select(key, "_part", F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_sofar")).where("_sofar IS NOT NULL")
+    out = here.join(sofar, [key, "_part"], "left").withColumn(name, (F.col("_own") + F.coalesce("_sofar", F.lit(0))).cast("bigint"))
+    return out.drop("_at", "_start", "_own", "_sofar", "_part", "_last")
 
 
 def offset_rows(df: DataFrame, year: str, factors: list[float]) -> DataFrame:

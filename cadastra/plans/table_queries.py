@@ -91,6 +91,67 @@ def document_items(spark, d):
     return documents.line_items(boxed, ["doc_id"], "page_number", "doc_id", "text", "words")
 
 
+def page_one_flags(spark, d):
+    """What each document shows of the first page of a form."""
+    docs = _t(spark, d, "documents").select("doc_id", text.form_flags(F.col("text")).alias("f"))
+    return docs.select("doc_id", "f.*")
+
+
+def schedule_values(spark, d):
+    """Amounts with a dollar sign in the schedules of each district's documents."""
+    docs = _t(spark, d, "documents").where("district_id IS NOT NULL")
+    found = rows.schedule_values(docs, ["district_id"], "doc_id", "text")
+    return found.select("district_id", "letter", F.size("pages").cast("bigint").alias("pages"), F.size("amounts").cast("bigint").alias("amounts"), "largest")
+
+
+def value_guardrail(spark, d):
+    """Summaries whose recommended value none of the queue's rows of their account has."""
+    queue = _t(spark, d, "review_queue").where("account_number IS NOT NULL").select("account_number", F.col("recommended_value").alias("candidate"))
+    items = _t(spark, d, "sample_rendition_summary").select("summary_id", "account_number", "recommended_value")
+    return match.allowed(items, queue, "account_number", "recommended_value", "candidate").select("summary_id", "recommended_value", "rejected")
+
+
+def trust_of_rows(spark, d):
+    """The trust of each row's status by a stated table, unknown ones as the lowest."""
+    states = {"ready": 30, "locked": 60, "accepted": 50, "unknown": 0}
+    rows_ = _t(spark, d, "review_queue").withColumn("state", text.state_key(F.col("status")))
+    found = match.mapped(rows_, "state", states, "trust", "unknown", "unmapped")
+    return found.groupBy("trust", "unmapped").agg(F.count("*").alias("rows")).select(F.col("trust").cast("bigint").alias("trust"), "unmapped", "rows")
+
+
+def owners_resolved(spark, d):
+    """Customers resolved to suppliers by number, else by name without case."""
+    members = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("member"), F.when(F.col("s_acctbal") > 0, F.col("s_suppkey") * 2).alias("person"), F.concat(F.lit("Customer#"), F.lpad((F.col("s_suppkey") * 3).cast("string"), 9, "0")).alias("mail"))
+    people = _t(spark, d, "customer").select(F.col("c_custkey").alias("person"), F.upper("c_name").alias("mail"))
+    return match.resolve_members(people, members, "member", "person", "mail").select("person", "member", "backfill")
+
+
+def stamped_upsert(spark, d):
+    """Districts with changed names stamped, others as they were."""
+    base = _t(spark, d, "districts").select("id", "name", "updated_at")
+    updates = base.select("id", F.when(F.col("name") == F.upper("name"), F.initcap("name")).otherwise(F.col("name")).alias("name"), F.lit(None).cast("timestamp").alias("updated_at"))
+    out = change.upsert_stamped(base, updates, "id", "updated_at", F.lit("2030-01-01 00:00:00").cast("timestamp"))
+    return out.select("id", F.length("name").cast("bigint").alias("letters"), (F.year("updated_at") == 2030).alias("changed"))
+
+
+def kinds_by_like(spark, d):
+    """Files by the pattern of their name."""
+    kind = text.by_like(F.col("file_name"), [("%.pdf", "pdf"), ("%.tif%", "scan"), ("rendition%", "rendition")], "other")
+    return _t(spark, d, "review_queue").groupBy(kind.alias("kind")).agg(F.count("*").alias("rows"))
+
+
+def union_of_schedules(spark, d):
+    """Orders and lines as one list of items, columns that one of them lacks NULL."""
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    items = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("quantity"))
+    return reconcile.union_all([orders, items], "source").groupBy(F.col("source").cast("bigint").alias("source")).agg(F.count("price").alias("prices"), F.count("quantity").alias("quantities"), F.count("*").alias("rows"))
+
+
+def confidence_labels(spark, d):
+    """Mean confidence of the agents by district, as a label."""
+    return scoring.mean_confidence(_t(spark, d, "sample_rendition_summary"), ["district_id"], "agent_confidence")
+
+
 def document_metadata(spark, d):
     """Tax year, owner, account and date from the head of each document."""
     return pages.metadata(_pages(spark, d), ["doc_id"], "page_number", "text")
@@ -435,7 +496,7 @@ _NAMES = (
     floor_factors, keyword_class, priority_match, label_band, nearest_region, full_outer_merge, provider_reconcile, provider_priority, union_of_candidates, flag_union, carry_forward, schedule_headings, schedule_sections, gap_segments,
     worksheet_rows, page_types, page_type_of, text_quality, best_candidate, upsert_customers, fill_districts, append_new_customers, without_orders, with_orders, rule_violations, duplicate_files, tenant_rank, event_properties,
     district_profile, order_revenue, year_amount_pairs, windowed_events, year_places, money_places, label_candidates, document_metadata, document_quality, reading_need, page_flags, provider_summary, merged_readings, section_rows,
-    section_totals, document_fields, context_candidates, document_items, repaired_text, wrapped_notes, file_stems, last_sections, subsection_rows, subsection_totals, subsection_headings,
+    section_totals, document_fields, context_candidates, document_items, page_one_flags, schedule_values, value_guardrail, trust_of_rows, owners_resolved, stamped_upsert, kinds_by_like, union_of_schedules, confidence_labels, repaired_text, wrapped_notes, file_stems, last_sections, subsection_rows, subsection_totals, subsection_headings,
 )
 
 
@@ -476,6 +537,16 @@ def _places_sql(pattern: str, columns: str) -> str:
     return f"SELECT {columns} FROM (SELECT doc_id, text, m[i] AS hit, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS found_at FROM ({numbered}))"
 
 
+def _flags_sql() -> str:
+    blank = r"[ \t\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    mended = f"regexp_replace({_mended_sql("upper(coalesce(text, ''))", text.UPPER_REPAIRS)}, '{blank}+', ' ', 'g')"
+    present = ", ".join(f"{' OR '.join(f"contains(t, '{w}')" for w in words)} AS {name}" for name, words in text.PRESENT_FLAGS.items())
+    cut = lambda a, b: f"CASE WHEN contains(f, '{a}') THEN substr(f, strpos(f, '{a}'), CASE WHEN contains(substr(f, strpos(f, '{a}')), '{b}') THEN strpos(substr(f, strpos(f, '{a}')), '{b}') - 1 ELSE length(f) END) ELSE '' END"
+    checked = ", ".join(f"regexp_matches({cut(a, b)}, '{text.CHECKED}{p}') AS {name}" for name, (a, b, p) in text.CHECKED_FLAGS.items())
+    clues = " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in text.SIGNATURE_WORDS)
+    return f"SELECT doc_id, {present}, {checked}, {clues} >= {text.LEAST_SIGNATURE_WORDS} AS signature_block_detected FROM (SELECT doc_id, t, regexp_replace(t, '\\s+', ' ', 'g') AS f FROM (SELECT doc_id, {mended} AS t FROM documents))"
+
+
 def _first_of_sql(column: str, patterns: tuple[str, ...]) -> str:
     return "coalesce(" + ", ".join(f"nullif(trim(regexp_replace(regexp_extract({column}, '(?i){p.replace(chr(39), chr(39) * 2)}', 1), '{_SPACE}+', ' ', 'g')), '')" for p in patterns) + ")"
 
@@ -502,6 +573,15 @@ def oracle_sql() -> dict[str, str]:
         "provider_summary": "SELECT district_id, source, count(*) AS pages, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters, arg_min(doc_kind, doc_id) FILTER (doc_kind IS NOT NULL) AS text_source FROM documents WHERE district_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2 HAVING bool_or(length(trim(text)) > 0)",
         "merged_readings": "WITH x AS (SELECT * FROM documents WHERE district_id IS NOT NULL AND tax_year IS NOT NULL), l AS (SELECT district_id, tax_year, text FROM x WHERE source = 'scan_batch' AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY district_id, tax_year ORDER BY length(text) DESC, text DESC) = 1), r AS (SELECT district_id, tax_year, text FROM x WHERE source = 'mail_room' AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY district_id, tax_year ORDER BY length(text) DESC, text DESC) = 1), ln AS (SELECT DISTINCT district_id, tax_year FROM x WHERE source = 'scan_batch'), rn AS (SELECT DISTINCT district_id, tax_year FROM x WHERE source = 'mail_room'), b AS (SELECT district_id, tax_year, l.text AS lt, r.text AS rt, length(trim(coalesce(l.text, ''))) AS a, length(trim(coalesce(r.text, ''))) AS b, ln.tax_year IS NOT NULL AS has_l, rn.tax_year IS NOT NULL AS has_r FROM (ln FULL JOIN rn USING (district_id, tax_year)) LEFT JOIN l USING (district_id, tax_year) LEFT JOIN r USING (district_id, tax_year)) SELECT district_id, CAST(tax_year AS BIGINT) AS tax_year, length(t) AS characters, md5(t) AS text_md5, preferred, sources FROM (SELECT district_id, tax_year, CASE WHEN b > a THEN coalesce(nullif(rt, ''), lt, '') ELSE coalesce(nullif(lt, ''), rt, '') END AS t, CASE WHEN b > a THEN 'mail_room' WHEN lt IS NOT NULL OR rt IS NULL THEN 'scan_batch' ELSE 'scan_batch' END AS preferred, concat_ws('|', CASE WHEN a > 0 THEN 'scan_batch' END, CASE WHEN b > 0 THEN 'mail_room' END) AS sources FROM b)",
         "repaired_text": f"SELECT doc_id, md5({_mended_sql(f'lower({_COLLAPSED})', text.LOWER_REPAIRS)}) AS lower_md5, md5(regexp_replace({_mended_sql('upper(text)', text.UPPER_REPAIRS)}, '[ \\t\\x0b\\x0c\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS upper_md5 FROM documents WHERE text IS NOT NULL",
+        "schedule_values": r"WITH h AS (SELECT district_id, doc_id, regexp_extract_all(text, '(?i)\bSCHEDULE\s+([A-F])\b', 1) AS h, string_split_regex(text, '(?i)\bSCHEDULE\s+[A-F]\b') AS g FROM documents WHERE text IS NOT NULL AND district_id IS NOT NULL), s AS (SELECT district_id, doc_id, upper(h[i]) AS letter, g[i + 1] AS body FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM h) QUALIFY row_number() OVER (PARTITION BY district_id, doc_id, upper(h[i]) ORDER BY i DESC) = 1), v AS (SELECT district_id, doc_id, letter, unnest(CASE WHEN len(regexp_extract_all(body, '\$\s?\d[\d,]*(?:\.\d\d)?')) = 0 THEN ['x'] ELSE regexp_extract_all(body, '\$\s?\d[\d,]*(?:\.\d\d)?') END) AS raw FROM s), w AS (SELECT *, TRY_CAST(regexp_replace(raw, '[$,\s]', '', 'g') AS DOUBLE) AS a FROM v) SELECT district_id, letter, count(DISTINCT doc_id) AS pages, count(DISTINCT CASE WHEN a BETWEEN 100 AND 1e9 AND NOT (a = floor(a) AND a BETWEEN 1900 AND 2049) AND a NOT IN (20000, 125000) THEN a END) AS amounts, max(CASE WHEN a BETWEEN 100 AND 1e9 AND NOT (a = floor(a) AND a BETWEEN 1900 AND 2049) AND a NOT IN (20000, 125000) THEN a END) AS largest FROM w GROUP BY 1, 2",
+        "value_guardrail": "WITH c AS (SELECT DISTINCT account_number, recommended_value AS v FROM review_queue WHERE account_number IS NOT NULL AND recommended_value IS NOT NULL) SELECT summary_id, c.v AS recommended_value, s.recommended_value IS NOT NULL AND c.v IS NULL AS rejected FROM sample_rendition_summary s LEFT JOIN c ON c.account_number = s.account_number AND c.v = s.recommended_value",
+        "trust_of_rows": f"WITH s AS (SELECT {key} AS state FROM review_queue) SELECT CAST(CASE state WHEN 'ready' THEN 30 WHEN 'locked' THEN 60 WHEN 'accepted' THEN 50 ELSE 0 END AS BIGINT) AS trust, coalesce(state NOT IN ('ready', 'locked', 'accepted', 'unknown'), true) AS unmapped, count(*) AS rows FROM s GROUP BY 1, 2",
+        "owners_resolved": "WITH m AS (SELECT s_suppkey AS member, CASE WHEN s_acctbal > 0 THEN s_suppkey * 2 END AS person, lower('Customer#' || lpad(CAST(s_suppkey * 3 AS VARCHAR), 9, '0')) AS mail FROM supplier) SELECT c_custkey AS person, coalesce(a.member, b.member) AS member, a.member IS NULL AND b.member IS NOT NULL AND b.person IS NULL AS backfill FROM customer LEFT JOIN m a ON a.person = c_custkey LEFT JOIN m b ON b.mail = lower(c_name)",
+        "stamped_upsert": "SELECT id, CAST(length(name) AS BIGINT) AS letters, coalesce(name = upper(name), false) OR year(updated_at) = 2030 AS changed FROM districts",
+        "kinds_by_like": "SELECT CASE WHEN lower(trim(file_name)) LIKE '%.pdf' THEN 'pdf' WHEN lower(trim(file_name)) LIKE '%.tif%' THEN 'scan' WHEN lower(trim(file_name)) LIKE 'rendition%' THEN 'rendition' ELSE 'other' END AS kind, count(*) AS rows FROM review_queue GROUP BY 1",
+        "union_of_schedules": "SELECT CAST(0 AS BIGINT) AS source, count(o_totalprice) AS prices, CAST(0 AS BIGINT) AS quantities, count(*) AS rows FROM orders UNION ALL SELECT 1, 0, count(l_quantity), count(*) FROM lineitem",
+        "confidence_labels": "SELECT district_id, round(coalesce(avg(agent_confidence), 0.0), 3) AS confidence, CASE WHEN round(coalesce(avg(agent_confidence), 0.0), 3) >= 0.8 THEN 'high' WHEN round(coalesce(avg(agent_confidence), 0.0), 3) >= 0.55 THEN 'medium' ELSE 'low' END AS label FROM sample_rendition_summary GROUP BY 1",
+        "page_one_flags": _flags_sql(),
         "file_stems": r"SELECT queue_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(coalesce(file_name, ''), '/+$', ''), '([^/]*)$', 1), '(.)\.[^.]*$', '\1'), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'rendition') AS stem, upper(regexp_replace(coalesce(account_number, ''), '[^A-Za-z0-9]', '', 'g')) AS account FROM review_queue",
         "schedule_sections": r"SELECT doc_id, CAST(i AS BIGINT) AS pos, upper(h[i]) AS letter, CAST(len(string_split(b, chr(10))) AS BIGINT) AS lines, md5(b) AS body_md5 FROM (SELECT doc_id, h, i, regexp_replace(g[i + 1], '^\s*|\s+$', '', 'g') AS b FROM (SELECT doc_id, h, g, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?i)\bSCHEDULE\s+([A-F])\b', 1) AS h, string_split_regex(text, '(?i)\bSCHEDULE\s+[A-F]\b') AS g FROM documents WHERE text IS NOT NULL)))",
         "last_sections": r"SELECT doc_id, upper(h[i]) AS letter, CAST(max(i) AS BIGINT) AS pos FROM (SELECT doc_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?i)\bSCHEDULE\s+([A-F])\b', 1) AS h FROM documents WHERE text IS NOT NULL)) GROUP BY 1, 2",

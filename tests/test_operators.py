@@ -159,3 +159,54 @@ def test_money_tokens_leave_out_runs_with_years(spark):
 def test_carried_and_set_functions_on_empty_tables(spark):
     empty = spark.createDataFrame([], "id INT, t STRING")
     assert sequence.sections(empty, "id", "t").count() == 0 and scoring.classify(empty, F.col("t")).count() == 0
+
+
+def test_hot_keys_are_carried_across_parts(spark):
+    import random
+
+    random.seed(21)
+    rows = [(1 if random.random() < 0.8 else random.randint(2, 5), n, random.choice(["a", "b", "unknown", "unknown", "unknown", "unknown"]), float(n + random.choice([0, 0, 0, 40]) * n % 977)) for n in range(3000)]
+    df = spark.createDataFrame(rows, "k INT, n INT, kind STRING, at DOUBLE").repartition(7)
+    fill = F.col("kind") == "unknown"
+    for hot in (200, 10**9):
+        carried = sequence.carry_forward(df, "k", ["n"], "kind", fill, "a", "out", hot)
+        cut = sequence.gap_segments(df, "k", ["n"], F.col("at"), 30.0, "segment", hot)
+        assert set(carried.columns) == {*df.columns, "out"} and set(cut.columns) == {*df.columns, "segment"}
+        got, segments = values(carried, "k", "n", "out"), values(cut, "k", "n", "segment")
+        if hot == 200:
+            first = (got, segments)
+    assert first == (got, segments) and len(got) == 3000
+
+
+def test_lookups_with_defaults_and_guardrails(spark):
+    df = spark.createDataFrame([("a", 1), ("x", 2), (None, 3)], "c STRING, v INT")
+    assert values(match.mapped(df, "c", {"a": 5, "other": 9}, "life", "other", "odd"), "v", "life", "odd") == [(1, 5, False), (2, 9, True), (3, 9, True)]
+    items = spark.createDataFrame([("k", "5"), ("k", "5.0"), ("k", "6"), ("k", None), ("z", "5"), (None, "5")], "k STRING, v STRING")
+    found = spark.createDataFrame([("k", "5"), ("k", "nine"), ("k", None)], "k STRING, c STRING")
+    assert values(match.allowed(items, found, "k", "v", "c"), "k", "v", "rejected") == sorted([("k", "5", False), ("k", "5.0", False), ("k", None, True), ("k", None, False), ("z", None, True), (None, None, True)], key=str)
+    people = spark.createDataFrame([("u1", "A@x"), ("u2", " b@X "), ("u3", "none")], "p STRING, e STRING")
+    members = spark.createDataFrame([(1, "u1", "z@x"), (2, None, "B@x"), (3, None, "a@x")], "m INT, p STRING, e STRING")
+    assert values(match.resolve_members(people, members, "m", "p", "e"), "p", "m", "backfill") == [("u1", 1, False), ("u2", 2, True), ("u3", None, False)]
+
+
+def test_unions_stamps_links_and_backfills(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k INT, v STRING"), spark.createDataFrame([(2, 0.5)], "k INT, w DOUBLE")
+    assert values(reconcile.union_all([a, b], "s"), "k", "v", "w", "s") == [(1, "x", None, 0), (2, None, 0.5, 1)]
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 1)], "k INT, v STRING, at INT")
+    news = spark.createDataFrame([(2, "b", None), (3, "d", None), (4, "e", None)], "k INT, v STRING, at INT")
+    assert values(change.upsert_stamped(base, news, "k", "at", F.lit(9)), "k", "v", "at") == [(1, "a", 1), (2, "b", 1), (3, "d", 9), (4, "e", 9)]
+    members = spark.createDataFrame([("a@x", "d1")], "mail STRING, district STRING")
+    added, refused = change.link(members, spark.createDataFrame([("A@x", "d1"), ("A@x ", "d2"), ("new@x", "d3"), ("New@x", "d2")], "mail STRING, district STRING"), "mail", "district")
+    assert values(added, "mail", "district") == [("a@x", "d1"), ("new@x", "d2")] and values(refused, "mail", "district") == sorted([("A@x ", "d2"), ("new@x", "d3")], key=str)
+    known = spark.createDataFrame([("s", "i1")], "slug STRING, id STRING")
+    filled = change.backfilled({"t": spark.createDataFrame([("s", None), ("u", None)], "slug STRING, id STRING"), "other": a}, known, "slug", "id")
+    assert values(filled["t"], "slug", "id") == [("s", "i1"), ("u", None)] and filled["other"] is a
+    assert change.readable(spark, ["/no/such/table"]) == {"/no/such/table": False}
+
+
+def test_flags_of_a_form_page(spark):
+    page = "SEE ATTACHED list\\nSecton 3 X By checking this box I state\\nSECTION 4\\nSection 5: ☑ Under $20,000  $20,000 or more ✓ more than $125,000 SECTION 6 date, sign"
+    flags = one(spark, text.form_flags(F.lit(page.replace("Secton", "Sectton"))))
+    assert {n for n, v in flags.asDict().items() if v} == {"see_attached", "section_3_present", "section_5_present", "section_5_over_20k_detected", "section_5_125k_language_detected", "section_3_prior_year_checked", "section_5_under_20k_checked", "section_5_more_than_125k_checked", "signature_block_detected"}
+    assert not any(one(spark, text.form_flags(F.lit(None).cast("string"))).asDict().values())
+    assert one(spark, text.by_like(F.lit(" Form.PDF "), [("%.pdf", 1)], 0)) == 1
