@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,12 +49,15 @@ def encoder(path: str):
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens) of the whole text of every document."""
+    """(doc_id, tokens) of the whole text of every document; the vocabulary file is sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     made: list = []  # once a task
 
     def run(columns: list[list]) -> list[list]:
         if not made:
-            made.append(encoder(path))
+            sent = SparkFiles.get(name)
+            made.append(encoder(sent if os.path.exists(sent) else path))
         count = made[0].encode_ordinary
         return [columns[0], [len(count(text)) if text else 0 for text in columns[1]]]
 

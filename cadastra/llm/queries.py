@@ -27,9 +27,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every owner name with its group."""
+    """Every owner name with its group, a representative and the number of spellings."""
     tables = [table(spark, sf_dir, name) for name in ("review_queue", "sample_rendition_summary")]
-    return owners.owner_groups(owners.all_names(tables))
+    return owners.represented(checkpointed(owners.owner_groups(owners.all_names(tables))))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,11 +279,12 @@ def fit(samples: DataFrame) -> Grader | None:
 
 
 def graded(documents: DataFrame, grader: Grader | None) -> DataFrame:
-    """(doc_id, band, prediction) of the English ``documents``."""
+    """(doc_id, band, prediction) of the English ``documents``; the fitted grader is broadcast."""
+    sent = documents.sparkSession.sparkContext.broadcast(grader)
 
     def run(columns: list[list]) -> list[list]:
         ids, texts = columns
-        found = [(i, *g) for i, g in zip(ids, grader.grade(texts), strict=True) if g] if grader else []
+        found = [(i, *g) for i, g in zip(ids, sent.value.grade(texts), strict=True) if g] if sent.value else []
         return [list(c) for c in zip(*found, strict=True)] if found else [[], [], []]
 
     return flat_map(documents.select("doc_id", "text"), run, "doc_id BIGINT, band INT, prediction DOUBLE")
