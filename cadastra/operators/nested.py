@@ -17,6 +17,7 @@ beside a list of rows, and members of a schedule beside its rows, are no part of
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -311,3 +312,19 @@ def dewey_nodes(df: DataFrame, record_id: str, field: str) -> DataFrame:
 
     chosen = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(field).cast("string").alias("text"))
     return flat_map(chosen, run, "record_id BIGINT, dewey STRING, parent_dewey STRING, schema_path STRING, value STRING")
+
+
+def schema_paths(df: DataFrame, field: str) -> DataFrame:
+    """(schema_path, nodes, scalars, linked) of ``field``: its nodes, those with a value and those with a parent, summed in each batch first."""
+
+    def run(columns: list[list]) -> list[list]:
+        nodes: Counter = Counter()
+        scalars: Counter = Counter()
+        for text in columns[0]:
+            for _, path, node in dewey(parse(text)):
+                nodes[path] += 1
+                scalars[path] += not isinstance(node, (dict, list))
+        return [[shown(p) for p in nodes], list(nodes.values()), [scalars[p] for p in nodes], [n if p else 0 for p, n in nodes.items()]]
+
+    counted = flat_map(df.select(F.col(field).cast("string").alias("text")), run, "schema_path STRING, nodes BIGINT, scalars BIGINT, linked BIGINT")
+    return counted.groupBy("schema_path").agg(*[F.sum(c).alias(c) for c in ("nodes", "scalars", "linked")])

@@ -51,8 +51,8 @@ def p3_money_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_schema_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, records and scalars of every schema path of the three fields."""
     fields = (("rendition_result", "result_id", "form_flags"), ("rendition_result", "result_id", "schedule_e"), ("valuation_result", "valuation_id", "line_items"))
-    nodes = reduce(DataFrame.unionByName, [nested.dewey_nodes(table(spark, sf_dir, name), row_id, field).withColumn("field_name", F.lit(field)) for name, row_id, field in fields])
-    return nodes.groupBy("field_name", "schema_path").agg(F.count("*").alias("nodes"), F.count("value").alias("scalars"), F.count("parent_dewey").alias("linked"))
+    counted = [nested.schema_paths(table(spark, sf_dir, name), field).withColumn("field_name", F.lit(field)) for name, _, field in fields]
+    return reduce(DataFrame.unionByName, counted).select("field_name", "schema_path", "nodes", "scalars", "linked")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cadastra.operators import nested
 
@@ -125,3 +126,9 @@ def test_wrapped_rows_and_wrapped_children():
 def test_numbers_keep_their_digits(spark):
     df = spark.createDataFrame([(1, '{"a": 9007199254740993, "b": 2021, "c": 1.50}')], "id BIGINT, line_items STRING")
     assert {r["schema_path"]: r["value"] for r in nested.dewey_nodes(df, "id", "line_items").collect()} == {"$": None, ".a": "9007199254740993", ".b": "2021", ".c": "1.50"}
+
+
+def test_schema_paths_count_the_nodes(spark):
+    df = spark.createDataFrame([(1, json.dumps([ROW, ROW])), (2, "{"), (3, None), (4, json.dumps(ROW))], "id BIGINT, line_items STRING")
+    nodes = nested.dewey_nodes(df, "id", "line_items").groupBy("schema_path").agg(F.count("*").alias("nodes"), F.count("value").alias("scalars"), F.count("parent_dewey").alias("linked"))
+    assert sorted(map(tuple, nested.schema_paths(df, "line_items").collect())) == sorted(map(tuple, nodes.collect())) != []
