@@ -153,12 +153,23 @@ def distance(a: list[str], b: list[str]) -> int:
     while high < least - low and a[-1 - high] == b[-1 - high]:
         high += 1
     a, b = a[low : len(a) - high], b[low : len(b) - high]
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    if not a or not b:
+        return len(a) + len(b)
+    # a column of the table at a time, its differences as bits
+    at: dict[str, int] = {}
+    for i, token in enumerate(a):
+        at[token] = at.get(token, 0) | 1 << i
+    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = mask, 0, len(a)
+    for token in b:
+        equal = at.get(token, 0)
+        vertical = equal | down
+        equal = (((equal & up) + up) ^ up) | equal
+        plus, minus = down | ~(equal | up), up & equal
+        score += 1 if plus & top else -1 if minus & top else 0
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(vertical | plus)) & mask, plus & vertical & mask
+    return score
 
 
 def words(value: str) -> list[str]:
@@ -373,8 +384,8 @@ def survivors(queue: DataFrame, trust: DataFrame) -> DataFrame:
 
 
 def field_tokens(value: str) -> list[str]:
-    """Words, single digits and marks: so a status is compared by words, an account or a time by digits."""
-    return re.findall(r"[^\W\d]+|\d|[^\w\s]", value.lower())
+    """Words, numbers of up to four digits, the single digits of longer ones, and marks of unreadable ones."""
+    return re.findall(r"[^\W\d]+|(?<!\d)\d{1,4}(?!\d)|\d|[*?]", value.lower())
 
 
 FIELDS = ("account_number", "processed_at", "status")

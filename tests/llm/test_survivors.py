@@ -128,3 +128,15 @@ def test_a_majority_needs_no_alignment():
         values = [([random.choice("abc") for _ in range(random.randint(1, 7))], float(random.randint(1, 3))) for _ in range(random.randint(1, 4))]
         values.append(([random.choice("abc") for _ in range(random.randint(1, 7))], sum(w for _, w in values) + 1))
         assert survivors.voted_tokens(values) == survivors.vote(survivors.profile_of(values)) == values[-1][0]
+
+
+def test_distance_equals_the_whole_table():
+    random.seed(3)
+    for _ in range(400):
+        a, b = ([random.choice("abcd") for _ in range(random.randint(0, 9))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert survivors.distance(a, b) == row[-1]
