@@ -315,12 +315,12 @@ def status_key(status: Column) -> Column:
 MOST_WHOLE = 80
 
 
-def renditions(queue: DataFrame, trust: DataFrame) -> DataFrame:
-    """Every row of the queue with its ``rendition`` and the parsed fields the choice needs.
+def renditions(queue: DataFrame, trust: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of the queue with its ``rendition``, the parsed fields the choice needs, and the ``carried`` ones as ``raw_`` columns.
 
     ``trust`` is the fixed table of statuses (one row per status), so it is broadcast.
     """
-    rows = queue.select("queue_id", "account_number", "tax_year", file_stem(F.col("file_name")).alias("stem"), read_time(F.col("processed_at")).alias("at"), status_key(F.col("status")).alias("status_key"))
+    rows = queue.select("queue_id", "account_number", "tax_year", file_stem(F.col("file_name")).alias("stem"), read_time(F.col("processed_at")).alias("at"), status_key(F.col("status")).alias("status_key"), *[F.col(c).alias(f"raw_{c}") for c in carried])
     digits = account_digits(F.col("account_number"))
     rows = rows.select(
         "queue_id",
@@ -330,6 +330,7 @@ def renditions(queue: DataFrame, trust: DataFrame) -> DataFrame:
         "at",
         F.when(digits.isNull() & F.col("account_number").rlike(r"\d"), F.regexp_replace("account_number", r"(?i)acct|[^A-Za-z0-9*?]", "")).alias("shown"),
         "status_key",
+        *[f"raw_{c}" for c in carried],
     )
     ranks = trust.groupBy(status_key(F.col("status")).alias("status_key")).agg(F.max("trust").alias("trust"))
     rows = checkpointed(rows.join(F.broadcast(ranks), "status_key", "left").drop("status_key"))  # parsed once, read by four branches
@@ -361,7 +362,8 @@ def renditions(queue: DataFrame, trust: DataFrame) -> DataFrame:
     return closed.unionByName(rest)
 
 
-def _best_rows(rows: DataFrame) -> DataFrame:
+def _best_rows(rows: DataFrame, of_best: tuple[str, ...] = (), of_shown: tuple[str, ...] = ()) -> DataFrame:
+    """(rendition, group_id, survivor_id, account_from) of each rendition with at least two rows, and carried fields of the two rows."""
     oldest = F.coalesce(F.unix_micros("at"), F.lit(-(2**62)))
     first = (-F.col("queue_id")).alias("first")
     shows = F.col("digits").isNotNull() & (F.substring_index("rendition", "|", 1) == F.col("digits"))
@@ -370,11 +372,11 @@ def _best_rows(rows: DataFrame) -> DataFrame:
         .agg(
             F.min("queue_id").alias("group_id"),
             F.count("*").alias("n"),
-            F.max(F.struct(F.coalesce("trust", F.lit(-1)).alias("trust"), oldest.alias("at"), first)).alias("best"),
-            F.max(F.when(shows, F.struct(oldest.alias("at"), first))).alias("shown"),
+            F.max(F.struct(F.coalesce("trust", F.lit(-1)).alias("trust"), oldest.alias("at"), first, *[f"raw_{c}" for c in of_best])).alias("best"),
+            F.max(F.when(shows, F.struct(oldest.alias("at"), first, *[f"raw_{c}" for c in of_shown]))).alias("shown"),
         )
         .where("n >= 2")
-        .select("rendition", "group_id", (-F.col("best.first")).alias("survivor_id"), (-F.col("shown.first")).alias("account_from"))
+        .select("rendition", "group_id", (-F.col("best.first")).alias("survivor_id"), (-F.col("shown.first")).alias("account_from"), *[F.col(f"best.raw_{c}").alias(c) for c in of_best], *[F.col(f"shown.raw_{c}").alias(c) for c in of_shown])
     )
 
 
@@ -398,15 +400,10 @@ def representatives(queue: DataFrame, trust: DataFrame) -> DataFrame:
     the values of the group that lie closest to what all its rows vote, token by token; they show where the best row
     stands apart from the others. NULL where no row has a value.
     """
-    rows = renditions(queue, trust).select("queue_id", "rendition", "digits", "at", "trust")
-    rows = checkpointed(rows.join(queue.select("queue_id", *FIELDS), "queue_id"))
-    found = _best_rows(rows)
-    members = rows.join(found.select("rendition"), "rendition", "left_semi")
-    ballots = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{f}|"), "rendition").alias("ballot"), F.col(f).alias("value")) for f in FIELDS])).alias("b")
-    voted = consensus(members.select(ballots).select("b.*"), "ballot", "value", field_tokens)
+    rows = checkpointed(renditions(queue, trust, FIELDS).select("queue_id", "rendition", "digits", "at", "trust", *[f"raw_{f}" for f in FIELDS]))
+    found = _best_rows(rows, ("processed_at", "status"), ("account_number",))
+    ballots = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{f}|"), "rendition").alias("ballot"), F.col(f"raw_{f}").alias("value")) for f in FIELDS])).alias("b")
+    voted = consensus(rows.select(ballots).select("b.*"), "ballot", "value", field_tokens)
     of = lambda f: F.max(F.when(F.startswith("ballot", F.lit(f"{f}|")), F.col("value"))).alias(f"{f}_closest")
     closest = voted.groupBy(F.regexp_replace("ballot", r"^[a-z_]+\|", "").alias("rendition")).agg(*[of(f) for f in FIELDS])
-    best = rows.select(F.col("queue_id").alias("survivor_id"), "processed_at", "status")
-    shown = rows.select(F.col("queue_id").alias("account_from"), "account_number")
-    whole = found.join(best, "survivor_id").join(shown, "account_from", "left").join(closest, "rendition", "left")
-    return whole.select("group_id", "survivor_id", *FIELDS, *[f"{f}_closest" for f in FIELDS])
+    return found.join(closest, "rendition", "left").select("group_id", "survivor_id", *FIELDS, *[f"{f}_closest" for f in FIELDS])
