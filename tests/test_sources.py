@@ -169,6 +169,15 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in out.collect()) == [(0, "v4"), (1, "v5"), (9, "old")]
 
 
+def test_providers_of_words(spark):
+    def boxes(path, content):
+        return [(1, [{"text": t, "x0": float(i), "x1": i + 0.5, "top": 2.0} for i, t in enumerate(content.decode().split())]), (2, [])]
+
+    files = spark.createDataFrame([("a", bytearray(b"kiln vat"))], "path STRING, content BINARY")
+    got = providers.read_words(files, {"boxes": boxes, "pdf": providers.pdf_words}).orderBy("provider", "page_number").collect()
+    assert [(r["provider"], r["page_number"], [w["text"] for w in r["words"] or []]) for r in got] == [("boxes", 1, ["kiln", "vat"]), ("boxes", 2, []), ("pdf", None, [])] and got[2]["error"]
+
+
 def test_stream_goes_on_from_its_last_version(spark, tmp_path):
     schema = "k INT, at INT, v STRING"
     ingest = lambda: queue.ingest_latest(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, "k", "at", str(tmp_path / "out"), str(tmp_path / "state"), buckets=4, files=1)
