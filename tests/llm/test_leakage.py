@@ -100,3 +100,19 @@ def test_unrelated_documents_and_blocks_of_items_change_nothing(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, frame, block_items=2).collect()) == before
     taken_out = leakage.common_clauses(docs, frame).collect()
     assert {r["item_id"] for r in taken_out} == {7} and all(r["letters"] in leakage.letters(ALONE) and r["in_texts"] == 61 for r in taken_out)
+
+
+def test_ruling_out_loses_no_match():
+    """Clauses with random edits in random texts: every one within its budget is taken, and no other."""
+    rng = random.Random(17)
+    letters_ = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    rows = [(i, 0, letters_(rng.randint(16, 60)), 8, 0) for i in range(60)]
+    matcher = leakage.Matcher(rows)
+    for n, (_, _, clause, _, _) in enumerate(rows):
+        for _ in range(12):
+            copy = clause
+            for _ in range(rng.randint(0, leakage.budget(clause) + 1)):
+                at = rng.randrange(len(copy))
+                copy = rng.choice([copy[:at] + copy[at + 1 :], copy[:at] + "z" + copy[at:], copy[:at] + "z" + copy[at + 1 :]])
+            text = letters_(rng.randint(0, 40)) + copy + letters_(rng.randint(0, 40))
+            assert (n in matcher._hit(text)) == (leakage.myers(clause, text, 99) <= leakage.budget(clause)), (clause, text)
