@@ -46,7 +46,12 @@ def _mended(text: Column, repairs: dict[str, str]) -> Column:
 
 def mended_lower(text: Column) -> Column:
     """A text on one line in lower case, usual misreadings mended; offsets may differ from those of the text."""
-    return _mended(F.lower(collapse(text)), LOWER_REPAIRS)
+    return mended_line(collapse(text))
+
+
+def mended_line(line: Column) -> Column:
+    """``mended_lower`` of a text that is on one line already."""
+    return _mended(F.lower(line), LOWER_REPAIRS)
 
 
 def mended_upper(text: Column) -> Column:

@@ -79,9 +79,10 @@ def _candidate(field: str, value: Column, raw: Column, rule: Column, confidence:
     return F.struct(*[c.alias(n) for n, c in parts.items()]).cast(CANDIDATE)
 
 
-def _found(page: Column, field: str, base: float, reach: int) -> Column:
+def _found(field: str, base: float, reach: int) -> Column:
+    page, mended, money, years = (F.col(c) for c in labels.MEASURES)
     year = field == "acquisition_year"
-    best = labels.best_year(page, ALIASES[field], base, after=reach) if year else labels.best_amount(page, ALIASES[field], base, after=reach)
+    best = labels.best_year(mended, years, ALIASES[field], base, after=reach) if year else labels.best_amount(mended, money, ALIASES[field], base, after=reach)
 
     def row(b: Column) -> Column:
         raw = b["value"].cast("string") if year else b["raw"]
@@ -90,14 +91,14 @@ def _found(page: Column, field: str, base: float, reach: int) -> Column:
     return texts.let(best, row)
 
 
-def _of_kind(kind: str, page: Column) -> Column:
-    low = F.lower(page)
-    found = [F.when(_holds(low, words), _found(page, field, base, reach)) for field, base, reach, words in LOOKED_FOR[kind]]
+def _of_kind(kind: str) -> Column:
+    page, low = F.col("_page"), F.col("_low")
+    found = [F.when(_holds(low, words), _found(field, base, reach)) for field, base, reach, words in LOOKED_FOR[kind]]
     if kind == "attachment":
         life = F.nullif(F.regexp_extract(page, LIFE, 1), F.lit("")).cast("int")
         found.append(F.when(life.between(1, MOST_LIFE), _candidate("life_years", life, life.cast("string"), F.lit("first_number"), F.lit(LIFE_CONFIDENCE), F.lit(None))))
     if kind == "schedule":
-        largest = F.array_max(F.transform(texts.money_spans(page), lambda m: m["value"]))
+        largest = F.array_max(F.transform("_money", lambda m: m["value"]))
         fits = _holds(low, TABLE_WORDS) & ~_holds(low, DETAIL_WORDS) & largest.isNotNull()
         instead = F.when(fits, _candidate("attachment_total", largest, largest.cast("string"), F.lit("largest_plausible_schedule_amount"), F.lit(LARGEST_CONFIDENCE), F.substring(page, 1, 250)))
         found[0] = F.coalesce(found[0], instead)
@@ -107,11 +108,12 @@ def _of_kind(kind: str, page: Column) -> Column:
 def page_candidates(pages: DataFrame, key: list[str], page: str, text: str, words: str | None = None) -> DataFrame:
     """(key, page, page_type, seq, field, value, raw, rule, confidence, evidence) of the fields that each kind of page is read for.
 
-    ``pages`` has ``page_type``; with ``words`` the boxes' texts follow the page's own.
+    ``pages`` has ``page_type``; with ``words`` the boxes' texts follow the page's own. Pages of kinds that hold no field are not read.
     """
     shown = F.array_join(F.transform(words, lambda w: F.coalesce(w["text"], F.lit(""))), " ") if words else F.lit("")
-    read = pages.withColumn("_text", texts.collapse(F.concat_ws(" ", F.coalesce(F.col(text), F.lit("")), shown)))
-    by_kind = F.coalesce(*[F.when(F.col("page_type") == kind, _of_kind(kind, F.col("_text"))) for kind in LOOKED_FOR])
+    whole = texts.collapse(F.concat_ws(" ", F.coalesce(F.col(text), F.lit("")), shown))
+    read = labels.measured(pages.where(F.col("page_type").isin(*LOOKED_FOR)).select(*key, page, "page_type", whole.alias("_whole")), F.col("_whole")).withColumn("_low", F.lower("_page"))
+    by_kind = F.coalesce(*[F.when(F.col("page_type") == kind, _of_kind(kind)) for kind in LOOKED_FOR])
     exploded = read.select(*key, page, "page_type", F.posexplode(by_kind).alias("seq", "c"))
     return exploded.select(*key, page, "page_type", F.col("seq").cast("bigint").alias("seq"), "c.*")
 

@@ -39,51 +39,52 @@ def _closeness(distance: Column, after: int, most: float) -> Column:
     return F.greatest(F.lit(0.0), (after - F.abs(distance)) / after) * most
 
 
-def best_amount(text: Column, labels: list[str], base: float, before: int = BEFORE_MONEY, after: int = AFTER_MONEY) -> Column:
-    """The amount that best fits any of the labels: (score, value, raw, label, start, end, confidence), NULL if none is in the band.
+def measured(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with what all fields of a page are looked for in: ``_page`` its text, ``_mended``, ``_money`` and ``_years`` the spans in it."""
+    staged = df.withColumn("_page", F.coalesce(text, F.lit("")))
+    return staged.withColumns({"_mended": texts.mended_lower(F.col("_page")), "_money": texts.money_spans(F.col("_page")), "_years": texts.year_spans(F.col("_page"))})
 
-    Ties in score go to the larger amount, then to the label listed first, then to the amount that stands first.
-    """
 
-    def scored(page: Column) -> Column:
-        mended = page["mended"]
+MEASURES = ("_page", "_mended", "_money", "_years")
 
-        def pair(h: Column, m: Column) -> Column:
-            low = F.greatest(h["at"] - AROUND, F.lit(0))
-            return F.struct(h.alias("h"), m.alias("m"), F.substring(mended, low + 1, m["end"] + AROUND - low).alias("around"))
 
-        def score(p: Column) -> Column:
-            words = p["around"]
-            plus = F.when(F.contains(words, F.lit(TOTAL_WORD)), TOTAL_ADDS).otherwise(0.0)
-            minus = F.when(_any_of(words, NOISE), NOISE_TAKES).otherwise(0.0) + F.when(_any_of(words, LIMIT_WORDS), LIMIT_TAKES).otherwise(0.0)
-            s = F.lit(base) + _closeness(p["m"]["start"] - p["h"]["at"], after, CLOSE_MONEY) + plus - minus
-            return F.struct(
-                s.alias("score"), p["m"]["value"].alias("value"), p["h"]["first"].alias("first"), (-p["m"]["start"]).alias("place"),
-                p["m"]["raw"].alias("raw"), p["h"]["label"].alias("label"), p["m"]["start"].alias("start"), p["m"]["end"].alias("end"),
-            )
+def best_amount(mended: Column, money: Column, labels: list[str], base: float, before: int = BEFORE_MONEY, after: int = AFTER_MONEY) -> Column:
+    """The amount that best fits any of the labels: (score, value, raw, label, start, end, confidence), NULL if none is in the band.
 
-        near = F.flatten(F.transform(page["hits"], lambda h: F.transform(F.filter(page["money"], lambda m: (m["start"] - h["at"]).between(-before, after)), lambda m: pair(h, m))))
-        return F.array_max(F.transform(F.filter(near, lambda p: ~(texts.form_limit(p["m"]["value"]) & _any_of(p["around"], DROP_WORDS))), score))
+    Ties in score go to the larger amount, then to the label listed first, then to the amount that stands first.
+    """
+
+    def pair(h: Column, m: Column) -> Column:
+        low = F.greatest(h["at"] - AROUND, F.lit(0))
+        return F.struct(h.alias("h"), m.alias("m"), F.substring(mended, low + 1, m["end"] + AROUND - low).alias("around"))
+
+    def score(p: Column) -> Column:
+        words = p["around"]
+        plus = F.when(F.contains(words, F.lit(TOTAL_WORD)), TOTAL_ADDS).otherwise(0.0)
+        minus = F.when(_any_of(words, NOISE), NOISE_TAKES).otherwise(0.0) + F.when(_any_of(words, LIMIT_WORDS), LIMIT_TAKES).otherwise(0.0)
+        s = F.lit(base) + _closeness(p["m"]["start"] - p["h"]["at"], after, CLOSE_MONEY) + plus - minus
+        return F.struct(
+            s.alias("score"), p["m"]["value"].alias("value"), p["h"]["first"].alias("first"), (-p["m"]["start"]).alias("place"),
+            p["m"]["raw"].alias("raw"), p["h"]["label"].alias("label"), p["m"]["start"].alias("start"), p["m"]["end"].alias("end"),
+        )
 
-    page = texts.let(texts.mended_lower(text), lambda t: F.struct(t.alias("mended"), label_places(t, labels).alias("hits"), texts.money_spans(text).alias("money")))
-    return texts.let(texts.let(page, scored), lambda b: b.withField("confidence", F.round(F.least(b["score"], F.lit(MOST_MONEY_CONFIDENCE)), 3)))
+    near = F.flatten(F.transform(label_places(mended, labels), lambda h: F.transform(F.filter(money, lambda m: (m["start"] - h["at"]).between(-before, after)), lambda m: pair(h, m))))
+    best = F.array_max(F.transform(F.filter(near, lambda p: ~(texts.form_limit(p["m"]["value"]) & _any_of(p["around"], DROP_WORDS))), score))
+    return texts.let(best, lambda b: b.withField("confidence", F.round(F.least(b["score"], F.lit(MOST_MONEY_CONFIDENCE)), 3)))
 
 
-def best_year(text: Column, labels: list[str], base: float, before: int = BEFORE_YEAR, after: int = AFTER_YEAR) -> Column:
+def best_year(mended: Column, years: Column, labels: list[str], base: float, before: int = BEFORE_YEAR, after: int = AFTER_YEAR) -> Column:
     """The year nearest to any of the labels: (score, value, label, start, end, confidence), NULL if none is in the band.
 
     Ties go to the label listed first, then to the year that stands first.
     """
 
-    def scored(page: Column) -> Column:
-        def score(h: Column, y: Column) -> Column:
-            s = F.lit(base) + _closeness(y["start"] - h["at"], after, CLOSE_YEAR)
-            return F.struct(s.alias("score"), h["first"].alias("first"), (-y["start"]).alias("place"), y["value"].alias("value"), h["label"].alias("label"), y["start"].alias("start"), y["end"].alias("end"))
-
-        return F.array_max(F.flatten(F.transform(page["hits"], lambda h: F.transform(F.filter(page["years"], lambda y: (y["start"] - h["at"]).between(-before, after)), lambda y: score(h, y)))))
+    def score(h: Column, y: Column) -> Column:
+        s = F.lit(base) + _closeness(y["start"] - h["at"], after, CLOSE_YEAR)
+        return F.struct(s.alias("score"), h["first"].alias("first"), (-y["start"]).alias("place"), y["value"].alias("value"), h["label"].alias("label"), y["start"].alias("start"), y["end"].alias("end"))
 
-    page = F.struct(label_places(texts.mended_lower(text), labels).alias("hits"), texts.year_spans(text).alias("years"))
-    return texts.let(texts.let(page, scored), lambda b: b.withField("confidence", F.round(F.least(b["score"], F.lit(MOST_YEAR_CONFIDENCE)), 3)))
+    near = F.flatten(F.transform(label_places(mended, labels), lambda h: F.transform(F.filter(years, lambda y: (y["start"] - h["at"]).between(-before, after)), lambda y: score(h, y))))
+    return texts.let(F.array_max(near), lambda b: b.withField("confidence", F.round(F.least(b["score"], F.lit(MOST_YEAR_CONFIDENCE)), 3)))
 
 
 def candidates(df: DataFrame, key: list[str], text: str, amounts: dict[str, tuple[list[str], float]], years: dict[str, tuple[list[str], float]] | None = None) -> DataFrame:
@@ -92,10 +93,11 @@ def candidates(df: DataFrame, key: list[str], text: str, amounts: dict[str, tupl
     ``amounts`` and ``years`` give each field's labels and base confidence. Pages without a candidate give no row; NULL texts
     have none.
     """
-    page = F.coalesce(F.col(text), F.lit(""))
-    found = [texts.let(best_amount(page, labels, base), _row(field, page, True)) for field, (labels, base) in amounts.items()]
-    found += [texts.let(best_year(page, labels, base), _row(field, page, False)) for field, (labels, base) in (years or {}).items()]
-    return df.select(*key, F.explode(F.array_compact(F.array(*found))).alias("c")).select(*key, "c.*")
+    page, mended, money, spans = (F.col(c) for c in MEASURES)
+    found = [texts.let(best_amount(mended, money, labels, base), _row(field, page, True)) for field, (labels, base) in amounts.items()]
+    found += [texts.let(best_year(mended, spans, labels, base), _row(field, page, False)) for field, (labels, base) in (years or {}).items()]
+    read = measured(df.select(*key, F.col(text).alias("_text")), F.col("_text"))
+    return read.select(*key, F.explode(F.array_compact(F.array(*found))).alias("c")).select(*key, "c.*")
 
 
 def _row(field: str, page: Column, amount: bool) -> Callable[[Column], Column]:

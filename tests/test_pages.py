@@ -119,7 +119,7 @@ def test_amounts_beside_labels_equal_all_pairs(spark):
     texts = [" ".join(random.choice(bits) for _ in range(random.randint(1, 40))) for _ in range(120)] + ["", "total"]
     wanted = ["historical cost", "market value", "total"]
     df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
-    got = {r["i"]: r["b"] for r in df.select("i", labels.best_amount(F.col("t"), wanted, 0.7).alias("b")).collect()}
+    got = {r["i"]: r["b"] for r in labels.measured(df, F.col("t")).select("i", labels.best_amount(F.col("_mended"), F.col("_money"), wanted, 0.7).alias("b")).collect()}
     for i, page in enumerate(texts):
         best = best_amount(page, wanted, 0.7)
         assert (got[i] is None) == (best is None), page
