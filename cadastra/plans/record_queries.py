@@ -108,5 +108,33 @@ UNION ALL SELECT 'form_flag', record_id, -1, coalesce(name, replace(replace(ltri
 """
 
 
+_LABELS = """,
+every AS (
+  SELECT field, record_id, n.id, n.parent, row_number() OVER (PARTITION BY field, record_id, n.parent ORDER BY n.id) - 1 AS ord
+  FROM whole, json_tree(j) n),
+dewey AS (
+  SELECT field, record_id, id, '' AS label FROM every WHERE parent IS NULL
+  UNION ALL SELECT e.field, e.record_id, e.id, CASE WHEN d.label = '' THEN '' ELSE d.label || '.' END || e.ord FROM dewey d JOIN every e ON e.field = d.field AND e.record_id = d.record_id AND e.parent = d.id)
+"""
+_WRITTEN = "CASE n.type WHEN 'VARCHAR' THEN json_extract_string(n.atom, '$') ELSE CAST(n.atom AS VARCHAR) END"
+
+
+def _with_labels(select: str) -> str:
+    """``select`` over the rows, links and flags of ``_FOUND``, with the Dewey labels of all nodes."""
+    found = _FOUND[: _FOUND.index("SELECT CASE field WHEN 'schedule_e' THEN 'year_row' ELSE")].rstrip()
+    found = found.replace("SELECT m.field, m.record_id, part, r.pos AS parent_pos,", "SELECT m.field, m.record_id, m.id, r.id AS row_id, part, r.pos AS parent_pos,")
+    found = found.replace("SELECT n.record_id, CASE WHEN w.record_id IS NULL", "SELECT n.record_id, n.id, CASE WHEN w.record_id IS NULL")
+    return found.replace("WITH fields", "WITH RECURSIVE fields") + _LABELS + select
+
+
+_LINKED = "linked l JOIN nodes n ON n.field = l.field AND n.record_id = l.record_id AND n.id = l.id JOIN dewey d ON d.field = l.field AND d.record_id = l.record_id AND d.id = l.id JOIN dewey p ON p.field = l.field AND p.record_id = l.record_id AND p.id = l.row_id"
+_ITEM = f"l.record_id, CAST(l.parent_pos AS INTEGER) AS parent_pos, p.label AS parent_dewey, CAST(l.pos AS INTEGER) AS pos, d.label AS dewey, {_WRITTEN} AS value"
+_TABLES = {
+    "p3_flags": f"SELECT f.record_id, d.label AS dewey, coalesce(f.name, replace(replace(ltrim(f.path, '[].'), '[]', ''), '.', '_')) AS flag, {_WRITTEN} AS value FROM flags f JOIN nodes n ON n.field = 'form_flags' AND n.record_id = f.record_id AND n.id = f.id JOIN dewey d ON d.field = 'form_flags' AND d.record_id = f.record_id AND d.id = f.id",
+    "p3_item_flags": f"SELECT {_ITEM} FROM {_LINKED} WHERE l.part = 'flag'",
+    "p3_money_tokens": f"SELECT {_ITEM}, TRY_CAST(regexp_replace({_WRITTEN}, '[$, ]', '', 'g') AS DOUBLE) AS amount, CASE l.field WHEN 'schedule_e' THEN 'year_row_money' ELSE 'line_item_money' END AS child FROM {_LINKED} WHERE l.part = 'money'",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _FOUND, "p3_schema_paths": _PATHS}
+    return {"p3_found": _FOUND, "p3_schema_paths": _PATHS, **{name: _with_labels(select) for name, select in _TABLES.items()}}
