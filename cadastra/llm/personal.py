@@ -45,7 +45,7 @@ OFTEN = 12
 #: A context is a cue if so many phrases stand beside it, led by so many different given names, which lead this share of them.
 CUE_COUNT, CUE_NAMES, CUE_SHARE = 8, 8, 0.6
 ROUNDS = 2
-MOST_TERMS = 200_000
+MOST_TERMS, MOST_CUES = 200_000, 5_000
 
 KINDS = ("email", "street_address", "id_number", "phone", "person_name")
 
@@ -138,7 +138,7 @@ def _words_back(text: str, end: int, words: int) -> int:
 
 
 def phrases(text: str) -> tuple[Counter, Counter]:
-    """Counts of (leading word, ending word, words before, words after, named by a seed) of the phrases of one text, and of towns."""
+    """Counts of (leading word, ending word, contexts, named by a seed) of the phrases of one text, and of towns."""
     terms: Counter = Counter()
     for m in _PHRASE.finditer(text):
         a, b = m.span()
@@ -147,9 +147,9 @@ def phrases(text: str) -> tuple[Counter, Counter]:
         named = bool(_CUED.search(before))
         titled = _TITLE_END.search(before)
         left = " ".join((before[: titled.start()] if titled else before).split()[-2:])
-        right = " ".join(text[b : b + 48].split()[:2]).rstrip(".,;:")
-        glued = b < len(text) and not text[b].isspace()
-        terms[first.lower(), last.lower(), left, right if not glued or text[b] == "," else "", named] += 1
+        glued = b < len(text) and not text[b].isspace() and text[b] != ","
+        right = "" if glued else " ".join(text[b : b + 48].split()[:2]).rstrip(".,;:")
+        terms[first.lower(), last.lower(), _contexts(left, right), named] += 1
     towns: Counter = Counter()
     if _ZIP.search(text):
         for m in _STATE.finditer(text):
@@ -158,10 +158,12 @@ def phrases(text: str) -> tuple[Counter, Counter]:
     return terms, towns
 
 
-def _contexts(left: str, right: str) -> list[tuple[str, str]]:
-    """The contexts of a phrase: one and two words on each side, without numbers, ends of sentences and bare marks."""
-    out = [("left", left), ("left", left.rsplit(" ", 1)[-1]), ("right", right), ("right", right.split(" ", 1)[0])]
-    return list(dict.fromkeys((side, words) for side, words in out if len(words) > 1 and (_LEFT_CUE if side == "left" else _RIGHT_CUE).fullmatch(words)))
+def _contexts(left: str, right: str) -> tuple[str, ...]:
+    """The contexts of a phrase, ``<`` those before and ``>`` those after it: one and two words on each side, without numbers, ends of
+    sentences and bare marks."""
+    before, after = {left, left.rsplit(" ", 1)[-1]}, {right, right.split(" ", 1)[0]}
+    out = [f"<{w}" for w in sorted(before) if len(w) > 1 and _LEFT_CUE.fullmatch(w)]
+    return (*out, *[f">{w}" for w in sorted(after) if len(w) > 1 and _RIGHT_CUE.fullmatch(w)])
 
 
 def disclosure(texts: DataFrame) -> Terms:
@@ -174,38 +176,27 @@ def disclosure(texts: DataFrame) -> Terms:
             t, w = phrases(text)
             terms.update(t)
             towns.update(w)
-        rows = [(*t, n) for t, n in terms.items()] + [(t, None, None, None, None, n) for t, n in towns.items() if t]
-        return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 6
+        rows = [(*t, n) for t, n in terms.items()] + [(t, None, None, None, n) for t, n in towns.items() if t]
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5
 
-    schema = "first STRING, last STRING, left STRING, right STRING, named BOOLEAN, n BIGINT"
+    spark = texts.sparkSession
+    schema = "first STRING, last STRING, contexts ARRAY<STRING>, named BOOLEAN, n BIGINT"
     counted = flat_map(texts.where(F.length("text") > 0).select("text"), count, schema)
-    counted = checkpointed(counted.groupBy("first", "last", "left", "right", "named").agg(F.sum("n").alias("n")))
+    counted = checkpointed(counted.groupBy("first", "last", "contexts", "named").agg(F.sum("n").alias("n")))
     seen = counted.where("last IS NOT NULL")
     towns = {r["first"] for r in _most(counted.where("last IS NULL").groupBy("first").agg(F.sum("n").alias("n")), "first")}
-    context = texts.sparkSession.sparkContext
+    around = seen.select("first", F.explode("contexts").alias("context"), "n").groupBy("first", "context").agg(F.sum("n").alias("n"))
     left: frozenset[str] = frozenset()
     right: frozenset[str] = frozenset()
-    given = _given(seen, FIRST_DISCLOSURE)
+    placed, given = seen, _given(seen, FIRST_DISCLOSURE)
     for _ in range(ROUNDS):
-        known = context.broadcast(given)
-
-        def beside(columns: list[list], known=known) -> list[list]:
-            rows = [(side, words, f if f in known.value else None, n) for f, a, b, n in zip(*columns, strict=True) for side, words in _contexts(a, b)]
-            return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4
-
-        around = flat_map(seen.select("first", "left", "right", "n"), beside, "side STRING, words STRING, given STRING, n BIGINT")
-        met = around.groupBy("side", "words").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("given").isNotNull(), F.col("n")).otherwise(0)).alias("led"), F.count_distinct("given").alias("names"))
-        cues = _most(met.where((F.col("n") >= CUE_COUNT) & (F.col("names") >= CUE_NAMES) & (F.col("led") >= F.col("n") * CUE_SHARE)), "side", "words")
-        left, right = (_needed({r["words"] for r in cues if r["side"] == side}, side == "left") for side in ("left", "right"))
-        cued = context.broadcast((left, right))
-
-        def again(columns: list[list], cued=cued) -> list[list]:
-            out: list[list] = [columns[0], columns[1], [], columns[5]]
-            for a, b, named in zip(*columns[2:5], strict=True):
-                out[2].append(named or any(words in cued.value[side == "right"] for side, words in _contexts(a, b)))
-            return out
-
-        placed = flat_map(seen, again, "first STRING, last STRING, named BOOLEAN, n BIGINT")
+        known = spark.createDataFrame([(g,) for g in sorted(given)], "given STRING")  # at most MOST_TERMS
+        led = around.join(F.broadcast(known), F.col("first") == F.col("given"), "left")
+        met = led.groupBy("context").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("given").isNotNull(), F.col("n")).otherwise(0)).alias("led"), F.count_distinct("given").alias("names"))
+        cues = {r["context"] for r in _most(met.where((F.col("n") >= CUE_COUNT) & (F.col("names") >= CUE_NAMES) & (F.col("led") >= F.col("n") * CUE_SHARE)), "context", most=MOST_CUES)}
+        left, right = (_needed({c[1:] for c in cues if c[0] == side}, side == "<") for side in "<>")
+        cued = F.arrays_overlap("contexts", F.lit([f"<{c}" for c in sorted(left)] + [f">{c}" for c in sorted(right)])) if left or right else F.lit(False)
+        placed = seen.withColumn("named", F.col("named") | cued)
         given = _given(placed, DISCLOSURE)
     ends = placed.groupBy("last").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("named"), F.col("n")).otherwise(0)).alias("named"))
     ordinary = _most(ends.where((F.col("n") >= OFTEN) & (F.col("named") < F.col("n") * FLOOR)), "last")
@@ -217,9 +208,9 @@ def _needed(cues: set[str], left: bool) -> frozenset[str]:
     return frozenset(c for c in cues if " " not in c or (c.rsplit(" ", 1)[1] if left else c.split(" ", 1)[0]) not in cues)
 
 
-def _most(df: DataFrame, *names: str) -> list:
-    """The rows of at least MIN_COUNT, at most MOST_TERMS, the best supported first."""
-    return df.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), *names).limit(MOST_TERMS).collect()
+def _most(df: DataFrame, *names: str, most: int = MOST_TERMS) -> list:
+    """The rows of at least MIN_COUNT, at most ``most``, the best supported first."""
+    return df.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), *names).limit(most).collect()
 
 
 def _given(seen: DataFrame, least: float) -> frozenset[str]:
