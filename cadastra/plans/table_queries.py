@@ -537,9 +537,40 @@ def _places_sql(pattern: str, columns: str) -> str:
     return f"SELECT {columns} FROM (SELECT doc_id, text, m[i] AS hit, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS found_at FROM ({numbered}))"
 
 
-def _flags_sql() -> str:
+def _upper_sql() -> str:
     blank = r"[ \t\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-    mended = f"regexp_replace({_mended_sql("upper(coalesce(text, ''))", text.UPPER_REPAIRS)}, '{blank}+', ' ', 'g')"
+    return f"regexp_replace({_mended_sql("upper(coalesce(text, ''))", text.UPPER_REPAIRS)}, '{blank}+', ' ', 'g')"
+
+
+def _totals_sql() -> str:
+    limits = ", ".join(map(str, text.FORM_LIMITS))
+    kinds = [("se", rows._THOUSANDS, 0), *[("sl", p, 1) for p in rows.SECTION_TOTALS], ("ae", rows._COMMAS + r"\b", 0), *[("al", p, 1) for p in rows.ATTACHMENT_TOTALS]]
+    raws = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(t, '{p}', {group})) AS r FROM d" for kind, p, group in kinds)
+    clues = " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in rows.SUMMARY_CLUES)
+    return (
+        f"WITH d AS (SELECT doc_id, {_upper_sql()} AS t FROM documents), raws AS ({raws}), "
+        r"a AS (SELECT doc_id, kind, translate(regexp_replace(r, '^[($)\s]+|[($)\s]+$', '', 'g'), 'Oo$', '00') AS x FROM raws), "
+        r"b AS (SELECT doc_id, kind, regexp_replace(regexp_replace(x, '(^|\s)[2-9]\s+(\d{2,3},\d{3}(?:\.\d{1,2})?)(\D|$)', '\1\2\3'), '\s+', '', 'g') AS x FROM a), "
+        r"c AS (SELECT doc_id, kind, CASE WHEN contains(x, ',') AND NOT contains(x, '.') AND NOT regexp_full_match(x, '\d{1,3}(,\d{3})+') THEN replace(x, ',', '.') WHEN NOT contains(x, ',') AND length(x) - length(replace(x, '.', '')) > 1 THEN replace(x, '.', '') ELSE replace(x, ',', '') END AS x FROM b), "
+        r"v AS (SELECT doc_id, kind, CASE WHEN regexp_full_match(x, '-?(\d+\.?\d*|\.\d+)') THEN CAST(x AS DOUBLE) END AS v FROM c), "
+        f"s AS (SELECT doc_id, max(v) FILTER (kind = 'sl' AND v NOT IN ({limits})) AS sl, max(v) FILTER (kind = 'se' AND v NOT IN ({limits})) AS se, max(v) FILTER (kind = 'al') AS al, max(v) FILTER (kind = 'ae' AND v NOT IN ({limits})) AS ae, count(DISTINCT v) FILTER (kind = 'al' OR kind = 'ae' AND v NOT IN ({limits})) AS amounts FROM v GROUP BY 1), "
+        f"j AS (SELECT d.doc_id, contains(t, 'SCHEDULE E') AS section, {clues} >= 2 OR al IS NOT NULL AS summary, sl, se, al, ae, coalesce(amounts, 0) AS amounts FROM d LEFT JOIN s ON s.doc_id = d.doc_id) "
+        "SELECT doc_id, section, CASE WHEN section THEN coalesce(sl, se) END AS section_total, summary, CAST(amounts AS BIGINT) AS amounts, coalesce(al, CASE WHEN summary THEN ae END) AS summary_total FROM j"
+    )
+
+
+def _need_sql() -> str:
+    word = r"[\p{L}\p{N}_]"
+    odd = "len(x) >= 4 AND regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]') OR contains(x, '\\') OR contains(x, '€')"
+    terms = " + ".join(f"CAST(contains(m, '{t}') AS INT)" for t in pages.TERMS)
+    gone = lambda cls: f"length(w) - length(regexp_replace(w, '{cls}', '', 'g'))"
+    read = f"SELECT doc_id, CAST(length(regexp_replace(w, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS BIGINT) AS characters, {gone(chr(92) + 'p{L}')} AS letters, CAST({gone(chr(92) + 'p{Nd}')} AS BIGINT) AS digits, len(list_filter(regexp_extract_all(w, '{word}(?:[^{_SPACE[1:]}*{word})?'), lambda x: {odd})) AS odd, CAST({terms} AS BIGINT) AS terms FROM (SELECT doc_id, coalesce(text, '') AS w, coalesce({_mended_sql(f'lower({_COLLAPSED})', text.LOWER_REPAIRS)}, '') AS m FROM documents)"
+    reason = f"CASE WHEN characters < {pages.CHARS_A_PAGE} THEN 'little text' WHEN letters < {pages.LETTERS_A_PAGE} AND digits < {pages.DIGITS_A_PAGE} THEN 'few letters and digits' WHEN odd >= {pages.ODD_TOKENS} THEN 'odd tokens' WHEN terms < {pages.LEAST_TERMS} THEN 'few terms' END"
+    return f"SELECT doc_id, characters, digits, terms, {reason} AS reason FROM ({read})"
+
+
+def _flags_sql() -> str:
+    mended = _upper_sql()
     present = ", ".join(f"{' OR '.join(f"contains(t, '{w}')" for w in words)} AS {name}" for name, words in text.PRESENT_FLAGS.items())
     cut = lambda a, b: f"CASE WHEN contains(f, '{a}') THEN substr(f, strpos(f, '{a}'), CASE WHEN contains(substr(f, strpos(f, '{a}')), '{b}') THEN strpos(substr(f, strpos(f, '{a}')), '{b}') - 1 ELSE length(f) END) ELSE '' END"
     checked = ", ".join(f"regexp_matches({cut(a, b)}, '{text.CHECKED}{p}') AS {name}" for name, (a, b, p) in text.CHECKED_FLAGS.items())
@@ -569,6 +600,8 @@ def oracle_sql() -> dict[str, str]:
         "candidate_lines": f"SELECT doc_id, count(*) FILTER (length(x) >= 4 AND NOT regexp_matches(upper(x), '^SCHEDULE |TOTAL|{'|'.join(text.HEAD_WORDS)}')) AS candidate_lines FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')), '{_SPACE}+', ' ', 'g')) AS x FROM documents) GROUP BY 1",
         "document_metadata": f"SELECT doc_id, {_first_of_sql('t', pages.TAX_YEAR)} AS tax_year, {_first_of_sql('t', pages.OWNER)} AS owner_name, regexp_replace(upper({_first_of_sql('t', pages.ACCOUNT)}), '[^A-Z0-9]', '', 'g') AS account_number, {_first_of_sql('t', pages.SIGNED)} AS signed_date FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
         "document_quality": f"WITH x AS (SELECT doc_id, lower(coalesce({_COLLAPSED}, '')) AS t FROM documents), y AS (SELECT doc_id, t, length(t) AS n, length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) AS letters, list_filter({list(pages.SCHEDULES)}, lambda s: NOT contains(t, 'schedule ' || lower(s))) AS ms, list_filter({list(pages.COLUMNS)}, lambda s: NOT contains(t, s)) AS mc FROM x), z AS (SELECT *, round(CAST(0.35 * least(1.0, n / 700.0) + 0.35 * ((5 - len(ms)) / 5) + 0.2 * ((6 - len(mc)) / 6) + 0.1 * CASE WHEN n > 0 THEN letters / n ELSE 0 END AS DOUBLE), 3) AS score FROM y) SELECT doc_id, score, n > 0 AND score >= 0.55 AND 5 - len(ms) >= 2 AS usable, array_to_string(ms, ',') AS missing_schedules, array_to_string(mc, ',') AS missing_columns, (6 - len(mc)) / 6 < 0.34 AS columns_unreadable FROM z",
+        "reading_need": _need_sql(),
+        "section_totals": _totals_sql(),
         "page_flags": "SELECT district_id, coalesce(sum(length(text)), 0) < 50 AS low_text, bool_or(text IS NULL) AS unavailable, coalesce(string_agg(DISTINCT CASE WHEN text = '' THEN 'empty ' || doc_kind END, '|' ORDER BY CASE WHEN text = '' THEN 'empty ' || doc_kind END), '') AS errors FROM documents WHERE district_id IS NOT NULL GROUP BY 1",
         "provider_summary": "SELECT district_id, source, count(*) AS pages, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters, arg_min(doc_kind, doc_id) FILTER (doc_kind IS NOT NULL) AS text_source FROM documents WHERE district_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2 HAVING bool_or(length(trim(text)) > 0)",
         "merged_readings": "WITH x AS (SELECT * FROM documents WHERE district_id IS NOT NULL AND tax_year IS NOT NULL), l AS (SELECT district_id, tax_year, text FROM x WHERE source = 'scan_batch' AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY district_id, tax_year ORDER BY length(text) DESC, text DESC) = 1), r AS (SELECT district_id, tax_year, text FROM x WHERE source = 'mail_room' AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY district_id, tax_year ORDER BY length(text) DESC, text DESC) = 1), ln AS (SELECT DISTINCT district_id, tax_year FROM x WHERE source = 'scan_batch'), rn AS (SELECT DISTINCT district_id, tax_year FROM x WHERE source = 'mail_room'), b AS (SELECT district_id, tax_year, l.text AS lt, r.text AS rt, length(trim(coalesce(l.text, ''))) AS a, length(trim(coalesce(r.text, ''))) AS b, ln.tax_year IS NOT NULL AS has_l, rn.tax_year IS NOT NULL AS has_r FROM (ln FULL JOIN rn USING (district_id, tax_year)) LEFT JOIN l USING (district_id, tax_year) LEFT JOIN r USING (district_id, tax_year)) SELECT district_id, CAST(tax_year AS BIGINT) AS tax_year, length(t) AS characters, md5(t) AS text_md5, preferred, sources FROM (SELECT district_id, tax_year, CASE WHEN b > a THEN coalesce(nullif(rt, ''), lt, '') ELSE coalesce(nullif(lt, ''), rt, '') END AS t, CASE WHEN b > a THEN 'mail_room' WHEN lt IS NOT NULL OR rt IS NULL THEN 'scan_batch' ELSE 'scan_batch' END AS preferred, concat_ws('|', CASE WHEN a > 0 THEN 'scan_batch' END, CASE WHEN b > 0 THEN 'mail_room' END) AS sources FROM b)",
