@@ -542,17 +542,49 @@ def _upper_sql() -> str:
     return f"regexp_replace({_mended_sql("upper(coalesce(text, ''))", text.UPPER_REPAIRS)}, '{blank}+', ' ', 'g')"
 
 
+#: Steps from a written amount ``x`` to its value, as SQL over a relation of the same further columns.
+_STEPS = (
+    r"translate(regexp_replace(x, '^[($)\s]+|[($)\s]+$', '', 'g'), 'Oo$', '00')",
+    r"regexp_replace(regexp_replace(x, '(^|\s)[2-9]\s+(\d{2,3},\d{3}(?:\.\d{1,2})?)(\D|$)', '\1\2\3', 'g'), '\s+', '', 'g')",
+    r"CASE WHEN contains(x, ',') AND NOT contains(x, '.') AND NOT regexp_full_match(x, '\d{1,3}(,\d{3})+') THEN replace(x, ',', '.') WHEN NOT contains(x, ',') AND length(x) - length(replace(x, '.', '')) > 1 THEN replace(x, '.', '') ELSE replace(x, ',', '') END",
+)
+
+
+def _valued_sql(relation: str, columns: str) -> str:
+    """``relation`` (columns, x) with the value ``v`` of the amount written in ``x``."""
+    for step in _STEPS:
+        relation = f"SELECT {columns}, {step} AS x FROM ({relation})"
+    return f"SELECT {columns}, " + r"CASE WHEN regexp_full_match(x, '-?(\d+\.?\d*|\.\d+)') THEN CAST(x AS DOUBLE) END AS v" + f" FROM ({relation})"
+
+
+def _rows_sql() -> str:
+    breaks = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+    mark = " ".join(f"WHEN {' OR '.join(f"contains(lower(line), '{p}')" for p in phrases)} THEN '{name}'" for name, phrases in rows.PHRASES.items())
+    confidence = " ".join(f"WHEN '{letter}' THEN {c}" for letter, c in rows.CONFIDENCE.items())
+    bare = f"contains(compact, ' ') AND NOT regexp_matches(compact, '[,.]') AND len(regexp_extract_all(compact, '\\d{{3,4}}')) >= 2 AND len(list_filter(regexp_extract_all(compact, '\\d{{3,4}}'), lambda g: regexp_matches(g, '^{text.YEAR_IN_TEXT}$'))) > 0"
+    tokens = f"SELECT doc_id, letter, pos, k, trim(replace(r, '$', '')) AS compact, trim(r) AS x FROM (SELECT doc_id, letter, pos, rs[k] AS r, k FROM (SELECT *, unnest(range(1, len(rs) + 1)) AS k FROM (SELECT doc_id, letter, pos, regexp_extract_all(line, '{text.MONEY_TOKEN}') AS rs FROM marked)))"
+    return (
+        r"WITH h AS (SELECT doc_id, regexp_extract_all(text, '(?i)\bSCHEDULE\s+([A-F])\b', 1) AS h, string_split_regex(text, '(?i)\bSCHEDULE\s+[A-F]\b') AS g FROM documents WHERE text IS NOT NULL), "
+        r"s AS (SELECT doc_id, upper(h[i]) AS letter, regexp_replace(g[i + 1], '^\s*|\s+$', '', 'g') AS body FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM h) QUALIFY row_number() OVER (PARTITION BY doc_id, upper(h[i]) ORDER BY i DESC) = 1), "
+        f"l AS (SELECT doc_id, letter, i, trim(regexp_replace(ls[i], '{_SPACE}+', ' ', 'g')) AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, letter, string_split_regex(body, '{breaks}') AS ls FROM s WHERE letter <> 'F'))), "
+        f"marked AS (SELECT doc_id, letter, line, row_number() OVER w AS pos, last_value(CASE {mark} END IGNORE NULLS) OVER w AS running FROM l WHERE length(line) >= 4 AND NOT regexp_matches(upper(line), '^SCHEDULE |TOTAL|{'|'.join(text.HEAD_WORDS)}') WINDOW w AS (PARTITION BY doc_id, letter ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), "
+        f"v AS ({_valued_sql(tokens, 'doc_id, letter, pos, k, compact')}), "
+        f"t AS (SELECT doc_id, letter, pos, list(v ORDER BY k) AS vs FROM v WHERE v >= 100 AND NOT (v = floor(v) AND v BETWEEN 1900 AND 2100) AND NOT ({bare}) GROUP BY 1, 2, 3), "
+        f"r AS (SELECT m.*, vs, len(vs) AS n, CAST(list_last(regexp_extract_all(line, '{text.YEAR_IN_TEXT}')) AS INTEGER) AS y FROM marked m JOIN t USING (doc_id, letter, pos) WHERE letter <> 'E' OR running IS NOT NULL) "
+        "SELECT doc_id, letter AS schedule, CAST(pos AS BIGINT) AS pos, CASE WHEN letter = 'E' THEN running END AS subsection, CASE WHEN letter NOT IN ('B', 'C') THEN y END AS year_acquired, "
+        "CASE WHEN letter IN ('A', 'D') AND (y IS NOT NULL OR n >= 2) THEN vs[n] WHEN letter = 'E' AND y IS NOT NULL THEN vs[1] END AS historical_cost, "
+        "CASE WHEN letter IN ('A', 'D') THEN CASE WHEN n >= 2 THEN vs[n - 1] WHEN y IS NULL THEN vs[1] END WHEN letter = 'E' AND (n >= 2 OR y IS NULL) THEN vs[n] END AS good_faith_value, "
+        f"CASE WHEN letter IN ('B', 'C') THEN vs[n] END AS exact_value, line AS raw_text, CAST(CASE letter {confidence} END AS DOUBLE) AS confidence FROM r"
+    )
+
+
 def _totals_sql() -> str:
     limits = ", ".join(map(str, text.FORM_LIMITS))
     kinds = [("se", rows._THOUSANDS, 0), *[("sl", p, 1) for p in rows.SECTION_TOTALS], ("ae", rows._COMMAS + r"\b", 0), *[("al", p, 1) for p in rows.ATTACHMENT_TOTALS]]
-    raws = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(t, '{p}', {group})) AS r FROM d" for kind, p, group in kinds)
+    raws = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(t, '{p}', {group})) AS x FROM d" for kind, p, group in kinds)
     clues = " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in rows.SUMMARY_CLUES)
     return (
-        f"WITH d AS (SELECT doc_id, {_upper_sql()} AS t FROM documents), raws AS ({raws}), "
-        r"a AS (SELECT doc_id, kind, translate(regexp_replace(r, '^[($)\s]+|[($)\s]+$', '', 'g'), 'Oo$', '00') AS x FROM raws), "
-        r"b AS (SELECT doc_id, kind, regexp_replace(regexp_replace(x, '(^|\s)[2-9]\s+(\d{2,3},\d{3}(?:\.\d{1,2})?)(\D|$)', '\1\2\3'), '\s+', '', 'g') AS x FROM a), "
-        r"c AS (SELECT doc_id, kind, CASE WHEN contains(x, ',') AND NOT contains(x, '.') AND NOT regexp_full_match(x, '\d{1,3}(,\d{3})+') THEN replace(x, ',', '.') WHEN NOT contains(x, ',') AND length(x) - length(replace(x, '.', '')) > 1 THEN replace(x, '.', '') ELSE replace(x, ',', '') END AS x FROM b), "
-        r"v AS (SELECT doc_id, kind, CASE WHEN regexp_full_match(x, '-?(\d+\.?\d*|\.\d+)') THEN CAST(x AS DOUBLE) END AS v FROM c), "
+        f"WITH d AS (SELECT doc_id, {_upper_sql()} AS t FROM documents), v AS ({_valued_sql(raws, 'doc_id, kind')}), "
         f"s AS (SELECT doc_id, max(v) FILTER (kind = 'sl' AND v NOT IN ({limits})) AS sl, max(v) FILTER (kind = 'se' AND v NOT IN ({limits})) AS se, max(v) FILTER (kind = 'al') AS al, max(v) FILTER (kind = 'ae' AND v NOT IN ({limits})) AS ae, count(DISTINCT v) FILTER (kind = 'al' OR kind = 'ae' AND v NOT IN ({limits})) AS amounts FROM v GROUP BY 1), "
         f"j AS (SELECT d.doc_id, contains(t, 'SCHEDULE E') AS section, {clues} >= 2 OR al IS NOT NULL AS summary, sl, se, al, ae, coalesce(amounts, 0) AS amounts FROM d LEFT JOIN s ON s.doc_id = d.doc_id) "
         "SELECT doc_id, section, CASE WHEN section THEN coalesce(sl, se) END AS section_total, summary, CAST(amounts AS BIGINT) AS amounts, coalesce(al, CASE WHEN summary THEN ae END) AS summary_total FROM j"
@@ -601,6 +633,7 @@ def oracle_sql() -> dict[str, str]:
         "document_metadata": f"SELECT doc_id, {_first_of_sql('t', pages.TAX_YEAR)} AS tax_year, {_first_of_sql('t', pages.OWNER)} AS owner_name, regexp_replace(upper({_first_of_sql('t', pages.ACCOUNT)}), '[^A-Z0-9]', '', 'g') AS account_number, {_first_of_sql('t', pages.SIGNED)} AS signed_date FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
         "document_quality": f"WITH x AS (SELECT doc_id, lower(coalesce({_COLLAPSED}, '')) AS t FROM documents), y AS (SELECT doc_id, t, length(t) AS n, length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) AS letters, list_filter({list(pages.SCHEDULES)}, lambda s: NOT contains(t, 'schedule ' || lower(s))) AS ms, list_filter({list(pages.COLUMNS)}, lambda s: NOT contains(t, s)) AS mc FROM x), z AS (SELECT *, round(CAST(0.35 * least(1.0, n / 700.0) + 0.35 * ((5 - len(ms)) / 5) + 0.2 * ((6 - len(mc)) / 6) + 0.1 * CASE WHEN n > 0 THEN letters / n ELSE 0 END AS DOUBLE), 3) AS score FROM y) SELECT doc_id, score, n > 0 AND score >= 0.55 AND 5 - len(ms) >= 2 AS usable, array_to_string(ms, ',') AS missing_schedules, array_to_string(mc, ',') AS missing_columns, (6 - len(mc)) / 6 < 0.34 AS columns_unreadable FROM z",
         "reading_need": _need_sql(),
+        "section_rows": _rows_sql(),
         "section_totals": _totals_sql(),
         "page_flags": "SELECT district_id, coalesce(sum(length(text)), 0) < 50 AS low_text, bool_or(text IS NULL) AS unavailable, coalesce(string_agg(DISTINCT CASE WHEN text = '' THEN 'empty ' || doc_kind END, '|' ORDER BY CASE WHEN text = '' THEN 'empty ' || doc_kind END), '') AS errors FROM documents WHERE district_id IS NOT NULL GROUP BY 1",
         "provider_summary": "SELECT district_id, source, count(*) AS pages, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters, arg_min(doc_kind, doc_id) FILTER (doc_kind IS NOT NULL) AS text_source FROM documents WHERE district_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2 HAVING bool_or(length(trim(text)) > 0)",
