@@ -578,6 +578,21 @@ def _rows_sql() -> str:
     )
 
 
+def _pairs_sql() -> str:
+    """Words of one line have one height here, so a line is a band."""
+    token = f"[^{_SPACE[1:]}+"
+    places = f"SELECT doc_id, n, m[i] AS word, 6.0 * CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS DOUBLE) AS px FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, n, regexp_extract_all(ls[n + 1], '{token}') AS m, string_split_regex(ls[n + 1], '{token}') AS g FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))))"
+    amounts = r"SELECT doc_id, n, px, word AS x FROM w WHERE regexp_full_match(word, '\$?\d[\d,.\s]{2,}') AND NOT regexp_full_match(word, '20\d{2}')"
+    return (
+        f"WITH w AS ({places}), a AS (SELECT * FROM ({_valued_sql(amounts, 'doc_id, n, px')}) WHERE v >= {layout.LEAST_AMOUNT} AND NOT (v = floor(v) AND v BETWEEN 1900 AND 2100)), "
+        r"y AS (SELECT doc_id, n, px, word FROM w WHERE regexp_full_match(word, '20\d{2}')), f AS (SELECT doc_id, 12.0 * min(n) AS top FROM y GROUP BY 1), "
+        f"e AS (SELECT w.doc_id, min(12.0 * n) - 10 AS stop FROM w JOIN f ON f.doc_id = w.doc_id WHERE contains(upper(word), 'TOTAL') AND 12.0 * n > f.top + {layout.BELOW_YEARS} GROUP BY 1), "
+        "c AS (SELECT a.doc_id, a.n, a.px, a.v, y.word, y.px AS yx FROM a JOIN y ON y.doc_id = a.doc_id AND y.n = a.n LEFT JOIN e ON e.doc_id = a.doc_id WHERE e.stop IS NULL OR 12.0 * a.n < e.stop QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.n, a.px ORDER BY abs(y.px - a.px), y.px) = 1), "
+        f"g AS (SELECT * FROM c WHERE abs(yx - px) <= {layout.REACH} QUALIFY row_number() OVER (PARTITION BY doc_id, n, word, yx ORDER BY px) = 1) "
+        "SELECT doc_id AS page_id, CAST(word AS INTEGER) AS year, v AS amount, px AS x, CAST(12.0 * n AS DOUBLE) AS top FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, word, round_even(v, 0) ORDER BY px DESC, n) = 1"
+    )
+
+
 def _totals_sql() -> str:
     limits = ", ".join(map(str, text.FORM_LIMITS))
     kinds = [("se", rows._THOUSANDS, 0), *[("sl", p, 1) for p in rows.SECTION_TOTALS], ("ae", rows._COMMAS + r"\b", 0), *[("al", p, 1) for p in rows.ATTACHMENT_TOTALS]]
@@ -633,6 +648,7 @@ def oracle_sql() -> dict[str, str]:
         "document_metadata": f"SELECT doc_id, {_first_of_sql('t', pages.TAX_YEAR)} AS tax_year, {_first_of_sql('t', pages.OWNER)} AS owner_name, regexp_replace(upper({_first_of_sql('t', pages.ACCOUNT)}), '[^A-Z0-9]', '', 'g') AS account_number, {_first_of_sql('t', pages.SIGNED)} AS signed_date FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
         "document_quality": f"WITH x AS (SELECT doc_id, lower(coalesce({_COLLAPSED}, '')) AS t FROM documents), y AS (SELECT doc_id, t, length(t) AS n, length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) AS letters, list_filter({list(pages.SCHEDULES)}, lambda s: NOT contains(t, 'schedule ' || lower(s))) AS ms, list_filter({list(pages.COLUMNS)}, lambda s: NOT contains(t, s)) AS mc FROM x), z AS (SELECT *, round(CAST(0.35 * least(1.0, n / 700.0) + 0.35 * ((5 - len(ms)) / 5) + 0.2 * ((6 - len(mc)) / 6) + 0.1 * CASE WHEN n > 0 THEN letters / n ELSE 0 END AS DOUBLE), 3) AS score FROM y) SELECT doc_id, score, n > 0 AND score >= 0.55 AND 5 - len(ms) >= 2 AS usable, array_to_string(ms, ',') AS missing_schedules, array_to_string(mc, ',') AS missing_columns, (6 - len(mc)) / 6 < 0.34 AS columns_unreadable FROM z",
         "reading_need": _need_sql(),
+        "year_amount_pairs": _pairs_sql(),
         "section_rows": _rows_sql(),
         "section_totals": _totals_sql(),
         "page_flags": "SELECT district_id, coalesce(sum(length(text)), 0) < 50 AS low_text, bool_or(text IS NULL) AS unavailable, coalesce(string_agg(DISTINCT CASE WHEN text = '' THEN 'empty ' || doc_kind END, '|' ORDER BY CASE WHEN text = '' THEN 'empty ' || doc_kind END), '') AS errors FROM documents WHERE district_id IS NOT NULL GROUP BY 1",
