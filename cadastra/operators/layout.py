@@ -10,11 +10,18 @@ count each, repeated rows once.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
+from itertools import islice
+from operator import itemgetter
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from cadastra.session import flat_map
 
@@ -37,8 +44,13 @@ SUBSECTIONS = {
     "pos_servers_mainframes": ("POS", "SERVERS", "MAINFRAMES"),
     "other": ("OTHER",),
 }
+#: A heading begins with one of these.
+_HEADING_WORDS = frozenset(h.split()[0] for headings in SUBSECTIONS.values() for h in headings)
 _YEAR = re.compile(r"20\d{2}")
+_WORD = re.compile(r"\S+")
 _AMOUNT = re.compile(r"\$?\d[\d,.\s]{2,}")
+#: What a number may be written with.
+_NUMBER_MARKS = re.compile(r"[\dOo,.\s$()-]+")
 _STRAY = re.compile(r"(?<!\w)[2-9]\s+(?=\d{2,3},\d{3}(?!\d))")
 
 
@@ -59,6 +71,15 @@ def placed(boxes: Iterable[dict] | None) -> list[Word]:
     return [w for w in read if w.text]
 
 
+def pages_of(column: pa.ListArray) -> Iterator[list[Word]]:
+    """``placed`` of each page of an Arrow column, without an object for each box."""
+    boxes = column.flatten()
+    texts, lefts, tops = (a.to_pylist() for a in (dict(zip((f.name for f in boxes.type), boxes.flatten(), strict=True))[n] for n in ("text", "x0", "top")))
+    words = ((Word(said, x or 0.0, y or 0.0) if t and (said := t.strip()) else None) for t, x, y in zip(texts, lefts, tops, strict=True))
+    for n in pc.list_value_length(column).to_pylist():
+        yield [w for w in islice(words, n or 0) if w]
+
+
 def bands(words: Iterable[Word], tolerance: float) -> list[Band]:
     """Words by rows from the top: a word joins the first row whose mean height lies within ``tolerance``; in a row from the left.
 
@@ -67,7 +88,13 @@ def bands(words: Iterable[Word], tolerance: float) -> list[Band]:
     rows: list[list[Word]] = []
     sums: list[float] = []
     first = 0
-    for word in sorted(words, key=lambda w: w.top):
+    last = None
+    for word in sorted(words, key=itemgetter(2)):
+        if word.top == last:  # where the word before it went
+            rows[first].append(word)
+            sums[first] += last
+            continue
+        last = word.top
         while first < len(rows) and word.top - sums[first] / len(rows[first]) > tolerance:
             first += 1
         if first < len(rows):
@@ -76,7 +103,7 @@ def bands(words: Iterable[Word], tolerance: float) -> list[Band]:
         else:
             rows.append([word])
             sums.append(word.top)
-    return [Band(s / len(r), sorted(r, key=lambda w: w.x)) for r, s in zip(rows, sums, strict=True)]
+    return [Band(s / len(r), sorted(r, key=itemgetter(1))) for r, s in zip(rows, sums, strict=True)]
 
 
 def columns(row: list[Word], gap: float) -> list[list[Word]]:
@@ -87,6 +114,8 @@ def columns(row: list[Word], gap: float) -> list[list[Word]]:
 
 def read_amount(text: str) -> float | None:
     """The number a word shows: O is zero, a stray mark before thousands is none, the last kind of separator decides."""
+    if not _NUMBER_MARKS.fullmatch(text):
+        return None
     run = re.sub(r"\s", "", _STRAY.sub("", text.replace("$", "").translate(str.maketrans("Oo", "00")).strip("() ")))
     if "," in run and "." not in run and not re.fullmatch(r"\d{1,3}(,\d{3})+", run):
         run = run.replace(",", ".")
@@ -147,8 +176,12 @@ def year_rows(words: list[Word], tolerance: float = ROW, reach: float = REACH) -
 def heading_places(words: list[Word]) -> dict[str, tuple[float, float]]:
     """(x, top) of the topmost heading of each subsection, found as whole words side by side in one row."""
     found: dict[str, tuple[float, float]] = {}
+    if _HEADING_WORDS.isdisjoint(w.text.upper() for w in words):
+        return found
     for band in bands(words, HEADING_ROW):
         said = [w.text.upper() for w in band.words]
+        if _HEADING_WORDS.isdisjoint(said):
+            continue
         for name, headings in SUBSECTIONS.items():
             if name in found and found[name][1] <= band.top:
                 continue
@@ -197,8 +230,14 @@ class Page:
         self.words = words
         self.left = min(w.x for w in words)
         self.third = max(max(w.x for w in words) - self.left, 1.0) / 3
-        self.split = halves(words)
-        self.headings = heading_places(words)
+
+    @cached_property
+    def split(self) -> float:
+        return halves(self.words)
+
+    @cached_property
+    def headings(self) -> dict[str, tuple[float, float]]:
+        return heading_places(self.words)
 
     def column(self, x: float) -> int:
         return min(2, max(0, int((x - self.left) / self.third)))
@@ -214,15 +253,14 @@ def subsection_rows(words: list[Word]) -> list[tuple[str, int | None, float | No
     A row is a run of a band with a year and an amount, or with two amounts, and is no total. With a year the first amount is the
     cost and the last of several the value, without one the last is the value.
     """
-    if not words:
+    if all(loose_amount(w.text) is None for w in words):
         return []
     page, rows = Page(words), []
     for band in bands(words, ROW):
         for run in columns(band.words, max(COLUMN_GAP, COLUMN_SHARE * page.third)):
-            text = " ".join(w.text for w in run)
-            dates = [w for w in run if _YEAR.fullmatch(w.text)]
             sums = [(w, v) for w in run if (v := loose_amount(w.text)) is not None]
-            if is_total(text) or not sums or (not dates and len(sums) < 2):
+            dates = [w for w in run if _YEAR.fullmatch(w.text)] if sums else []
+            if not sums or (not dates and len(sums) < 2) or is_total(text := " ".join(w.text for w in run)):
                 continue
             year = int(dates[0].text) if dates else None
             cost = sums[0][1] if dates else None
@@ -234,30 +272,30 @@ def subsection_rows(words: list[Word]) -> list[tuple[str, int | None, float | No
 
 def subsection_totals(words: list[Word]) -> list[tuple[str, float]]:
     """(subsection, total): beside each word of a total, the largest amount of its row within its column."""
-    if not words:
+    sums = [w for w in words if is_total(w.text)]
+    if not sums:
         return []
     page, totals = Page(words), {}
-    for word in words:
-        if is_total(word.text):
-            left = page.left + page.column(word.x) * page.third
-            beside = [v for w in words if abs(w.top - word.top) <= TOTAL_ROW and left - COLUMN_EDGE <= w.x <= left + page.third + COLUMN_EDGE and (v := loose_amount(w.text)) is not None]
-            if beside:
-                totals[page.subsection(word.x, word.top)] = max(beside)
+    for word in sums:
+        left = page.left + page.column(word.x) * page.third
+        beside = [v for w in words if abs(w.top - word.top) <= TOTAL_ROW and left - COLUMN_EDGE <= w.x <= left + page.third + COLUMN_EDGE and (v := loose_amount(w.text)) is not None]
+        if beside:
+            totals[page.subsection(word.x, word.top)] = max(beside)
     return list(totals.items())
 
 
 def _by_page(pages: DataFrame, page_id: str, words: str, read: Callable[[list[Word]], list[tuple]], schema: str) -> DataFrame:
     width = schema.count(",") + 2
 
-    def run(cols: list[list]) -> list[list]:
+    def run(cols: list[pa.Array]) -> list[list]:
         out: list[list] = [[] for _ in range(width)]
-        for page, boxes in zip(*cols, strict=True):
-            for row in read(placed(boxes)):
+        for page, boxes in zip(cols[0].to_pylist(), pages_of(cols[1]), strict=True):
+            for row in read(boxes):
                 for values, x in zip(out, (page, *row), strict=True):
                     values.append(x)
         return out
 
-    return flat_map(pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(words).alias("words")), run, f"page_id BIGINT, {schema}")
+    return flat_map(pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(words).alias("words")), run, f"page_id BIGINT, {schema}", arrow_in=True)
 
 
 def page_pairs(pages: DataFrame, page_id: str, words: str) -> DataFrame:
@@ -294,10 +332,25 @@ def in_given_order(words: str) -> object:
 def words_of_lines(df: DataFrame, page_id: str, text: str, line_height: float = 12.0, letter: float = 6.0) -> DataFrame:
     """Word boxes laid out from plain text: a line's number gives the height, a word's offset the position; pages without words give no row."""
 
-    def run(cols: list[list]) -> list[list]:
-        found = [(page, [{"text": m.group(), "x0": m.start() * letter, "top": n * line_height} for n, line in enumerate((body or "").split("\n")) for m in re.finditer(r"\S+", line)]) for page, body in zip(*cols, strict=True)]
-        kept = [f for f in found if f[1]]
-        return [list(c) for c in zip(*kept, strict=True)] if kept else [[], []]
+    boxes = to_arrow_type(StructType.fromDDL(f"words {WORDS}")["words"].dataType)
+
+    def run(cols: list[list]) -> list:
+        kept: list = []
+        texts: list[str] = []
+        lefts: list[float] = []
+        tops: list[float] = []
+        starts = [0]
+        for page, body in zip(*cols, strict=True):
+            for n, line in enumerate((body or "").split("\n")):
+                for m in _WORD.finditer(line):
+                    texts.append(m[0])
+                    lefts.append(m.start() * letter)
+                tops += [n * line_height] * (len(texts) - len(tops))
+            if len(texts) > starts[-1]:
+                kept.append(page)
+                starts.append(len(texts))
+        fields = [pa.array(values, type=f.type) for values, f in zip((texts, lefts, tops), boxes.value_type, strict=True)]
+        return [kept, pa.ListArray.from_arrays(pa.array(starts, type=pa.int32()), pa.StructArray.from_arrays(fields, fields=list(boxes.value_type)), type=boxes)]
 
     kind = df.schema[page_id].dataType.simpleString()
     return flat_map(df.select(page_id, text), run, f"{page_id} {kind}, words {WORDS}")

@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +199,27 @@ def test_metadata_from_the_first_pages(spark):
     got = {r["doc"]: tuple(r)[1:] for r in pages.metadata(spark.createDataFrame(data, PAGE), ["doc"], "page_number", "text", "words").collect()}
     assert got[1] == ("2022", "DOLMER & SONS", "P0042137", "4/2/2022")
     assert got[2][2] == "771234" and got[3] == (None, None, None, None)
+
+
+@pytest.mark.parametrize("read", [layout.page_headings])
+def test_one_batch_of_long_pages_is_read_in_pieces(spark, read):
+    words = [{"text": t, "x0": 50.0 * i, "top": 12.0 * n} for n in range(50) for i, t in enumerate(["OTHER", "2024", "5,000", "each"] if n < 40 else ["TOTAL", "2,000", "and", "more"])]
+    kind = pa.list_(pa.struct([("text", pa.string()), ("x0", pa.float64()), ("top", pa.float64())]))
+    one = pa.RecordBatch.from_arrays([pa.array([1], type=pa.int64()), pa.array([words], type=kind)], names=["page_id", "words"])
+    table = pa.Table.from_batches([one] * 1000).combine_chunks()
+    batch = pa.RecordBatch.from_arrays([c.chunk(0) for c in table.columns], names=["page_id", "words"])
+    taken = []
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            taken.append(run)
+
+    read(Frame(), "page_id", "words")
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in taken[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1000 * sum(out.num_rows for out in taken[0](iter([one]))) > 0 and peak < 30e6, peak
