@@ -201,7 +201,7 @@ def test_metadata_from_the_first_pages(spark):
     assert got[2][2] == "771234" and got[3] == (None, None, None, None)
 
 
-@pytest.mark.parametrize("read", [layout.page_headings, layout.page_subsection_rows, layout.page_subsection_totals])
+@pytest.mark.parametrize("read", [layout.page_headings, layout.page_subsection_rows, layout.page_subsection_totals, layout.page_pairs])
 def test_one_batch_of_long_pages_is_read_in_pieces(spark, read):
     words = [{"text": t, "x0": 50.0 * i, "top": 12.0 * n} for n in range(50) for i, t in enumerate(["OTHER", "2024", "5,000", "each"] if n < 40 else ["TOTAL", "7,000", "and", "more"])]
     kind = pa.list_(pa.struct([("text", pa.string()), ("x0", pa.float64()), ("top", pa.float64())]))
