@@ -35,6 +35,7 @@ LEAST_GAP, AFTER_TOTAL, BELOW_YEARS = 40.0, 20.0, 40.0
 COLUMN_GAP, COLUMN_SHARE, COLUMN_EDGE = 160.0, 0.6, 25.0
 LEAST_AMOUNT = 1000.0
 SURE, UNSURE = 0.86, 0.74
+LINE_HEIGHT, LETTER = 12.0, 6.0
 #: The subsections with the words of their headings, in the order of their places on the form, three above and three below.
 SUBSECTIONS = {
     "furniture_fixtures": ("FURNITURE AND FIXTURES", "FURNITURE FIXTURES"),
@@ -47,6 +48,7 @@ SUBSECTIONS = {
 #: A heading begins with one of these.
 _HEADING_WORDS = frozenset(h.split()[0] for headings in SUBSECTIONS.values() for h in headings)
 _YEAR = re.compile(r"20\d{2}")
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"\S+")
 _AMOUNT = re.compile(r"\$?\d[\d,.\s]{2,}")
 #: What a number may be written with.
@@ -71,8 +73,23 @@ def placed(boxes: Iterable[dict] | None) -> list[Word]:
     return [w for w in read if w.text]
 
 
-def pages_of(column: pa.ListArray) -> Iterator[list[Word]]:
-    """``placed`` of each page of an Arrow column, without an object for each box."""
+def lines_of(body: str | None, line_height: float = LINE_HEIGHT, letter: float = LETTER) -> Iterator[tuple[str, float, float]]:
+    """(text, x, top) of the words of plain text: a line's number gives the height, a word's offset the position."""
+    for n, line in enumerate((body or "").split("\n")):
+        top = n * line_height
+        for m in _WORD.finditer(line):
+            yield m[0], m.start() * letter, top
+
+
+def pages_of(column: pa.ListArray | pa.StringArray, may: Callable[[str], object] = bool) -> Iterator[list[Word]]:
+    """``placed`` of each page of an Arrow column, without an object for each box.
+
+    Texts are laid out as ``words_of_lines`` does, one after another; those that ``may`` refuses have no words.
+    """
+    if not pa.types.is_list(column.type):
+        for text in column.to_pylist():
+            yield [*map(Word._make, lines_of(text))] if text and may(text) else []
+        return
     boxes = column.flatten()
     texts, lefts, tops = (a.to_pylist() for a in (dict(zip((f.name for f in boxes.type), boxes.flatten(), strict=True))[n] for n in ("text", "x0", "top")))
     words = ((Word(said, x or 0.0, y or 0.0) if t and (said := t.strip()) else None) for t, x, y in zip(texts, lefts, tops, strict=True))
@@ -141,6 +158,11 @@ def loose_amount(text: str) -> float | None:
     return value if no_year(value) and value >= 1 else None
 
 
+def loose_amounts(words: list[Word]) -> dict[str, float]:
+    """The ``loose_amount`` of every text among ``words`` that has one; letters alone are never one."""
+    return {t: v for t in {w.text for w in words} if not t.isalpha() and (v := loose_amount(t)) is not None}
+
+
 def is_total(text: str) -> bool:
     return "TOTAL" in text.upper()
 
@@ -176,16 +198,19 @@ def year_rows(words: list[Word], tolerance: float = ROW, reach: float = REACH) -
 def heading_places(words: list[Word]) -> dict[str, tuple[float, float]]:
     """(x, top) of the topmost heading of each subsection, found as whole words side by side in one row."""
     found: dict[str, tuple[float, float]] = {}
-    if _HEADING_WORDS.isdisjoint(w.text.upper() for w in words):
+    if _HEADING_WORDS.isdisjoint(" ".join([w.text for w in words]).upper().split()):
         return found
     for band in bands(words, HEADING_ROW):
         said = [w.text.upper() for w in band.words]
-        if _HEADING_WORDS.isdisjoint(said):
+        begins = _HEADING_WORDS.intersection(said)
+        if not begins:
             continue
         for name, headings in SUBSECTIONS.items():
             if name in found and found[name][1] <= band.top:
                 continue
             for heading in (h.split() for h in headings):
+                if heading[0] not in begins:
+                    continue
                 at = next((i for i in range(len(said) - len(heading) + 1) if said[i : i + len(heading)] == heading), None)
                 if at is not None:
                     found[name] = (band.words[at].x, band.top)
@@ -207,11 +232,12 @@ def nearest_heading(x: float, top: float, headings: dict[str, tuple[float, float
 def halves(words: list[Word]) -> float:
     """The height that parts the upper half of a page from the lower: after the first total with words below it, else in the
     middle of the widest gap, else in the middle of all."""
-    tops = sorted(w.top for w in words)
+    tops = sorted({w.top for w in words})
     if not tops:
         return 0.0
-    others = sorted({w.top for w in words if not is_total(w.text)})
-    for total in sorted({w.top for w in words if is_total(w.text)}):
+    totals = sorted({w.top for w in words if is_total(w.text)}) if is_total(" ".join([w.text for w in words])) else []
+    others = sorted({w.top for w in words if not is_total(w.text)}) if totals else []
+    for total in totals:
         later = next((t for t in others if t > total + AFTER_TOTAL), None)
         if later is not None:
             return (total + later) / 2
@@ -253,12 +279,15 @@ def subsection_rows(words: list[Word]) -> list[tuple[str, int | None, float | No
     A row is a run of a band with a year and an amount, or with two amounts, and is no total. With a year the first amount is the
     cost and the last of several the value, without one the last is the value.
     """
-    if all(loose_amount(w.text) is None for w in words):
+    amounts = loose_amounts(words)
+    if not amounts:
         return []
     page, rows = Page(words), []
     for band in bands(words, ROW):
+        if all(w.text not in amounts for w in band.words):
+            continue
         for run in columns(band.words, max(COLUMN_GAP, COLUMN_SHARE * page.third)):
-            sums = [(w, v) for w in run if (v := loose_amount(w.text)) is not None]
+            sums = [(w, amounts[w.text]) for w in run if w.text in amounts]
             dates = [w for w in run if _YEAR.fullmatch(w.text)] if sums else []
             if not sums or (not dates and len(sums) < 2) or is_total(text := " ".join(w.text for w in run)):
                 continue
@@ -284,12 +313,17 @@ def subsection_totals(words: list[Word]) -> list[tuple[str, float]]:
     return list(totals.items())
 
 
-def _by_page(pages: DataFrame, page_id: str, words: str, read: Callable[[list[Word]], list[tuple]], schema: str) -> DataFrame:
+def _by_page(pages: DataFrame, page_id: str, words: str, read: Callable[[list[Word]], list[tuple]], schema: str, may: Callable[[str], object] = bool) -> DataFrame:
+    """``read`` of every page, whose ``words`` are boxes or plain text.
+
+    Text is laid out in the same function that reads it, so no box of it is ever an Arrow value or a row of the engine, and no more
+    than one page's boxes are held. ``may`` tells of a text whether ``read`` may find anything in it.
+    """
     width = schema.count(",") + 2
 
     def run(cols: list[pa.Array]) -> list[list]:
         out: list[list] = [[] for _ in range(width)]
-        for page, boxes in zip(cols[0].to_pylist(), pages_of(cols[1]), strict=True):
+        for page, boxes in zip(cols[0].to_pylist(), pages_of(cols[1], may), strict=True):
             for row in read(boxes):
                 for values, x in zip(out, (page, *row), strict=True):
                     values.append(x)
@@ -304,8 +338,8 @@ def page_pairs(pages: DataFrame, page_id: str, words: str) -> DataFrame:
 
 
 def page_subsection_rows(pages: DataFrame, page_id: str, words: str) -> DataFrame:
-    """(page_id, subsection, year, cost, value, row_text, confidence) of every subsection row on every page."""
-    return _by_page(pages, page_id, words, subsection_rows, "subsection STRING, year INT, cost DOUBLE, value DOUBLE, row_text STRING, confidence DOUBLE")
+    """(page_id, subsection, year, cost, value, row_text, confidence) of every subsection row on every page; ``words`` are boxes or plain text."""
+    return _by_page(pages, page_id, words, subsection_rows, "subsection STRING, year INT, cost DOUBLE, value DOUBLE, row_text STRING, confidence DOUBLE", _DIGIT.search)
 
 
 def page_subsection_totals(pages: DataFrame, page_id: str, words: str) -> DataFrame:
@@ -329,7 +363,7 @@ def in_given_order(words: str) -> object:
     return F.trim(F.array_join(F.filter(F.transform(words, lambda w: w["text"]), lambda t: t != ""), " "))
 
 
-def words_of_lines(df: DataFrame, page_id: str, text: str, line_height: float = 12.0, letter: float = 6.0) -> DataFrame:
+def words_of_lines(df: DataFrame, page_id: str, text: str, line_height: float = LINE_HEIGHT, letter: float = LETTER) -> DataFrame:
     """Word boxes laid out from plain text: a line's number gives the height, a word's offset the position; pages without words give no row."""
 
     boxes = to_arrow_type(StructType.fromDDL(f"words {WORDS}")["words"].dataType)
@@ -341,11 +375,10 @@ def words_of_lines(df: DataFrame, page_id: str, text: str, line_height: float =
         tops: list[float] = []
         starts = [0]
         for page, body in zip(*cols, strict=True):
-            for n, line in enumerate((body or "").split("\n")):
-                for m in _WORD.finditer(line):
-                    texts.append(m[0])
-                    lefts.append(m.start() * letter)
-                tops += [n * line_height] * (len(texts) - len(tops))
+            for said, x, top in lines_of(body, line_height, letter):
+                texts.append(said)
+                lefts.append(x)
+                tops.append(top)
             if len(texts) > starts[-1]:
                 kept.append(page)
                 starts.append(len(texts))

@@ -471,7 +471,7 @@ def year_amount_pairs(spark, d):
 
 def subsection_rows(spark, d):
     """Rows of the subsections by their places on the page."""
-    return layout.page_subsection_rows(_word_pages(spark, d), "doc_id", "words")
+    return layout.page_subsection_rows(_t(spark, d, "documents"), "doc_id", "text")
 
 
 def subsection_totals(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import text
 from cadastra.operators import labels, layout, pages, rows
+from cadastra.plans import table_queries
 
 NAMES = list(layout.SUBSECTIONS)
 
@@ -223,3 +224,15 @@ def test_one_batch_of_long_pages_is_read_in_pieces(spark, read):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 1000 * sum(out.num_rows for out in taken[0](iter([one]))) > 0 and peak < 30e6, peak
+
+
+@pytest.mark.parametrize("name, read", [("subsection_rows", layout.page_subsection_rows)])
+def test_text_is_laid_out_where_it_is_read(spark, monkeypatch, name, read):
+    form = "Computer  Equipment\r\n\n2021   5,000\t1,200\x0b2019 4,000\u00a03,100\nOTHER\n2020 7,000\ntOtAl  61,000 Total 9,500\nl\u0131ght 2,5OO 8,100"
+    texts = [form, form + "\n" * 30 + form.upper(), None, "", " \n ", "total of none", "2021 alone", "3,000 4,000", "no such thing", "\u0662 \u0663\u0664 2\u0660\u0661\u0665", "TOTAL 5,000\n" * 200, "2021 5,000 " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    monkeypatch.setattr(table_queries, "_t", lambda spark, d, table: docs)
+    got = table_queries.queries()[name](spark, "")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1, "boxes go through the engine"
+    boxed = read(layout.words_of_lines(docs, "doc_id", "text"), "doc_id", "words")
+    assert got.schema == boxed.schema and sorted(map(str, got.collect())) == sorted(map(str, boxed.collect())) and {0, 1} <= {r["page_id"] for r in got.collect()}
