@@ -10,6 +10,7 @@ count each, repeated rows once.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 from itertools import islice
@@ -301,13 +302,15 @@ def subsection_rows(words: list[Word]) -> list[tuple[str, int | None, float | No
 
 def subsection_totals(words: list[Word]) -> list[tuple[str, float]]:
     """(subsection, total): beside each word of a total, the largest amount of its row within its column."""
-    sums = [w for w in words if is_total(w.text)]
+    sums = [w for w in words if is_total(w.text)] if is_total(" ".join([w.text for w in words])) else []
     if not sums:
         return []
-    page, totals = Page(words), {}
+    page, totals, amounts = Page(words), {}, loose_amounts(words)
+    shown = sorted((w for w in words if w.text in amounts and w.top == w.top), key=itemgetter(2))
     for word in sums:
         left = page.left + page.column(word.x) * page.third
-        beside = [v for w in words if abs(w.top - word.top) <= TOTAL_ROW and left - COLUMN_EDGE <= w.x <= left + page.third + COLUMN_EDGE and (v := loose_amount(w.text)) is not None]
+        near = shown[bisect_left(shown, word.top - TOTAL_ROW - 1, key=itemgetter(2)) : bisect_right(shown, word.top + TOTAL_ROW + 1, key=itemgetter(2))]
+        beside = [amounts[w.text] for w in near if abs(w.top - word.top) <= TOTAL_ROW and left - COLUMN_EDGE <= w.x <= left + page.third + COLUMN_EDGE]
         if beside:
             totals[page.subsection(word.x, word.top)] = max(beside)
     return list(totals.items())
@@ -343,8 +346,8 @@ def page_subsection_rows(pages: DataFrame, page_id: str, words: str) -> DataFram
 
 
 def page_subsection_totals(pages: DataFrame, page_id: str, words: str) -> DataFrame:
-    """(page_id, subsection, total) of every total on every page."""
-    return _by_page(pages, page_id, words, subsection_totals, "subsection STRING, total DOUBLE")
+    """(page_id, subsection, total) of every total on every page; ``words`` are boxes or plain text."""
+    return _by_page(pages, page_id, words, subsection_totals, "subsection STRING, total DOUBLE", is_total)
 
 
 def page_headings(pages: DataFrame, page_id: str, words: str) -> DataFrame:

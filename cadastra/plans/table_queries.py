@@ -476,7 +476,7 @@ def subsection_rows(spark, d):
 
 def subsection_totals(spark, d):
     """Totals of the subsections by their places on the page."""
-    return layout.page_subsection_totals(_word_pages(spark, d), "doc_id", "words")
+    return layout.page_subsection_totals(_t(spark, d, "documents"), "doc_id", "text")
 
 
 def subsection_headings(spark, d):
