@@ -175,8 +175,8 @@ def year_rows(words: list[Word], tolerance: float = ROW, reach: float = REACH) -
     within reach; where that year has been taken the amount has none. An amount that a year has twice is the one farther right.
     """
     dates = [w for w in words if _YEAR.fullmatch(w.text)]
-    sums = [(w, v) for w in words if not _YEAR.fullmatch(w.text) and (v := amount(w.text)) is not None]
-    if not dates or not sums:
+    sums = [(w, v) for w in words if not w.text.isalpha() and not _YEAR.fullmatch(w.text) and (v := amount(w.text)) is not None] if dates else []
+    if not sums:
         return []
     below = min(w.top for w in dates) + BELOW_YEARS
     end = min((w.top for w in words if is_total(w.text) and w.top > below), default=float("inf")) - 10
@@ -336,8 +336,8 @@ def _by_page(pages: DataFrame, page_id: str, words: str, read: Callable[[list[Wo
 
 
 def page_pairs(pages: DataFrame, page_id: str, words: str) -> DataFrame:
-    """(page_id, year, amount, x, top) of every year row on every page."""
-    return _by_page(pages, page_id, words, year_rows, "year INT, amount DOUBLE, x DOUBLE, top DOUBLE")
+    """(page_id, year, amount, x, top) of every year row on every page; ``words`` are boxes or plain text."""
+    return _by_page(pages, page_id, words, year_rows, "year INT, amount DOUBLE, x DOUBLE, top DOUBLE", _YEAR.search)
 
 
 def page_subsection_rows(pages: DataFrame, page_id: str, words: str) -> DataFrame:

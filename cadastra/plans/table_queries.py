@@ -466,7 +466,7 @@ def _word_pages(spark, d):
 
 def year_amount_pairs(spark, d):
     """Years and amounts that stand side by side, from laid-out word boxes."""
-    return layout.page_pairs(_word_pages(spark, d), "doc_id", "words")
+    return layout.page_pairs(_t(spark, d, "documents"), "doc_id", "text")
 
 
 def subsection_rows(spark, d):

@@ -226,7 +226,7 @@ def test_one_batch_of_long_pages_is_read_in_pieces(spark, read):
     assert rows == 1000 * sum(out.num_rows for out in taken[0](iter([one]))) > 0 and peak < 30e6, peak
 
 
-@pytest.mark.parametrize("name, read", [("subsection_rows", layout.page_subsection_rows), ("subsection_totals", layout.page_subsection_totals)])
+@pytest.mark.parametrize("name, read", [("subsection_rows", layout.page_subsection_rows), ("subsection_totals", layout.page_subsection_totals), ("year_amount_pairs", layout.page_pairs)])
 def test_text_is_laid_out_where_it_is_read(spark, monkeypatch, name, read):
     form = "Computer  Equipment\r\n\n2021   5,000\t1,200\x0b2019 4,000\u00a03,100\nOTHER\n2020 7,000\ntOtAl  61,000 Total 9,500\nl\u0131ght 2,5OO 8,100"
     texts = [form, form + "\n" * 30 + form.upper(), None, "", " \n ", "total of none", "2021 alone", "3,000 4,000", "no such thing", "\u0662 \u0663\u0664 2\u0660\u0661\u0665", "TOTAL 5,000\n" * 200, "2021 5,000 " * 300]
